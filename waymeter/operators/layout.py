@@ -85,7 +85,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, na
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, points: list[float]
 ) -> DataFrame:
-    """Exact linear-interpolation percentiles per key, one row per (keys, p).
+    """Exact linear-interpolation percentiles per key: ``*keys, _n, _p, _q``, one row per point.
 
     Equal values are counted before the shuffle, the distinct values are ranked by
     :func:`running_sum`, and each key's answer is a conditional ``min`` over those ranks.
@@ -114,23 +114,22 @@ def exact_percentiles(
         pos = F.lit(float(p)) * (F.col("_size") - 1)
         lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
         found.append(
-            F.struct(F.lit(float(p)).alias("p"), (lo + (hi - lo) * (pos - F.floor(pos))).alias("q"))
+            F.struct(F.lit(float(p)).alias("_p"), (lo + (hi - lo) * (pos - F.floor(pos))).alias("_q"))
         )
-    return picked.select(*keys, F.col("_size").alias("n"), F.explode(F.array(*found)).alias("_f")).select(
-        *keys, "n", F.col("_f.p").alias("p"), F.col("_f.q").alias("q")
-    )
+    out = picked.select(*keys, F.col("_size").alias("_n"), F.explode(F.array(*found)).alias("_f"))
+    return out.select(*keys, "_n", "_f._p", "_f._q")
 
 
 def percentiles_wide(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, points: dict[str, float], count: str = "n"
 ) -> DataFrame:
-    """:func:`exact_percentiles` with one named column per point."""
+    """:func:`exact_percentiles` with one named column per point and the row count."""
     long = exact_percentiles(df, keys, value, list(points.values()))
     cols = [
-        F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name)
+        F.max(F.when(F.col("_p") == F.lit(float(p)), F.col("_q"))).alias(name)
         for name, p in points.items()
     ]
-    return long.groupBy(*keys).agg(F.max("n").alias("n"), *cols)
+    return long.groupBy(*keys).agg(F.max("_n").alias(count), *cols)
 
 
 def top_per_group(

@@ -189,7 +189,7 @@ def batch_stats(rows: DataFrame, keys: list[str] = ("n", "rate"), big: str = "bi
         F.avg(F.col("parse_failed").cast("int")).alias("parse_failed_share"),
         F.avg((F.col("model") == big).cast("int")).alias("escalated_share"),
     )
-    waits = percentiles_wide(rows, keys, "wait_ms", {"wait_p50": 0.5, "wait_p95": 0.95}).drop("n")
+    waits = percentiles_wide(rows, keys, "wait_ms", {"wait_p50": 0.5, "wait_p95": 0.95}, "_rows")
     return base.join(waits.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "wait_p50", "wait_p95"),
                      [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
@@ -329,5 +329,5 @@ def threshold_for_share(rows: DataFrame, score: str, share: float, approx: bool
     if approx:
         return rows.agg(F.percentile_approx(F.col(score).cast("double"), 1 - share, 10000).alias("threshold"))
     return exact_percentiles(rows.select(F.col(score).cast("double").alias("s")), [], "s", [1 - share]).select(
-        F.col("q").alias("threshold")
+        F.col("_q").alias("threshold")
     )
