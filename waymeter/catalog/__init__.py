@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["routing", "logs", "grading", "costs", "recovery", "paired"]
+GROUPS = ["routing", "logs", "grading", "costs", "recovery", "paired", "windows", "streams"]
 
 
 def all_entries() -> dict:

@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymeter.functions.prompts import window_prompt
-from waymeter.functions.text import col
+from waymeter.functions.text import col, draw
 from waymeter.operators.layout import lay_out, number_rows
 
 CHUNK_ROWS = 1_000_000
 
 
 def lanes(df: DataFrame, text: str, k: int, name: str = "lane") -> DataFrame:
-    """Spread rows over k lanes by content."""
-    return df.withColumn(name, F.pmod(F.xxhash64(text), F.lit(k)).cast("long"))
+    """Spread rows over k lanes by content; equal texts share a lane."""
+    return df.withColumn(name, F.floor(draw(text, "lane") * k).cast("long"))
 
 
 def count_window(df: DataFrame, lane: str, order: list[str], n: int, name: str = "wid") -> DataFrame:
-    """Windows of n consecutive rows per lane, numbered from 0."""
+    """Windows of n consecutive rows per lane, numbered from 0, with each row's place ``at``."""
     placed = number_rows(df, [lane], order, "_at")
-    return placed.withColumn(name, F.floor((F.col("_at") - 1) / n).cast("long")).drop("_at")
+    place = F.col("_at") - 1
+    return placed.withColumn(name, F.floor(place / n).cast("long")).withColumn("at", place % n).drop("_at")
 
 
 def _chain(ts: np.ndarray, n: int, timeout: int) -> np.ndarray:
