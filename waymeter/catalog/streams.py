@@ -23,8 +23,7 @@ def _finish(stream, rows):
     spark = stream.sparkSession
     path = scratch(spark, "sink")
     query = R.start_table(stream, path, scratch(spark, "state"), available_now=False)
-    R.drain(query, rows)
-    return spark.read.schema(stream.schema).parquet(path)
+    return R.drain(query, path, rows)
 
 
 def src_replay(spark, d):

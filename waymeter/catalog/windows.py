@@ -41,7 +41,7 @@ def _windows(spark, d):
     return W.gather(W.count_window(rows, "lane", ["conv_id", "turn"], WINDOW), "prompt")
 
 
-_PLACED = f"""(select *, (rn - 1) // {WINDOW} as wid, (rn - 1) % {WINDOW} as at from (select *, conv_id % {V.LANES} as lane,
+_PLACED = f"""(select *, (rn - 1) // {WINDOW} as wid, (rn - 1) % {WINDOW} as "at" from (select *, conv_id % {V.LANES} as lane,
     row_number() over (partition by conv_id % {V.LANES} order by conv_id, turn) as rn from v_requests))"""
 
 
@@ -91,14 +91,14 @@ _TAIL = "'" + fixed.WINDOW_TAIL.replace("\n", "' || chr(10) || '") + "'"
 _REPLY = "case wid % 5 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(REPLIES)) + " end"
 
 ENTRIES = {
-    "st_batcher_table": (batcher_table, windowed(f"select event_id, lane, cast(wid as bigint) as wid, at, batch, {_CLOSED} - us as wait_us from batched")),
-    "st_count_window": (count_window, f"""select event_id, lane, (rn - 1) // {V.N} as wid, (rn - 1) % {V.N} as at from (select event_id, user_id % {V.LANES} as lane,
+    "st_batcher_table": (batcher_table, windowed(f"""select event_id, lane, cast(wid as bigint) as wid, "at", batch, {_CLOSED} - us as wait_us from batched""")),
+    "st_count_window": (count_window, f"""select event_id, lane, (rn - 1) // {V.N} as wid, (rn - 1) % {V.N} as "at" from (select event_id, user_id % {V.LANES} as lane,
         row_number() over (partition by user_id % {V.LANES} order by ts, event_id) as rn from events)"""),
     "st_lanes": (lanes, sql(f"select id, cast(floor({V.sql_draw('prompt', 'lane')} * 8) as bigint) as lane from v_requests", "v_requests")),
-    "st_batch_prompt": (batch_prompt, sql(f"""select lane, wid, md5({_HEAD} || count(*) || {_TAIL} || string_agg('--- request ' || (at + 1) || ' ---' || chr(10)
-        || left(prompt, 500) || chr(10), '' order by at)) as digest from {_PLACED} group by 1, 2""", "v_requests")),
-    "st_batch_verdicts": (batch_verdicts, sql(f"""select id, lane, wid, at, case when json_valid(reply) and
-          json_extract_string(reply, '$.choices[' || at || ']') in ('small', 'big') then json_extract_string(reply, '$.choices[' || at || ']') else 'small' end as model,
+    "st_batch_prompt": (batch_prompt, sql(f"""select lane, wid, md5({_HEAD} || count(*) || {_TAIL} || string_agg('--- request ' || ("at" + 1) || ' ---' || chr(10)
+        || left(prompt, 500) || chr(10), '' order by "at")) as digest from {_PLACED} group by 1, 2""", "v_requests")),
+    "st_batch_verdicts": (batch_verdicts, sql(f"""select id, lane, wid, "at", case when json_valid(reply) and
+          json_extract_string(reply, '$.choices[' || "at" || ']') in ('small', 'big') then json_extract_string(reply, '$.choices[' || "at" || ']') else 'small' end as model,
         not json_valid(reply) as parse_failed, cast(batch as int) as batch from (select *, {_REPLY} as reply,
           count(*) over (partition by lane, wid) as batch from {_PLACED})""", "v_requests")),
     "st_amortise": (amortise, windowed(f"""select id, round(judge_ms / batch, 6)::double as judge_ms_share, round((tin + tout) / batch, 6) as judge_tokens_share from {_JUDGED}""")),

@@ -227,7 +227,7 @@ WINDOWS = f"""arr as (select user_id % {LANES} as lane, event_id, epoch_us(ts) a
           select lane, rn, us from arr a where a.lane = w.lane and a.rn > w.start_rn
             and (a.rn = w.start_rn + {N} or a.us >= w.start_us + {TIMEOUT_US}) order by rn limit 1) n on true),
       spans as (select *, lead(start_rn, 1, 9223372036854775807) over (partition by lane order by start_rn) as next_rn from opens),
-      batched as (select a.lane, a.event_id, a.us, a.value, s.wid, a.rn - s.start_rn as at,
+      batched as (select a.lane, a.event_id, a.us, a.value, s.wid, a.rn - s.start_rn as "at",
         count(*) over (partition by a.lane, s.wid) as batch, s.start_us as opened,
         max(a.us) over (partition by a.lane, s.wid) as last_us
         from arr a join spans s on s.lane = a.lane and a.rn >= s.start_rn and a.rn < s.next_rn)"""

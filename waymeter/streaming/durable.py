@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from waymeter.functions.text import content_key
+from waymeter.session import exists
 from waymeter.streaming.batcher import use_rocksdb
 
 STORED = "content string, model string, decision_ms double"
@@ -78,8 +79,3 @@ def durable_table(
     answers = kept.parquet(store)
     return keyed.join(answers, "content").withColumn("replayed", F.col("batch") != F.lit(batch)).drop("content")
 
-
-def exists(spark, path: str) -> bool:
-    """Whether a path exists in the session's file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymeter.operators.layout import number_rows
-from waymeter.session import pin, scratch
+from waymeter.session import exists, pin, scratch
 
 
 def replay(df: DataFrame, order: list[str], rate: int, partitions: int = 1) -> DataFrame:
@@ -18,15 +18,15 @@ def replay(df: DataFrame, order: list[str], rate: int, partitions: int = 1) -> D
     The clock is the rate source; each tick is joined to the row at that position. The positions
     are written once, so a restart from a checkpoint resumes at the same row.
     """
-    placed = pin(number_rows(df, [], order, "_pos").withColumn("_pos", F.col("_pos") - 1), "replay")
+    placed = pin(number_rows(df, [], order, "_seq").withColumn("_seq", F.col("_seq") - 1), "replay")
     ticks = (
         df.sparkSession.readStream.format("rate")
         .option("rowsPerSecond", rate)
         .option("numPartitions", partitions)
         .load()
-        .select(F.col("timestamp").alias("emitted_at"), F.col("value").alias("_pos"))
+        .select(F.col("timestamp").alias("emitted_at"), F.col("value").alias("_seq"))
     )
-    return ticks.join(placed, "_pos").drop("_pos")
+    return ticks.join(placed, "_seq").drop("_seq")
 
 
 def file_stream(
@@ -89,25 +89,22 @@ def run_to_end(stream: DataFrame, timeout: float = 600.0) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain(query: StreamingQuery, rows: int, timeout: float = 600.0) -> None:
-    """Wait until ``rows`` input rows were read and no state row is left, then stop the query.
+def drain(query: StreamingQuery, path: str, rows: int, timeout: float = 300.0) -> DataFrame:
+    """Wait until ``rows`` rows are in the table the query writes, stop it and return the table.
 
-    A processing-time query never ends by itself, and rows buffered for a timer are only out
-    once its state is empty.
+    A query with timers or a clock for its source never ends by itself. Counting Parquet rows
+    reads footers only, and it is done once per finished micro-batch.
     """
-    end, seen, last = time.monotonic() + timeout, 0, -1
+    spark, end, seen = SparkSession.active(), time.monotonic() + timeout, -1
     try:
         while time.monotonic() < end:
             if query.exception() is not None:
                 raise query.exception()
-            for p in query.recentProgress:
-                if p["batchId"] > last:
-                    last = p["batchId"]
-                    seen += p["numInputRows"]
             now = query.lastProgress
-            held = sum(s["numRowsTotal"] for s in now["stateOperators"]) if now else -1
-            if seen >= rows and held == 0:
-                return
+            if now is not None and now["batchId"] != seen:
+                seen = now["batchId"]
+                if exists(spark, f"{path}/_spark_metadata") and spark.read.parquet(path).count() >= rows:
+                    return spark.read.parquet(path)
             time.sleep(0.2)
         raise TimeoutError("the stream was not drained in time")
     finally:
