@@ -15,7 +15,6 @@ from waymeter.streaming import handlers as H
 from waymeter.streaming import replay as R
 
 LANES, N, TIMEOUT_MS = 16, 20, 3000
-FILES = 4
 
 
 def _finish(stream, rows):
@@ -34,11 +33,11 @@ def src_replay(spark, d):
 
 def _request_files(spark, d):
     rows = V.requests(spark, d).select("id", "slice", "prompt")
-    return R.file_stream(spark, R.as_files(rows, ["id"], FILES), "id string, slice string, prompt string")
+    return R.file_stream(spark, R.as_files(rows, ["id"]), "id string, slice string, prompt string")
 
 
 def st_fanout(spark, d):
-    return R.run_to_end(R.fanout(_request_files(spark, d), "prompt", 8))
+    return R.run_to_end(R.fanout(_request_files(spark, d), "prompt", R.width(spark)))
 
 
 def _batched(spark, d):
@@ -46,8 +45,8 @@ def _batched(spark, d):
     rows = V.table(spark, d, "events").select(
         (F.col("user_id") % LANES).alias("lane"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("prompt")
     )
-    folder = R.as_files(rows, ["id"], FILES)
-    stream = R.file_stream(spark, folder, "lane long, id string, prompt string", FILES)
+    folder = R.as_files(rows, ["id"])
+    stream = R.file_stream(spark, folder, "lane long, id string, prompt string")
     return _finish(B.micro_batch(stream, "lane", N, TIMEOUT_MS), rows.count())
 
 
@@ -87,8 +86,8 @@ def udf_stateful(spark, d):
         content_key(F.col("user_id").cast("string")).alias("content"), F.col("event_id").cast("string").alias("id"),
         F.when(F.col("value") < 35, "small").otherwise("big").alias("model"), F.col("value").alias("decision_ms"),
     )
-    folder = R.as_files(rows, ["id"], FILES)
-    stream = R.file_stream(spark, folder, "content string, id string, model string, decision_ms double", 2)
+    folder = R.as_files(rows, ["id"])
+    stream = R.file_stream(spark, folder, "content string, id string, model string, decision_ms double", max(1, R.width(spark) // 2))
     kept = R.run_to_end(D.durable(stream))
     per = kept.groupBy("content", "model", "decision_ms").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("content").agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("decisions"))
@@ -108,7 +107,7 @@ def udf_policy(spark, d):
 def udf_events(spark, d):
     """Input and response handlers as two maps around the decision, run as a stream."""
     rows = V.turns(spark, d).select(F.col("id").alias("request_id"), "prompt", "answer")
-    folder = R.as_files(rows, ["request_id"], FILES)
+    folder = R.as_files(rows, ["request_id"])
     stream = R.file_stream(spark, folder, "request_id string, prompt string, answer string")
     chats = H.on_input(stream, P.hash_split(50))
     return R.run_to_end(chats.select("request_id", "selected_model", "decision_source", F.substring(F.coalesce("answer", F.lit("")), 1, 80).alias("answer_head")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymeter import fixed
 from waymeter.functions.text import content_key, ts_ms, untruncate
 from waymeter.operators.layout import lay_out
+from waymeter.session import pin
 from waymeter.sources.readers import prompt_keyed
 
 
@@ -184,6 +185,7 @@ def join_workload(rows: DataFrame, requests: DataFrame, pos: Column | str | None
 
     Rows whose request event carried no user message keep a null item.
     """
+    rows = pin(rows, "folded")  # both branches and the prefix sort read it
     exact = join_exact(rows.where(~F.col("prompt_cut")), requests, pos=pos)
     cut = join_prefix(rows.where("prompt_cut"), requests)
     none = F.col("prompt_text").isNull()

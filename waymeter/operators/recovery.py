@@ -27,21 +27,23 @@ def diverged_items(both: DataFrame, key: str = "workload_id", n: int = 20) -> Da
 
 
 def divergence(pre: DataFrame, post: DataFrame, key: str = "workload_id", examples: int = 20) -> DataFrame:
-    """One row: sizes, replayed, diverged, rate to 4 places (null when nothing was replayed)."""
-    both = replayed(pre, post, key)
-    listed = diverged_items(both, key, examples)
-    listed = listed.agg(F.array_sort(F.collect_list(key)))
+    """One row: sizes, replayed, diverged, rate to 4 places (null when nothing was replayed).
+
+    One full join answers all counts; its shuffles are reused for the example list.
+    """
+    a = pre.select(key, F.col("model").alias("pre_model"), F.lit(True).alias("in_pre"))
+    b = post.select(key, F.col("model").alias("post_model"), F.lit(True).alias("in_post"))
+    both = a.join(b, key, "full")
+    again = F.col("in_pre").isNotNull() & F.col("in_post").isNotNull()
+    listed = diverged_items(both.where(again), key, examples).agg(F.array_sort(F.collect_list(key)))
     out = both.agg(
-        F.count(F.lit(1)).alias("replayed_decisions"), F.count_if(moved()).alias("diverged")
-    )
-    return out.select(
-        pre.agg(F.count(F.lit(1))).scalar().alias("decided_pre_kill"),
-        post.agg(F.count(F.lit(1))).scalar().alias("decided_post_restore"),
-        "replayed_decisions",
-        "diverged",
-        F.round(F.try_divide(F.col("diverged"), F.col("replayed_decisions")), 4).alias("divergence_rate"),
-        listed.scalar().alias("diverged_items"),
+        F.count("in_pre").alias("decided_pre_kill"),
+        F.count("in_post").alias("decided_post_restore"),
+        F.count_if(again).alias("replayed_decisions"),
+        F.count_if(again & moved()).alias("diverged"),
     )
+    rate = F.round(F.try_divide(F.col("diverged"), F.col("replayed_decisions")), 4)
+    return out.withColumn("divergence_rate", rate).withColumn("diverged_items", listed.scalar())
 
 
 def divergence_by_head(pre: DataFrame, post: DataFrame) -> DataFrame:

@@ -280,15 +280,17 @@ def drift(rows: DataFrame, time: str, period: str = "week", model: str = "model"
 
 def mixture(points: DataFrame, a: str, b: str, key: str = "arm") -> DataFrame:
     """Accuracy of a random mix of two anchors at each arm's cost, and the arm's distance above it."""
-
-    def at(arm: str, field: str) -> Column:
-        return points.where(F.col(key) == arm).agg(F.max(field)).scalar()
-
-    share = (F.col("usd") - at(a, "usd")) / (at(b, "usd") - at(a, "usd"))
-    line = at(a, "acc") + share * (at(b, "acc") - at(a, "acc"))
-    return points.withColumn("share_b", share).withColumn("line_acc", line).withColumn(
-        "residual", F.col("acc") - F.col("line_acc")
-    )
+    place = F.struct("usd", "acc")
+    ends = points.agg(
+        F.struct(
+            F.max(F.when(F.col(key) == a, place)).alias("a"), F.max(F.when(F.col(key) == b, place)).alias("b")
+        )
+    ).scalar()
+    out = points.withColumn("_e", ends)
+    usd0, acc0, usd1, acc1 = (F.col(f"_e.{x}") for x in ("a.usd", "a.acc", "b.usd", "b.acc"))
+    share = (F.col("usd") - usd0) / (usd1 - usd0)
+    out = out.withColumn("share_b", share).withColumn("line_acc", acc0 + share * (acc1 - acc0))
+    return out.withColumn("residual", F.col("acc") - F.col("line_acc")).drop("_e")
 
 
 def pareto(points: DataFrame, usd: str = "usd", acc: str = "acc") -> DataFrame:

@@ -100,8 +100,10 @@ def parse_events(lines: DataFrame, line: str = "value", pos: str = "pos") -> Dat
 
     Blank and malformed lines are dropped. The record may wrap the event or be the event.
     """
+    # Exploding a one-element array keeps filters on parsed fields above the parse, which would
+    # otherwise be repeated inside every pushed-down condition.
     rec = lines.where(F.length(F.trim(line)) > 0).select(
-        F.try_parse_json(F.col(line)).alias("rec"), F.col(pos).alias("pos")
+        F.col(pos).alias("pos"), F.explode(F.array(F.try_parse_json(F.col(line)))).alias("rec")
     )
     ev = F.coalesce(F.try_variant_get("rec", "$.event", "variant"), F.col("rec"))
     rec = rec.where(F.col("rec").isNotNull()).withColumn("ev", ev)

@@ -69,7 +69,9 @@ def durable_table(
     spark = requests.sparkSession
     kept = spark.read.schema(STORED + ", batch string")
     keyed = requests.withColumn("content", content_key(text))
-    known = kept.parquet(store).select("content") if exists(spark, store) else None
+    known = None
+    if exists(spark, store):  # a half-written folder of this same batch does not count
+        known = kept.parquet(store).where(F.col("batch") != batch).select("content")
     mine = f"{store.rstrip('/')}/batch={batch}"
     if not exists(spark, mine + "/_SUCCESS"):
         fresh = keyed.groupBy("content").agg(F.min(text).alias(text))

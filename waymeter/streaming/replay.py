@@ -30,18 +30,23 @@ def replay(df: DataFrame, order: list[str], rate: int, partitions: int = 1) -> D
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1, form: str = "parquet"
+    spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None, form: str = "parquet"
 ) -> DataFrame:
-    """Files of a folder as a stream, a bounded number per micro-batch."""
-    return (
-        spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    )
+    """Files of a folder as a stream; without a limit a micro-batch takes all files there are."""
+    reader = spark.readStream.schema(schema).format(form)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(folder)
+
+
+def width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def as_files(df: DataFrame, order: list[Column | str], files: int) -> str:
-    """A table written as range-ordered files for :func:`file_stream`; returns the folder."""
+def as_files(df: DataFrame, order: list[Column | str]) -> str:
+    """A table as range-ordered files, one per shuffle partition, for :func:`file_stream`."""
     path = scratch(df.sparkSession, "stream")
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+    df.repartitionByRange(width(df.sparkSession), *order).sortWithinPartitions(*order).write.parquet(path)
     return path
 
 
