@@ -15,8 +15,9 @@ def write_results(rows: DataFrame, path: str, run: str = "run_id") -> None:
     An empty result is an error. The check reads the written table's footers only.
     """
     graded = ["graded_correct"] if "graded_correct" in rows.columns else []
-    rows.select(run, *fixed.RESULT_COLUMNS, *graded).write.partitionBy(run).parquet(path)
-    if rows.sparkSession.read.parquet(path).isEmpty():
+    table = rows.select(run, *fixed.RESULT_COLUMNS, *graded)
+    table.write.partitionBy(run).parquet(path)
+    if rows.sparkSession.read.schema(table.schema).parquet(path).isEmpty():
         raise ValueError(f"no requests parsed into {path}")
 
 
