@@ -136,7 +136,7 @@ ENTRIES = {
         ),
     ),
     "route_hash_split": (
-        _policy(P.hash_split(50), F.col("decision.reason").alias("reason")),
+        _policy(P.hash_split(50), "decision.reason"),
         sql(
             f"select id, case when {_B} < 50 then 'big' else 'small' end as selected, 'bucket ' || {_B} || ' of 50' as reason from v_requests",
             "v_requests",

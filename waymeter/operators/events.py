@@ -27,14 +27,17 @@ def _user_messages(any_role: bool = False) -> Column:
 
 
 def _content(message: Column) -> Column:
-    """``text`` of a message and whether the log had truncated it."""
+    """Digest of a message's text, whether the log had truncated it, and then the text itself.
+
+    A whole text is only ever looked up by equality, so its digest travels instead.
+    """
     kind = F.schema_of_variant(F.try_variant_get(message, "$.content", "variant"))
     cut = F.startswith(kind, F.lit("OBJECT"))
     whole = F.try_variant_get(message, "$.content", "string")
     short = untruncate(F.coalesce(F.try_variant_get(message, "$.content.truncatedString", "string"), F.lit("")))
+    text = F.when(cut, short).otherwise(F.coalesce(whole, F.lit("")))
     return F.struct(
-        F.when(cut, short).otherwise(F.coalesce(whole, F.lit(""))).alias("text"),
-        F.coalesce(cut, F.lit(False)).alias("cut"),
+        content_key(text).alias("key"), F.when(cut, short).alias("text"), F.coalesce(cut, F.lit(False)).alias("cut")
     )
 
 
@@ -104,6 +107,7 @@ def fold_events(events: DataFrame, arm: Column | str, epoch_millis: bool = False
         F.col("reply.model_name").alias("model_name"),
         (t1 - t0).alias("e2e_ms"),
         F.col("reply.answer").alias("answer"),
+        F.col("prompt.key").alias("prompt_key"),
         F.col("prompt.text").alias("prompt_text"),
         F.coalesce(F.col("prompt.cut"), F.lit(False)).alias("prompt_cut"),
     )
@@ -165,10 +169,10 @@ def join_prefix(rows: DataFrame, requests: DataFrame, text: str = "prompt_text")
     return _attach(rows.withColumn("_key", content_key(text)), hits)
 
 
-def join_exact(rows: DataFrame, requests: DataFrame, text: str = "prompt_text", pos: Column | str | None = None) -> DataFrame:
-    """Add ``workload_id, slice`` by exact prompt; the join key is a digest, not the text."""
+def join_exact(rows: DataFrame, requests: DataFrame, key: str = "prompt_key", pos: Column | str | None = None) -> DataFrame:
+    """Add ``workload_id, slice`` by exact prompt; both sides meet on digests, not on texts."""
     items = prompt_keyed(requests, pos).select("_key", F.col("id").alias("_id"), F.col("slice").alias("_sl"))
-    return _attach(rows.withColumn("_key", content_key(text)), items)
+    return _attach(rows.withColumn("_key", F.col(key)), items)
 
 
 def _attach(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def join_workload(rows: DataFrame, requests: DataFrame, pos: Column | str | None
     rows = pin(rows, "folded")  # both branches and the prefix sort read it
     exact = join_exact(rows.where(~F.col("prompt_cut")), requests, pos=pos)
     cut = join_prefix(rows.where("prompt_cut"), requests)
-    none = F.col("prompt_text").isNull()
+    none = F.col("prompt_key").isNull()
     return exact.unionByName(cut).withColumns({
         "workload_id": F.when(~none, F.col("workload_id")),
         "slice": F.when(~none, F.col("slice")),
@@ -214,7 +218,7 @@ def decisions(events: DataFrame, requests: DataFrame, any_role: bool = False) ->
         texts = asked.select(
             "event_id", "pos", F.lit(0).alias("at"), F.try_element_at(messages, F.lit(-1)).alias("m")
         ).where(F.col("m").isNotNull())
-    texts = texts.select("event_id", F.struct("pos", "at").alias("o"), content_key(_content(F.col("m"))["text"]).alias("_key"))
+    texts = texts.select("event_id", F.struct("pos", "at").alias("o"), _content(F.col("m"))["key"].alias("_key"))
     items = prompt_keyed(requests).select("_key", F.col("id").alias("workload_id"))
     owner = (
         texts.join(items, "_key").groupBy("event_id").agg(F.max_by("workload_id", "o").alias("workload_id"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []  # the temporary folder of a local session, once made
+
 
 def build_session(
     app: str = "waymeter", master: str | None = None, shuffle_partitions: int | None = None
@@ -39,9 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="waymeter-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="waymeter-"))
+    return _local[0]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

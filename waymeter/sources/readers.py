@@ -89,7 +89,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_prices(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Price rows from a JSON-lines or parquet table, or the pinned ones."""
     if path is None:
-        return spark.createDataFrame(fixed.PRICES, PRICE)
+        rows = ", ".join(f"('{model}', {i}D, {o}D)" for model, i, o in fixed.PRICES)
+        return spark.sql(f"select * from values {rows} as t(model, input, output)")
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(PRICE).parquet(path)
     return json_lines(spark, path, PRICE)
