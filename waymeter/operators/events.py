@@ -163,7 +163,7 @@ def match_prefixes(probes: DataFrame, items: DataFrame) -> DataFrame:
 
 def join_prefix(rows: DataFrame, requests: DataFrame, text: str = "prompt_text") -> DataFrame:
     """Add ``workload_id, slice`` where the truncated text is a prefix of exactly one prompt."""
-    items = prompt_keyed(requests).select("prompt", "id", "slice")
+    items = prompt_keyed(requests, texts=True).select("prompt", "id", "slice")
     hits = match_prefixes(rows.select(F.col(text).alias("prefix")).where(F.col(text).isNotNull()), items)
     hits = hits.select(content_key("prefix").alias("_key"), F.col("id").alias("_id"), F.col("slice").alias("_sl"))
     return _attach(rows.withColumn("_key", content_key(text)), hits)

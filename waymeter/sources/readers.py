@@ -137,12 +137,10 @@ def after(events: DataFrame, cutoff: str | None, epoch_millis: bool = False) ->
     return events.where(at.isNull() | (at == 0) | F.col("raw_ts").isNull() | (seen >= at))
 
 
-def prompt_keyed(requests: DataFrame, pos: Column | str | None = None) -> DataFrame:
-    """Workload items by prompt, ``_key, prompt, id, slice``; the last of equal prompts wins."""
+def prompt_keyed(requests: DataFrame, pos: Column | str | None = None, texts: bool = False) -> DataFrame:
+    """Workload items by prompt digest, ``_key, id, slice``; the last of equal prompts wins."""
     order = F.col("id") if pos is None else pos
-    keyed = requests.select(content_key("prompt").alias("_key"), "prompt", "id", "slice", F.struct(order).alias("_o"))
-    return (
-        keyed.groupBy("_key")
-        .agg(F.max_by(F.struct("prompt", "id", "slice"), "_o").alias("_v"))
-        .select("_key", "_v.prompt", "_v.id", "_v.slice")
-    )
+    fields = ["id", "slice", *(["prompt"] if texts else [])]
+    keyed = requests.select(content_key("prompt").alias("_key"), *fields, F.struct(order).alias("_o"))
+    last = keyed.groupBy("_key").agg(F.max_by(F.struct(*fields), "_o").alias("_v"))
+    return last.select("_key", *[f"_v.{f}" for f in fields])
