@@ -17,11 +17,11 @@ from waymeter.streaming import replay as R
 LANES, N, TIMEOUT_MS = 16, 20, 3000
 
 
-def _finish(stream, rows):
+def _finish(stream, rows, state_partitions=None):
     """Run a stream without an end of its own until all input is out."""
     spark = stream.sparkSession
     path = scratch(spark, "sink")
-    query = R.start_table(stream, path, scratch(spark, "state"), available_now=False)
+    query = R.start_table(stream, path, scratch(spark, "state"), available_now=False, state_partitions=state_partitions)
     return R.drain(query, path, rows)
 
 
@@ -47,7 +47,7 @@ def _batched(spark, d):
     )
     folder = R.as_files(rows, ["id"])
     stream = R.file_stream(spark, folder, "lane long, id string, prompt string")
-    return _finish(B.micro_batch(stream, "lane", N, TIMEOUT_MS), rows.count())
+    return _finish(B.micro_batch(stream, "lane", N, TIMEOUT_MS), rows.count(), LANES)
 
 
 def st_batcher(spark, d):

@@ -71,14 +71,26 @@ def pair_streams(requests: DataFrame, responses: DataFrame, within: str = "1 hou
 
 
 def start_table(
-    stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, partition_by: list[str] = ()
+    stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, partition_by: list[str] = (),
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Append a stream to a parquet table (each micro-batch lands exactly once)."""
+    """Append a stream to a parquet table (each micro-batch lands exactly once).
+
+    ``state_partitions`` caps the state store's partitions for this query: keys fewer than
+    partitions, such as lanes, would only leave empty stores to commit.
+    """
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="0 seconds")
-    return writer.outputMode("append").start()
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(name)
+    if state_partitions is not None:
+        conf.set(name, str(min(int(usual), state_partitions)))
+    try:  # the query takes its own copy of the settings when it starts
+        return writer.outputMode("append").start()
+    finally:
+        conf.set(name, usual)
 
 
 def run_to_end(stream: DataFrame, timeout: float = 600.0) -> DataFrame:
