@@ -147,3 +147,16 @@ def test_empty_results_are_an_error(spark, workload):
     rows = E.results(parse(spark, []), workload, "arm").selectExpr("'run' as run_id", "*")
     with pytest.raises(ValueError):
         writers.write_results(rows, scratch(spark, "empty"))
+
+
+def test_request_and_answer_files(spark, tmp_path):
+    reqs = tmp_path / "r.jsonl"
+    reqs.write_text('{"id": "a", "slice": "s", "prompt": "x"}\n\n   \n{"id": "b", "slice": "s"}\n')
+    assert sorted((r["id"], r["prompt"]) for r in R.read_requests(spark, str(reqs)).collect()) == [("a", "x"), ("b", "")]
+    answers = tmp_path / "a.jsonl"
+    answers.write_text('{"id": "a", "answer": "1"}\n{"id": "b", "answer": "2"}\n{"id": "a", "answer": "3"}\n')
+    assert sorted((r["id"], r["answer"]) for r in R.read_answers(spark, str(answers)).collect()) == [("a", "3"), ("b", "2")]
+    table = tmp_path / "t.csv"
+    table.write_text('user_input,toxicity\n"line one\nsays ""hi"", twice",1\nplain,0\n')
+    got = R.read_csv(spark, str(table), "user_input string, toxicity int").collect()
+    assert sorted(map(tuple, got)) == [('line one\nsays "hi", twice', 1), ("plain", 0)]

@@ -81,3 +81,22 @@ def test_policies_run_on_a_stream(spark):
     got = replay.run_to_end(policies.decide(stream, "prompt", policy).select("prompt", "decision.selected"))
     want = policies.decide(rows, "prompt", policy).select("prompt", "decision.selected")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batched_decisions_with_a_dominant_prompt(spark):
+    rows = [(str(i), "hi" if i % 3 else f"p{i % 10}") for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, prompt string")
+    stream = replay.file_stream(spark, replay.as_files(df, ["id"]), "id string, prompt string", 2)
+    path, store = scratch(spark, "out"), scratch(spark, "store")
+
+    def decide(new):
+        return new.withColumn("model", F.concat(F.lit("m"), F.floor(F.rand() * 1e6).cast("string"))).withColumn("decision_ms", F.rand())
+
+    query = durable.durable_batches(stream, store, path, scratch(spark, "state"), decide)
+    assert query.awaitTermination(200)
+    out = spark.read.parquet(path).collect()
+    assert sorted(r["id"] for r in out) == sorted(i for i, _ in rows)
+    kept = {}
+    for r in out:
+        kept.setdefault(r["prompt"], set()).add((r["model"], r["decision_ms"]))
+    assert all(len(v) == 1 for v in kept.values()) and len({r["part"] for r in out}) > 1

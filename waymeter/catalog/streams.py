@@ -37,7 +37,7 @@ def _request_files(spark, d):
 
 
 def st_fanout(spark, d):
-    return R.run_to_end(R.fanout(_request_files(spark, d), "prompt", R.width(spark)))
+    return R.run_to_end(R.fanout(_request_files(spark, d), R.width(spark)))
 
 
 def _batched(spark, d):

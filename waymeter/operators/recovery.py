@@ -121,7 +121,7 @@ def reissue(
     else:
         both = both.withColumn("prompt_sha1", F.col("workload_id"))
     again = both.join(sets.where("reissued").select("prompt_sha1"), "prompt_sha1", "left_semi")
-    kept = again.agg(F.count_if(~moved()).alias("kept"), F.count_if(moved()).alias("moved"))
+    kept = again.agg(F.struct(F.count_if(~moved()).alias("kept"), F.count_if(moved()).alias("moved"))).scalar()
     listed = diverged_items(again, n=examples).agg(F.array_sort(F.collect_list("workload_id")))
     got = F.col("recv") > 0
     return sets.agg(
@@ -136,8 +136,8 @@ def reissue(
         (F.lit(reply_tokens) * F.sum(F.greatest(F.col("recv") - 1, F.lit(0)))).alias("double_billed_tokens"),
     ).select(
         "*",
-        kept.select("kept").scalar().alias("reissued_decision_kept"),
-        kept.select("moved").scalar().alias("reissued_decision_diverged"),
+        kept.getField("kept").alias("reissued_decision_kept"),
+        kept.getField("moved").alias("reissued_decision_diverged"),
         listed.scalar().alias("diverged_items"),
     )
 

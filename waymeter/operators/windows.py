@@ -16,7 +16,10 @@ CHUNK_ROWS = 1_000_000
 
 
 def lanes(df: DataFrame, text: str, k: int, name: str = "lane") -> DataFrame:
-    """Spread rows over k lanes by content; equal texts share a lane."""
+    """Spread rows over k lanes by content; equal texts share a lane.
+
+    Where one text may dominate, pass a unique column instead: lanes only need an even spread.
+    """
     return df.withColumn(name, F.floor(draw(text, "lane") * k).cast("long"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from waymeter.functions.text import content_key
 from waymeter.session import exists
@@ -47,7 +47,9 @@ def durable(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     The proposal may come from a random policy; it only counts the first time. Without a TTL,
     state grows with distinct contents. The number of state partitions is fixed by the
-    checkpoint: choose spark.sql.shuffle.partitions before the first start.
+    checkpoint: choose spark.sql.shuffle.partitions before the first start. All requests of one
+    content pass through one task; where a single prompt may dominate, use
+    :func:`durable_batches`.
     """
     use_rocksdb(stream)
     return stream.groupBy("content").transformWithStateInPandas(
@@ -81,3 +83,22 @@ def durable_table(
     answers = kept.parquet(store)
     return keyed.join(answers, "content").withColumn("replayed", F.col("batch") != F.lit(batch)).drop("content")
 
+
+
+def durable_batches(
+    stream: DataFrame, store: str, path: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame],
+    text: str = "prompt",
+) -> StreamingQuery:
+    """The table form on a stream: each micro-batch is answered by :func:`durable_table`.
+
+    Contents are reduced to one row before they are decided, and the answers are joined back, so
+    a prompt that fills a third of the stream is split like any skewed join. Both writes are keyed
+    by the micro-batch id: one that is repeated after a failure replaces its own output.
+    """
+
+    def answer(batch: DataFrame, number: int) -> None:
+        out = durable_table(batch, store, f"s{number}", decide, text)
+        out.drop("batch").write.mode("overwrite").parquet(f"{path.rstrip('/')}/part={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(answer).start()

@@ -50,9 +50,13 @@ def as_files(df: DataFrame, order: list[Column | str]) -> str:
     return path
 
 
-def fanout(stream: DataFrame, key: str, n: int) -> DataFrame:
-    """Spread a stream by content over n tasks, whatever the source's parallelism."""
-    return stream.repartition(n, F.xxhash64(key))
+def fanout(stream: DataFrame, n: int, key: str | None = None) -> DataFrame:
+    """Spread a stream over n tasks, whatever the source's parallelism.
+
+    Without a key rows are dealt out evenly. A key keeps equal contents together, which only
+    keyed state needs, and a dominant content then makes its task the slowest.
+    """
+    return stream.repartition(n) if key is None else stream.repartition(n, F.xxhash64(key))
 
 
 def pair_streams(requests: DataFrame, responses: DataFrame, within: str = "1 hour") -> DataFrame:
