@@ -79,7 +79,7 @@ def _s_label(t):
 
 def grade_number(spark, d):
     df = _replied(spark, d, [r for r, _ in NUMBER]).withColumn("gold", _case([g for _, g in NUMBER]))
-    return df.select("doc_id", F.round(G.answered_number("reply"), 6).alias("got"), G.grade_number("reply", "gold").alias("ok"))
+    return df.select("doc_id", G.answered_number("reply").alias("got"), G.grade_number("reply", "gold").alias("ok"))
 
 
 def grade_letter(spark, d):
@@ -183,7 +183,7 @@ _TEMPLATES = f"""select doc_id, md5({_STRIP.format("left(text, 200)")} || {_q(ch
       || {_q(fixed.INTENT_TAIL)}) as intent from documents"""
 
 ENTRIES = {
-    "fn_grade_number": (grade_number, f"""select doc_id, round({_s_number("reply")}, 6) as got,
+    "fn_grade_number": (grade_number, f"""select doc_id, {_s_number("reply")} as got,
         coalesce(abs({_s_number("reply")} - cast({_sql_case([g for _, g in NUMBER])} as double)) < 1e-6, false) as ok
         from {_DOCS.format(_sql_case([r for r, _ in NUMBER]))}"""),
     "fn_grade_letter": (grade_letter, f"""select doc_id, {_s_letter("reply")} as got,
