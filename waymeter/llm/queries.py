@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymeter.llm import near
+from waymeter.llm import bpe, exact, near, repeats
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -15,11 +16,35 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_tree_merge_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, folder, "documents"), largest=True)
+
+
+OP3_SQL = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = max(doc_id) over same as kept, sha256(low) as text_sha256
+from t window same as (partition by low)
+"""
+
+
+def op5_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), texts_too=False)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(_table(spark, folder, "documents"), words=2, percent=80)
 
 
+def op8_doubling_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.cut_repeats(_table(spark, folder, "documents"), length=50)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def entries() -> dict[str, Entry]:
     return {
+        "op3_tree_merge_exact_dedup": (op3_tree_merge_exact_dedup, OP3_SQL),
+        "op5_segment_tree_bpe": (op5_segment_tree_bpe, None),
         "op7_minhash_near_dedup": (op7_minhash_near_dedup, None),
+        "op8_doubling_substring_dedup": (op8_doubling_substring_dedup, None),
     }
