@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymeter.llm import bpe, exact, near, repeats
+from waymeter.llm import archives, bpe, exact, mixing, near, quality, repeats, secrets, shards, toxicity
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -16,6 +17,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return toxicity.grade(documents, toxicity.train(documents, _table(spark, folder, "labels")))
+
+
+def op2_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.summary(_table(spark, folder, "documents"))
+
+
 def op3_tree_merge_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"), largest=True)
 
@@ -28,10 +38,30 @@ from t window same as (partition by low)
 """
 
 
+def op4_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shards(_table(spark, folder, "documents"))
+
+
 def op5_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), texts_too=False)
 
 
+#: The tree's levels. The tables have no domain; sources stand for four of them by their number.
+DOMAINS = ["web", "books", "forums", "news"]
+WEIGHTS = {"domain": {"web": 3, "books": 2}, "lang": {"en": 4}, "source": {"src0": 2}}
+SHARE, EPOCHS, SEED = (1, 1), 4, 17
+
+
+def domain_of(source: Column) -> Column:
+    number = F.coalesce(F.try_to_number(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("999999999")), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), (number % len(DOMAINS)).cast("int") + 1)
+
+
+def op6_hierarchical_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    levels = {"domain": domain_of(F.coalesce("source", F.lit(""))), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(_table(spark, folder, "documents"), levels, WEIGHTS, SHARE, EPOCHS, SEED)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(_table(spark, folder, "documents"), words=2, percent=80)
 
@@ -41,10 +71,24 @@ def op8_doubling_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.convert_pages(_table(spark, folder, "pages"))
+
+
+def op10_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"), stratum=F.col("lang"))
+
+
 def entries() -> dict[str, Entry]:
     return {
+        "op1_ordinal_toxicity": (op1_ordinal_toxicity, None),
+        "op2_blob_ledger_secrets": (op2_blob_ledger_secrets, None),
         "op3_tree_merge_exact_dedup": (op3_tree_merge_exact_dedup, OP3_SQL),
+        "op4_sampled_splitters": (op4_sampled_splitters, None),
         "op5_segment_tree_bpe": (op5_segment_tree_bpe, None),
+        "op6_hierarchical_mixing": (op6_hierarchical_mixing, None),
         "op7_minhash_near_dedup": (op7_minhash_near_dedup, None),
         "op8_doubling_substring_dedup": (op8_doubling_substring_dedup, None),
+        "op9_arc_to_warc": (op9_arc_to_warc, None),
+        "op10_risk_controlled_rules": (op10_risk_controlled_rules, None),
     }

@@ -50,8 +50,11 @@ def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, pa.Array]]
         yield at, texts.slice(at)
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of each text (none in a null one), on request with A-Z lower-cased."""
+def split(texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """The words of each text (none in a null one), on request with A-Z lower-cased.
+
+    ``apart`` marks the bytes between words.
+    """
     texts = pa.concat_arrays([texts.cast(pa.large_binary()).fill_null(b"")])
     edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
@@ -59,7 +62,7 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     edges = edges - edges[0]
     if lower:
         buf = _LOWER[buf]
-    space = _SPACE[buf]
+    space = apart[buf]
     starts, ends = ~space, ~space
     if len(buf):
         cuts = edges[(edges > 0) & (edges < len(buf))]
