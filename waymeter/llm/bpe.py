@@ -188,8 +188,8 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _code(source, texts_too: bool):
-    """``id, text`` batches to counts and digests, on request with the ids and the decoded text."""
+def _code(source, also: tuple[str, ...]):
+    """``id, text`` batches to counts and digests, on request with the ids or the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _built(source.value)
@@ -203,8 +203,10 @@ def _code(source, texts_too: bool):
                     "ids_sha": pa.array([hashlib.sha256(vocabulary.written(ids).encode()).hexdigest() for ids in coded]),
                     "decoded_sha": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
                 }
-                if texts_too:
-                    columns |= {"ids": pa.array(coded, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+                if "ids" in also:
+                    columns["ids"] = pa.array(coded, pa.list_(pa.int32()))
+                if "decoded" in also:
+                    columns["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -220,8 +222,8 @@ def _built(source: str) -> Vocabulary:
     return _vocabularies[key]
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = True) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` for each row, with ``ids`` and ``decoded`` if ``texts_too``.
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256`` for each row, and the columns named in ``also``.
 
     ``vocabulary`` is the path of a vocabulary file, read on the driver and broadcast (its size does not
     depend on the data). Ids are those of the tokenizers library without added special tokens, truncation or
@@ -230,7 +232,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """
     with open(vocabulary, encoding="utf-8") as file:
         source = df.sparkSession.sparkContext.broadcast(file.read())
-    schema = "id long, n long, ids_sha string, decoded_sha string" + ", ids array<int>, decoded string" * texts_too
+    schema = "id long, n long, ids_sha string, decoded_sha string" + ", ids array<int>" * ("ids" in also) + ", decoded string" * ("decoded" in also)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = {"id": id_col, "n": "n_tokens", "ids_sha": "ids_sha256", "decoded_sha": "decoded_sha256"}
-    return rows.mapInArrow(_code(source, texts_too), schema).withColumnsRenamed(names)
+    return rows.mapInArrow(_code(source, also), schema).withColumnsRenamed(names)

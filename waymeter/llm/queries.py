@@ -43,7 +43,7 @@ def op4_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), texts_too=False)
+    return bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), also=())
 
 
 #: The tree's levels. The tables have no domain; sources stand for four of them by their number.

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from waymeter.session import exists, scratch
 
-#: Name, pattern, the group that must reach a length, and that length. Matches are found from the left without overlap, then those that are too short are dropped.
-RULES: dict[str, tuple[str, int, int]] = {
+Rules = dict[str, tuple[str, int, int]]
+#: Name, pattern, the group that must reach a length, and that length. Matches are found from the left without overlap, then
+#: those that are too short are dropped.
+RULES: Rules = {
     "assign": (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
@@ -31,44 +33,48 @@ BASE = ["assign", "access", "hex"]
 LEDGER = "blob binary, rule string, spans array<struct<start:int,end:int>>"
 
 
-def version(rule: str) -> str:
+def version(name: str, rule: tuple[str, int, int]) -> str:
     """The rule's name and a digest of all that decides its findings."""
-    return f"{rule}@{hashlib.sha256(repr(RULES[rule]).encode()).hexdigest()[:12]}"
+    return f"{name}@{hashlib.sha256(repr(rule).encode()).hexdigest()[:12]}"
 
 
-def find(rule: str, text: str) -> list[dict[str, int]]:
+def find(rule: tuple[str, int, int], text: str) -> list[dict[str, int]]:
     """Spans in code points, the end exclusive."""
-    pattern, group, least = RULES[rule]
+    pattern, group, least = rule
     return [{"start": m.start(), "end": m.end()} for m in re.finditer(pattern, text, re.ASCII) if m.end(group) - m.start(group) >= least]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(rules: Rules):
     """``blob, todo, text`` to a ledger row for each pair."""
-    by_version = {version(rule): rule for rule in RULES}
+    by_version = {version(name, rule): rule for name, rule in rules.items()}
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        blobs, rules, spans = [], [], []
-        for blob, todo, text in zip(*(batch.column(c) for c in ("blob", "todo", "text"))):
-            whole = text.as_py() or ""
-            for name in todo.as_py():
-                blobs.append(blob.as_py())
-                rules.append(name)
-                spans.append(find(by_version[name], whole))
-        yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(rules, pa.string()), pa.array(spans, span)], ["blob", "rule", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs, names, spans = [], [], []
+            for blob, todo, text in zip(*(batch.column(c) for c in ("blob", "todo", "text"))):
+                whole = text.as_py() or ""
+                for name in todo.as_py():
+                    blobs.append(blob.as_py())
+                    names.append(name)
+                    spans.append(find(by_version[name], whole))
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(names, pa.string()), pa.array(spans, span)], ["blob", "rule", "spans"])
+
+    return run
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
 
 
-def scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: Rules = RULES) -> DataFrame:
     """``id, kind, start, end``: a row for each finding of each row's text; extends the ledger when called.
 
     ``id_col`` names the path and version; it may be null or repeat, and each row gets its own findings once for every
     distinct (id, text). Null texts count as empty. ``ledger`` is a folder in a store that all executors reach; without one, a new
     folder in the shared one is used, so everything is scanned.
     """
-    spark, wanted = df.sparkSession, [version(r) for r in rules or RULES]
+    spark, wanted = df.sparkSession, [version(*r) for r in rules.items()]
     ledger = ledger or scratch(spark, "ledger")
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("blob"))
@@ -79,7 +85,7 @@ def scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_
     # One row of each blob is scanned: that of its smallest id, so copies neither meet in a task nor are read twice.
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
     unseen = texts.join(blobs, texts.rep.eqNullSafe(blobs.rep) & (texts.blob == blobs.blob)).select(texts.blob, "todo", "text")
-    unseen.mapInArrow(_scan, LEDGER).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
+    unseen.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
     found = read_ledger(spark, ledger).where(F.col("rule").isin(wanted) & (F.size("spans") > 0))
     each = found.select("blob", F.substring_index("rule", "@", 1).alias("kind"), F.explode("spans").alias("span"))
     return paths.distinct().join(each, "blob").select(F.col("id").alias(id_col), "kind", "span.start", "span.end")

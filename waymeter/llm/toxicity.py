@@ -149,29 +149,42 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit([texts[i] for i in order], np.array([got["toxic"][i].as_py() for i in order], int))
 
 
+def _judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Expected severity, likeliest grade, chance of any toxicity, and whether it is toxic, for each text."""
+    n = len(texts)
+    if model is None:
+        return np.zeros(n), np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
+    row, hashes = features(texts)
+    where = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
+    hit = model.features[where] == hashes
+    held = np.unique(row[hit] * len(model.features) + where[hit])
+    beyond = _beyond(_scores(held // len(model.features), held % len(model.features), model.weights, n), model.thresholds)
+    severity = beyond[:, 1:-1].sum(1)
+    return severity, (beyond[:, :-1] - beyond[:, 1:]).argmax(1), beyond[:, 1], severity >= model.cutoff
+
+
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in blocks(batch.column("text")):
-                n = len(texts)
-                severity, grade, chance = np.zeros(n), np.zeros(n, int), np.zeros(n)
-                if model is not None:
-                    row, hashes = features(texts)
-                    where = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
-                    hit = model.features[where] == hashes
-                    held = np.unique(row[hit] * len(model.features) + where[hit])
-                    beyond = _beyond(_scores(held // len(model.features), held % len(model.features), model.weights, n), model.thresholds)
-                    severity, chance = beyond[:, 1:-1].sum(1), beyond[:, 1]
-                    grade = (beyond[:, :-1] - beyond[:, 1:]).argmax(1)
-                toxic = severity >= model.cutoff if model is not None else np.zeros(n, bool)
+                severity, grade, chance, toxic = _judge(model, texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, n), pa.array(severity), pa.array(grade, pa.int32()), pa.array(chance), pa.array(toxic)],
+                    [batch.column("id").slice(at, len(texts)), pa.array(severity), pa.array(grade, pa.int32()), pa.array(chance), pa.array(toxic)],
                     ["id", "expected_severity", "grade", "p_toxic", "toxic"],
                 )
 
     return run
 
 
+def _passed(model: Model | None, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in blocks(batch.column(text_col)):
+                yield batch.slice(at, len(texts)).filter(pa.array(~_judge(model, texts)[3]))
+
+    return run
+
+
 def grade(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, expected_severity, grade, p_toxic, toxic, kept`` for each row, without a shuffle.
 
@@ -181,3 +194,8 @@ def grade(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_score(model), "id long, expected_severity double, grade int, p_toxic double, toxic boolean")
     return out.withColumn("kept", ~F.col("toxic")).withColumnRenamed("id", id_col)
+
+
+def without_toxic(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows that :func:`grade` keeps, with all their columns and in their partitions."""
+    return df.mapInArrow(_passed(model, text_col), df.schema)
