@@ -8,10 +8,10 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from waymeter import build_session
 
-    session = build_session("waymeter-tests", "local[8]", 8)
+    session = build_session("waymeter-tests", "local[8]", 8, str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     # Small inputs would otherwise end up in one slab, and borders would go untested.
     session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -1,6 +1,7 @@
 """Graders, policies, prices and statistics on edge cases."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -83,18 +84,44 @@ def test_window_verdicts(spark):
     assert [r["parse_failed"] for r in out if r["at"] == 0] == [False, True, False, False, False, False, False]
 
 
-def test_price_paths_agree(spark, monkeypatch):
-    models = ["gpt-4o-mini-2024", "gpt-4o", "gpt-4", "", None, "default", "GPT-4o", "claude-haiku-4-5-x", "gpt-5-nano"]
-    df = spark.createDataFrame([(m,) for m in models], "m string")
-    prices = readers.read_prices(spark)
-
-    def run():
-        return sorted(map(str, money.priced(df, prices, "m").select("m", "price.input", "price.output").collect()))
-
-    literal = run()
-    monkeypatch.setattr(money, "LITERAL_PRICE_ROWS", 3)
-    assert run() == literal
-    assert "Row(m='gpt-4o-mini-2024', input=0.15, output=0.6)" in literal and "Row(m='GPT-4o', input=0.0, output=0.0)" in literal
+def price_brute(rows, model):
+    """The longest name that begins the model's; the last of equal names; else the default."""
+    table = {}
+    for name, *pair in rows:
+        table[name] = tuple(pair)
+    best = None
+    for name in table:
+        if name is not None and name != "default" and model and model.startswith(name) and (best is None or len(name) > len(best)):
+            best = name
+    return table["default" if best is None else best]
+
+
+@pytest.mark.parametrize("size", [3, 5000])
+def test_prices_against_brute_force(spark, size):
+    rng = random.Random(size)
+    rows = [("default", 1.0, 1.0), ("default", 0.5, 9.0), ("m", 2.0, 2.0), ("", 7.0, 7.0), ("m", 1.5, 3.0), (None, 8.0, 8.0)]
+    rows += [("m" + "".join(rng.choice("ab-") for _ in range(rng.randrange(9))), float(i), 0.0) for i in range(size)]
+    rng.shuffle(rows)
+    models = ["z", None, "", "m", "default", "default-x", *["m" + "".join(rng.choice("ab-") for _ in range(rng.randrange(12))) for _ in range(300)]]
+    prices = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "model string, input double, output double, pos long")
+    got = money.priced(spark.createDataFrame([(m,) for m in models], "m string"), prices, "m").select("m", "price.input", "price.output").collect()
+    assert len(got) == len(models)
+    for r in got:
+        assert (r.input, r.output) == price_brute(rows, r.m), r
+    for m in ("z", "m-a", "default"):
+        one = spark.range(1).select(money.price_of(prices, m).alias("p")).first().p
+        assert tuple(one) == price_brute(rows, m)
+
+
+def test_prices_need_a_default_only_when_used(spark):
+    prices = spark.createDataFrame([("m", 2.0, 3.0)], "model string, input double, output double")
+    one = spark.createDataFrame([("mx",)], "m string")
+    assert money.priced(one, prices, "m").first().price.output == 3.0
+    with pytest.raises(Exception, match="default"):
+        money.priced(one.union(spark.createDataFrame([("z",)], "m string")), prices, "m").collect()
+    pinned = readers.read_prices(spark)
+    got = money.priced(spark.createDataFrame([("gpt-4o-mini-2024",), ("GPT-4o",)], "m string"), pinned, "m").collect()
+    assert {(r.m, r.price.input, r.price.output) for r in got} == {("gpt-4o-mini-2024", 0.15, 0.6), ("GPT-4o", 0.0, 0.0)}
 
 
 def test_arm_cost(spark):
@@ -110,7 +137,22 @@ def test_mcnemar_p():
     assert stats.mcnemar_p(0, 0) == 1.0
     assert stats.mcnemar_p(5, 5) == 1.0
     assert stats.mcnemar_p(1, 9) == pytest.approx(2 * sum(math.comb(10, k) for k in range(2)) / 2**10)
-    assert stats.mcnemar_p(60000, 61000) == pytest.approx(0.0040, abs=5e-4)
+    for b, c in ((600, 700), (60_000, 61_000), (5_000_000, 5_004_000)):
+        z = (abs(b - c) - 1) / math.sqrt(b + c)
+        assert stats.mcnemar_p(b, c) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=0.02)
+
+
+def test_exact_p_in_a_plan(spark):
+    cases = [(0, 0), (5, 5), (1, 9), (0, 60), (600, 700), (60_000, 61_000)]
+    out = stats.exact_p(spark.createDataFrame(cases, "b long, c long")).collect()
+    assert {(r.b, r.c): r.p_value for r in out} == {(b, c): pytest.approx(stats.mcnemar_p(b, c), rel=1e-8) for b, c in cases}
+
+
+def test_settings_without_waits_stay(spark):
+    rows = [(20, 1.0, 2, 5, 5, 10.0, False, "big", None), (20, 1.0, 2, 5, 5, 10.0, False, "big", None), (50, None, 1, 3, 3, 4.0, True, "small", 9.0)]
+    df = spark.createDataFrame(rows, "n int, rate double, batch int, judge_prompt_tokens long, judge_completion_tokens long, judge_ms double, parse_failed boolean, model string, wait_ms double")
+    out = {r.n: r for r in stats.batch_stats(df).collect()}
+    assert set(out) == {20, 50} and out[20].wait_p50 is None and out[20].requests == 2 and out[50].wait_p95 == 9.0
 
 
 def test_published_seed_spread(spark):

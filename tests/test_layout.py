@@ -134,3 +134,15 @@ def test_lanes_keep_equal_texts_together(spark):
     out = windows.lanes(df, "t", 8)
     assert out.groupBy("t").agg(F.count_distinct("lane").alias("n")).where("n > 1").isEmpty()
     assert out.agg(F.min("lane"), F.max("lane")).first() == (0, 7)
+
+
+@pytest.mark.parametrize("k", [3, 1500])
+def test_top_per_group_below_and_above_the_limit(spark, k):
+    rows = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('g', id % 7)) as g", "(id * 7919) % 6007 as o")
+    got = {(r.g, r._rn, r.id) for r in layout.top_per_group(rows, ["g"], ["o", "id"], k, "id").collect()}
+    want, groups = set(), {}
+    for r in rows.collect():
+        groups.setdefault(r.g, []).append((r.o, r.id))
+    for g, own in groups.items():
+        want |= {(g, i + 1, ident) for i, (_, ident) in enumerate(sorted(own)[:k])}
+    assert got == want

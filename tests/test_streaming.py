@@ -10,8 +10,8 @@ from waymeter.streaming import batcher, durable, replay
 
 
 def test_batcher_flushes_the_tail(spark):
-    rows = spark.range(45).select(F.lit(0).cast("long").alias("lane"), F.col("id").cast("string").alias("id"), F.lit("p").alias("prompt"))
-    stream = replay.file_stream(spark, replay.as_files(rows.repartition(1), ["id"]), "lane long, id string, prompt string")
+    rows = spark.range(45).select(F.lit(0).cast("long").alias("lane"), F.col("id").cast("string").alias("id"), F.lit("p").alias("prompt"), F.col("id").alias("seq"))
+    stream = replay.file_stream(spark, replay.as_files(rows.repartition(1), ["id"]), "lane long, id string, prompt string, seq long")
     path = scratch(spark, "sink")
     query = replay.start_table(batcher.micro_batch(stream, "lane", 20, 1500), path, scratch(spark, "state"), available_now=False)
     out = replay.drain(query, path, 45).collect()
@@ -100,3 +100,30 @@ def test_batched_decisions_with_a_dominant_prompt(spark):
     for r in out:
         kept.setdefault(r["prompt"], set()).add((r["model"], r["decision_ms"]))
     assert all(len(v) == 1 for v in kept.values()) and len({r["part"] for r in out}) > 1
+
+
+def test_no_request_is_lost_in_the_decision_store(spark):
+    store = scratch(spark, "store")
+    reqs = spark.createDataFrame([(str(i), None if i % 3 == 0 else f"p{i % 5}") for i in range(30)] + [("x", "")], "id string, prompt string")
+    decide = lambda df: df.withColumn("model", F.lit("m")).withColumn("decision_ms", F.lit(1.0))
+    first = durable.durable_table(reqs, store, "1", decide)
+    assert first.count() == 31 and first.where("model is null").count() == 0
+    second = durable.durable_table(reqs.where("prompt = 'p1'"), store, "2", decide)
+    assert {r["replayed"] for r in second.collect()} == {True}
+    assert "PartitionFilters: [isnotnull(slot" in second._jdf.queryExecution().toString() or "slot#" in second._jdf.queryExecution().executedPlan().toString()
+    empty = durable.durable_table(reqs.limit(0), store, "3", decide)
+    assert empty.count() == 0
+
+
+def test_batch_log(spark):
+    rows = [(0, f"r{i}", f"text {i}" * 20, i, i // 3, i % 3, 3 if i < 6 else 1, 5, "size") for i in range(7)]
+    batched = spark.createDataFrame(rows, batcher.OUTPUT)
+    replies = spark.createDataFrame(
+        [(0, 0, '{"choices": ["big", "small", "big"]}', 3.5, 30, 12), (0, 1, "{", 4.5, 30, 12)],
+        "lane long, wid long, reply string, judge_ms double, judge_prompt_tokens long, judge_completion_tokens long",
+    )
+    out = batcher.batch_log(batched, replies).orderBy("wid", "at").collect()
+    assert [r["model"] for r in out] == ["big", "small", "big"] + ["small"] * 4
+    assert [r["parse_failed"] for r in out] == [False] * 3 + [True] * 3 + [False]
+    assert out[0]["prompt_head"] == ("text 0" * 20)[:60] and out[6]["judge_ms"] is None and {r["wait_ms"] for r in out} == {5}
+    assert set(batcher.LOG) <= set(out[0].asDict())

@@ -99,7 +99,7 @@ def grade_label(spark, d):
 
 
 def norm_label(spark, d):
-    return _docs(spark, d).select("doc_id", X.norm_label(F.substring("text", 1, 60)).alias("label"))
+    return _docs(spark, d).select("doc_id", X.norm_label("text").alias("label"))
 
 
 def code_block(spark, d):
@@ -108,7 +108,7 @@ def code_block(spark, d):
 
 
 def gold_split(spark, d):
-    raw = F.concat(F.substring("text", 1, 50), F.lit(" #### 1,0#### "), F.col("n_chars").cast("string"), F.lit(",5 "))
+    raw = F.concat("text", F.lit(" #### 1,0#### "), F.col("n_chars").cast("string"), F.lit(",5 "))
     return _docs(spark, d).select("doc_id", X.gold_split(raw).alias("gold"))
 
 
@@ -155,12 +155,12 @@ _KEYED = f"(select *, doc_id % 7 <> 0 as has from {_MIXED})"
 
 
 def prompt_templates(spark, d):
-    df = P.intent_prompts(_docs(spark, d).withColumn("msg", F.substring("text", 1, 300)), "msg", "source", "intent")
+    df = P.intent_prompts(_docs(spark, d).withColumn("msg", F.col("text")), "msg", "source", "intent")
 
     def digest(c):
         return F.md5(F.encode(c, "UTF-8"))
 
-    q = F.substring("text", 1, 200)
+    q = F.col("text")
     choices = F.array("lang", "source", F.col("n_chars").cast("string"), F.lit("none"))
     return df.select(
         "doc_id", digest(P.number_prompt(q)).alias("number"), digest(P.choice_prompt(q, choices)).alias("choice"),
@@ -173,12 +173,12 @@ def _q(text):
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_TEMPLATES = f"""select doc_id, md5({_STRIP.format("left(text, 200)")} || {_q(chr(10) * 2 + fixed.NUMBER_TASK)}) as number,
-    md5({_STRIP.format("left(text, 200)")} || {_q(chr(10) * 2)} || 'A. ' || lang || chr(10) || 'B. ' || source || chr(10) || 'C. ' || n_chars
+_TEMPLATES = f"""select doc_id, md5({_STRIP.format("text")} || {_q(chr(10) * 2 + fixed.NUMBER_TASK)}) as number,
+    md5({_STRIP.format("text")} || {_q(chr(10) * 2)} || 'A. ' || lang || chr(10) || 'B. ' || source || chr(10) || 'C. ' || n_chars
       || chr(10) || 'D. none' || {_q(chr(10) * 2 + fixed.LETTER_TASK)}) as choice,
-    md5({_q(fixed.CODE_TASK)} || left(text, 200)) as code,
+    md5({_q(fixed.CODE_TASK)} || text) as code,
     md5({_q(fixed.MODERATION_HEAD)} || left({_STRIP.format("text")}, 6000) || {_q(fixed.MODERATION_TAIL)}) as moderation,
-    md5({_q(fixed.INTENT_HEAD)} || {_STRIP.format("left(text, 300)")} || {_q(fixed.INTENT_LIST)}
+    md5({_q(fixed.INTENT_HEAD)} || {_STRIP.format("text")} || {_q(fixed.INTENT_LIST)}
       || (select string_agg('- ' || source, chr(10) order by source) from (select distinct source from documents))
       || {_q(fixed.INTENT_TAIL)}) as intent from documents"""
 
@@ -193,7 +193,7 @@ ENTRIES = {
         from {_DOCS.format(_sql_case(BINARY))} join (select doc_id, toxic from labels) using (doc_id)"""),
     "fn_grade_label": (grade_label, f"""select doc_id, {_s_label("reply")} as got,
         coalesce({_s_label("reply")} = {_s_norm("lang")}, false) as ok from {_DOCS.format(_sql_case(LABEL))}"""),
-    "fn_norm_label": (norm_label, f"select doc_id, {_s_norm('left(text, 60)')} as label from documents"),
+    "fn_norm_label": (norm_label, f"select doc_id, {_s_norm('text')} as label from documents"),
     "fn_grade_dispatch": (_mixed, f"select doc_id, kind, lang, ok from {_MIXED}"),
     "fn_code_block": (code_block, rf"""select doc_id, md5(case when regexp_matches(coalesce(reply, ''), '{fixed.CODE_PATTERN}')
         then regexp_extract(reply, '{fixed.CODE_PATTERN}', 1) else coalesce(reply, '') end) as digest from {_DOCS.format(_sql_case(CODE))}"""),

@@ -21,8 +21,11 @@ def _parsed(spark, d):
 
 
 def _log_folder(spark, d):
+    """The log as ``*.log`` files. The CSV writer can name its files so; with quoting off it writes lines as they are."""
     path = scratch(spark, "log")
-    L.log_lines(spark, d).repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.text(path)
+    lines = L.log_lines(spark, d).repartitionByRange("pos").sortWithinPartitions("pos").select("value")
+    plain = {"extension": "log", "sep": "\x01", "quote": "\x00", "escape": "\x00", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.options(**plain).csv(path)
     return path
 
 
@@ -34,9 +37,7 @@ def src_requests(spark, d):
 
 
 def src_eventlog(spark, d):
-    ev = R.parse_events(
-        spark.read.text(_log_folder(spark, d)).select("value", R.line_position().alias("pos"))
-    )
+    ev = R.read_eventlog(spark, _log_folder(spark, d))
     rid = F.coalesce("event_id", F.try_variant_get("attributes", "$.request_id", "string"))
     return ev.select("type", "raw_ts", rid.alias("request_id"))
 
@@ -105,13 +106,13 @@ def src_nested_json(spark, d):
     path = scratch(spark, "nested")
     b = V.table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
     b = b.select(
-        F.substring("text", 1, 200).alias("question"),
+        F.col("text").alias("question"),
         F.array("lang", F.lit("b"), F.col("n_chars").cast("string"), F.lit("d")).alias("choices"),
         (F.col("doc_id") % 4).cast("int").alias("answer"),
     )
     b.write.option("compression", "gzip").json(path)
     rows = R.json_lines(spark, path, R.RAW_CHOICE)
-    return rows.select("question", F.array_join("choices", "|").alias("choices"), F.get("choices", F.col("answer")).alias("gold"))
+    return rows.select(F.md5(F.encode("question", "UTF-8")).alias("digest"), F.array_join("choices", "|").alias("choices"), F.get("choices", F.col("answer")).alias("gold"))
 
 
 def src_smoke(spark, d):
@@ -144,8 +145,9 @@ def sink_output(spark, d):
 
 
 def sink_index(spark, d):
-    pos = F.struct("l_orderkey", "l_linenumber")
-    return W.index_lines(W.run_index(_graded(spark, d), pos=pos))
+    path = scratch(spark, "index")
+    W.write_index(W.run_index(_graded(spark, d), pos=F.struct("l_orderkey", "l_linenumber")), path)
+    return R.read_csv(spark, path, W.INDEX)
 
 
 def join_events(spark, d):
@@ -170,12 +172,19 @@ def join_decisions(spark, d):
 
 
 def st_pair(spark, d):
-    f = L.facts(spark, d)
-    a = f.select(F.col("rid").alias("request_id"), F.col("t0").cast("double").alias("t_request"))
-    b = f.where("answer is not null").select(
-        F.col("rid").alias("request_id"), F.when(F.col("turn") == 2, 0.0).otherwise(F.col("t0") + F.col("e2e")).alias("t_response")
-    )
-    return E.pair(a, b).select("request_id", "e2e_ms")
+    """Two streams; each request is sent twice and each response three times, and the last of each counts."""
+    from waymeter.streaming import replay as S
+
+    f = L.facts(spark, d).select("rid", "t0", "e2e", "turn", "answer")
+    at = lambda ms: F.timestamp_millis(ms.cast("long"))
+    sent = f.select("rid", "t0", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    sent = sent.select(F.col("rid").alias("request_id"), at(F.col("t0") - 5 * (1 - F.col("pos"))).alias("t_request"), F.col("pos").cast("long").alias("p_request"))
+    came = f.where("answer is not null and turn <> 2").select("rid", "t0", "e2e", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"))
+    late = F.col("t0") + F.col("e2e") + 7 * (2 - F.col("pos"))  # the last is not the latest
+    came = came.select(F.col("rid").alias("request_id"), at(late).alias("t_response"), F.col("pos").cast("long").alias("p_response"))
+    a = S.file_stream(spark, S.as_files(sent, ["request_id", "p_request"]), sent.schema)
+    b = S.file_stream(spark, S.as_files(came, ["request_id", "p_response"]), came.schema)
+    return S.last_pairs(S.run_to_end(S.pair_streams(a, b))).select("request_id", "e2e_ms")
 
 
 def join_exact_dedup(spark, d):
@@ -185,7 +194,7 @@ def join_exact_dedup(spark, d):
 
 
 def fn_untruncate(spark, d):
-    return V.requests(spark, d).select("id", X.untruncate(F.concat(F.substring("prompt", 1, 30), F.when(F.col("turn") % 4 == 0, "......").otherwise("..."))).alias("text"))
+    return V.requests(spark, d).select("id", X.untruncate(F.concat("prompt", F.when(F.col("turn") % 4 == 0, "......").otherwise("..."))).alias("text"))
 
 
 def fn_ts_ms(spark, d):
@@ -214,7 +223,7 @@ ENTRIES = {
     "src_backend_log": (src_backend_log, """select 'head ' || user_id as prompt_head,
         case when arg_max(value, event_id) < 35 then 'small' else 'big' end as model from events group by user_id"""),
     "src_csv": (src_csv, "select doc_id, md5('said \"x\",' || chr(10) || replace(text, chr(13), '')) as digest from documents"),
-    "src_nested_json": (src_nested_json, """select left(text, 200) as question, lang || '|b|' || n_chars || '|d' as choices,
+    "src_nested_json": (src_nested_json, """select md5(text) as digest, lang || '|b|' || n_chars || '|d' as choices,
         case doc_id % 4 when 0 then lang when 1 then 'b' when 2 then cast(n_chars as varchar) else 'd' end as gold from documents"""),
     "src_smoke": (src_smoke, """select event_id, case when event_id % 2 = 0 then 'Say hello in five words or fewer. (request ' || event_id || ')'
         else 'Write SQL to count rows in table t' || event_id || '.' end as prompt from events"""),
@@ -237,7 +246,7 @@ ENTRIES = {
         where answer is not null and turn <> 2""", "v_facts")),
     "join_exact_dedup": (join_exact_dedup, "select min(doc_id) as doc_id, arg_min(source, doc_id) as source from documents group by text"),
     "fn_untruncate": (fn_untruncate, sql(
-        "select id, left(prompt, 30) || case when turn % 4 = 0 then '...' else '' end as text from v_requests", "v_requests")),
+        "select id, prompt || case when turn % 4 = 0 then '...' else '' end as text from v_requests", "v_requests")),
     "fn_ts_ms": (fn_ts_ms, """select event_id, case event_id % 4 when 0 then floor(epoch_us(ts) / 1000) when 1 then floor(epoch_us(ts) / 1000) - 7200000.0::double
         when 2 then floor(epoch_us(ts) / 1000) end as ms from events"""),
     "fn_answer_cut": (fn_answer_cut, "select doc_id, md5(left(case when doc_id % 5 <> 0 then text else '' end, 4000)) as digest from documents"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymeter.operators import layout
 from waymeter.operators import sampling as M
 from waymeter.operators import stats as S
 from waymeter.plans import views as V
@@ -14,12 +13,13 @@ from waymeter.sources.readers import last_by_key
 ARMS = list(V.ARMS)
 
 
-def _first_seed(spark, d):
-    return V.predictions(spark, d).where("seed = 1")
+def _by_seed(spark, d):
+    """Every prediction; an item of one seed is an item of its own."""
+    return V.predictions(spark, d).withColumn("item", F.concat_ws("/", F.col("item").cast("string"), F.col("seed").cast("string")))
 
 
 def pair_arms(spark, d):
-    return S.pair_arms(_first_seed(spark, d), ARMS)
+    return S.pair_arms(_by_seed(spark, d), ARMS)
 
 
 def seeds(spark, d):
@@ -33,14 +33,14 @@ def recall(spark, d):
 
 
 def mcnemar(spark, d):
-    """Discordant counts of the majority votes with the corrected chi-square statistic."""
+    """Discordant counts of the majority votes with the corrected chi-square statistic and the exact p-value."""
     votes = S.majority(V.predictions(spark, d))
-    out = S.chi_square(S.discordant(votes, "nano", "big"))
-    return out.select("pairs", "b", "c", F.round("chi2", 6).alias("chi2"))
+    out = S.exact_p(S.chi_square(S.discordant(votes, "nano", "big")))
+    return out.select("pairs", "b", "c", F.round("chi2", 6).alias("chi2"), F.round("p_value", 9).alias("p_value"))
 
 
 def oracle(spark, d):
-    out = S.oracle(_first_seed(spark, d), ARMS, "nano")
+    out = S.oracle(_by_seed(spark, d), ARMS, "nano")
     return out.select("items", *[F.round(c, 6).alias(c) for c in ("oracle_acc", "best_arm_acc", "headroom", "escalation")])
 
 
@@ -89,6 +89,11 @@ def bootstrap(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")], "reps")
 
 
+def bootstrap_median(spark, d):
+    out = S.bootstrap_median_gap(_items(spark, d), "routed", "direct", reps=REPS, seed=SEED)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")], "reps")
+
+
 _CUTS = S.POISSON_CUTS
 _W = "case " + " ".join(f"when u < {c} then {k}" for k, c in enumerate(_CUTS[:-1])) + f" else {len(_CUTS) - 1} end"
 _BOOT = f"""with d as (select doc_id as item, (doc_id * 37 % 101)::double as d from documents),
@@ -105,9 +110,7 @@ def row_ids(spark, d):
 
 def shuffled(spark, d):
     """The seeded order, shown as each row's place in it."""
-    docs = V.table(spark, d, "documents").select("doc_id")
-    placed = layout.number_rows(docs.withColumn("o", M.order_key("doc_id", 9)), [], ["o", "doc_id"], "place")
-    return placed.select("doc_id", "place")
+    return M.shuffle(V.table(spark, d, "documents").select("doc_id"), "doc_id", 9).select("doc_id", "place")
 
 
 def first_n(spark, d):
@@ -140,8 +143,8 @@ def _o(key, seed):
 
 
 ENTRIES = {
-    "join_pair_arms": (pair_arms, sql("""select item, max(correct) filter (arm = 'nano') as nano, max(correct) filter (arm = 'mini') as mini,
-        max(correct) filter (arm = 'big') as big from v_pred where seed = 1 group by 1""", "v_pred")),
+    "join_pair_arms": (pair_arms, sql("""select item || '/' || seed as item, max(correct) filter (arm = 'nano') as nano, max(correct) filter (arm = 'mini') as mini,
+        max(correct) filter (arm = 'big') as big from v_pred group by 1""", "v_pred")),
     "agg_seeds": (seeds, sql("""select arm, count(*) as seeds, round(avg(a), 6) as mean_acc, round(stddev_samp(a), 6) as sd_acc
         from (select arm, seed, avg(correct) * 100 as a from v_pred group by 1, 2) group by 1""", "v_pred")),
     "agg_class_recall": (recall, sql("""select arm, gold, count(*) as n, round(avg(case when pred = gold then 1 else 0 end), 6) as recall
@@ -154,16 +157,18 @@ ENTRIES = {
         lambda spark, d: S.majority(V.predictions(spark, d)),
         sql("select arm, item, cast(sum(correct) * 2 > count(*) as int) as correct from v_pred group by 1, 2", "v_pred"),
     ),
-    "agg_mcnemar": (mcnemar, sql("""select count(*) as pairs, count(*) filter (x = 1 and y = 0) as b, count(*) filter (x = 0 and y = 1) as c,
+    "agg_mcnemar": (mcnemar, sql("""select *, round(least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1),
+          lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))), 9) as p_value from (
+        select count(*) as pairs, count(*) filter (x = 1 and y = 0) as b, count(*) filter (x = 0 and y = 1) as c,
         round(power(greatest(abs(count(*) filter (x = 1 and y = 0) - count(*) filter (x = 0 and y = 1)) - 1, 0), 2)::double
           / nullif(count(*) filter (x <> y), 0), 6) as chi2
         from (select item, max(v) filter (arm = 'nano') as x, max(v) filter (arm = 'big') as y from (
-          select arm, item, cast(sum(correct) * 2 > count(*) as int) as v from v_pred group by 1, 2) group by 1)""", "v_pred")),
+          select arm, item, cast(sum(correct) * 2 > count(*) as int) as v from v_pred group by 1, 2) group by 1))""", "v_pred")),
     "agg_oracle": (oracle, sql("""select count(*) as items, round(avg(greatest(nano, mini, big)), 6) as oracle_acc,
         round(greatest(avg(nano), avg(mini), avg(big)), 6) as best_arm_acc,
         round(avg(greatest(nano, mini, big)) - greatest(avg(nano), avg(mini), avg(big)), 6) as headroom, round(avg(1 - nano), 6) as escalation
-        from (select item, max(correct) filter (arm = 'nano') as nano, max(correct) filter (arm = 'mini') as mini,
-          max(correct) filter (arm = 'big') as big from v_pred where seed = 1 group by 1)""", "v_pred")),
+        from (select max(correct) filter (arm = 'nano') as nano, max(correct) filter (arm = 'mini') as mini,
+          max(correct) filter (arm = 'big') as big from v_pred group by v_pred.item, seed)""", "v_pred")),
     "agg_drift": (drift, """select model, strftime(epoch, '%Y-%m-%d') as epoch, n, round(acc, 6) as acc,
         round(acc - lag(acc) over (partition by model order by epoch), 6) as change from (
         select case when user_id % 2 = 0 then 'small' else 'big' end as model, date_trunc('week', ts) as epoch, count(*) as n,
@@ -175,6 +180,7 @@ ENTRIES = {
         select arm, n, round(p, 6) as p50, round(p - (select p from m where arm = 'direct'), 6) as delta_ms,
         round((p - (select p from m where arm = 'direct')) / 2, 6) as per_write_ms from m"""),
     "agg_bootstrap": (bootstrap, _BOOT),
+    "agg_bootstrap_median": (bootstrap_median, None),  # ranks are drawn from a beta distribution
     "win_row_ids": (row_ids, f"""select doc_id, lang, 'w' || case when length(cast(rn as varchar)) < 4 then lpad(cast(rn as varchar), 4, '0')
         else cast(rn as varchar) end as id from (select doc_id, lang, row_number() over (order by {_o("doc_id", 42)}, doc_id) - 1 as rn from documents)"""),
     "win_shuffle": (shuffled, f"select doc_id, row_number() over (order by {_o('doc_id', 9)}, doc_id) as place from documents"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymeter.functions.text import content_key, draw, head, words
+from waymeter import fixed
+from waymeter.functions.text import content_key, draw
 from waymeter.operators import policies as P
 from waymeter.plans import views as V
 from waymeter.plans.views import sql
@@ -14,7 +16,7 @@ from waymeter.streaming import durable as D
 from waymeter.streaming import handlers as H
 from waymeter.streaming import replay as R
 
-LANES, N, TIMEOUT_MS = 16, 20, 3000
+LANES, N, TIMEOUT_MS = 64, 20, 3000
 
 
 def _finish(stream, rows, state_partitions=None):
@@ -37,33 +39,55 @@ def _request_files(spark, d):
 
 
 def st_fanout(spark, d):
-    return R.run_to_end(R.fanout(_request_files(spark, d), R.width(spark)))
+    """Both forms: dealt evenly nothing is lost, and with a key all rows of a key meet in one task."""
+    even = R.run_to_end(R.fanout(_request_files(spark, d), R.width(spark)))
+    keyed = R.fanout(_request_files(spark, d), R.width(spark), "slice")
+    keyed = R.run_to_end(keyed.withColumn("task", F.spark_partition_id()))
+    tasks = keyed.groupBy("slice").agg(F.count_distinct("task").alias("tasks"), F.count(F.lit(1)).alias("keyed_rows"))
+    return even.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids")).join(tasks, "slice")
 
 
 def _batched(spark, d):
-    """All files in one micro-batch, so that only the lanes' tails wait for the timer."""
+    """Files of a bounded number per micro-batch would let the timer decide where windows end; here it only ends
+    the lanes' tails, so that windows can be compared with a table. All files are one micro-batch."""
     rows = V.table(spark, d, "events").select(
-        (F.col("user_id") % LANES).alias("lane"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("prompt")
+        (F.col("user_id") % LANES).alias("lane"), F.col("event_id").cast("string").alias("id"),
+        F.concat_ws(" ", "event_type", "props").alias("prompt"), F.col("event_id").alias("seq"),
     )
-    folder = R.as_files(rows, ["id"])
-    stream = R.file_stream(spark, folder, "lane long, id string, prompt string")
+    folder = R.as_files(rows, ["seq"])
+    stream = R.file_stream(spark, folder, rows.schema)
     return _finish(B.micro_batch(stream, "lane", N, TIMEOUT_MS), rows.count(), LANES)
 
 
 def st_batcher(spark, d):
-    out = _batched(spark, d).where("at = 0")
-    return out.groupBy("lane", "batch", "closed_by").agg(F.count(F.lit(1)).alias("windows"))
+    """Window membership, place, size and the reason for closing, of every request."""
+    return _batched(spark, d).select("lane", "wid", "at", "id", "batch", "closed_by")
 
 
 def st_end_flush(spark, d):
-    """Every request comes out exactly once, tails included."""
-    return _batched(spark, d).select("id", "lane")
+    """Every request comes out exactly once, tails included, and in the order it was sent."""
+    out = _batched(spark, d)
+    before = F.lag("seq").over(Window.partitionBy("lane", "wid").orderBy("at"))
+    return out.select("id", "lane", (F.col("batch") < N).alias("tail"), F.coalesce(F.col("seq") > before, F.lit(True)).alias("in_order"))
+
+
+REPLIES = ['{"choices": ["big", "big", "small", "big", "big"]}', '{"choices": ["big", "small"]}', '{"choices": ["big"', '{"other": 1}']
 
 
 def sink_batches(spark, d):
-    """The batch log a windowed run appends: one row per routed request, by window size."""
-    out = _batched(spark, d).select(head("prompt").alias("prompt_head"), "batch", "wait_ms")
-    return out.groupBy("prompt_head").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("wait_ms") < 0).alias("negative_waits"))
+    """The windowed routing job: requests to windows, prompts and verdicts to the batch log, written and read back."""
+    batched = _batched(spark, d)
+    k = F.col("wid") % len(REPLIES)
+    replies = batched.where("at = 0").select(
+        "lane", "wid", F.element_at(F.array(*map(F.lit, REPLIES)), k.cast("int") + 1).alias("reply"), (k * 1.5 + 2).cast("double").alias("judge_ms"),
+        (F.col("batch") * 10).cast("long").alias("judge_prompt_tokens"), F.lit(12).cast("long").alias("judge_completion_tokens"),
+    )
+    log = B.batch_log(batched, replies).select(*B.LOG, "lane", "wid", "at", "id", F.length("judge_prompt").alias("prompt_chars"))
+    path = scratch(spark, "batches")
+    log.write.json(path)
+    back = spark.read.schema(log.schema).json(path)
+    # Waits depend on the clock: only their bounds can be compared.
+    return back.withColumn("waited", (F.col("wait_ms") >= 0) & (F.col("wait_ms") < 3_600_000)).drop("wait_ms")
 
 
 def durable_decision(spark, d):
@@ -73,7 +97,7 @@ def durable_decision(spark, d):
 
     def decider(seed):
         policy = P.coin(0.5, seed)
-        return lambda df: df.withColumn("model", policy(F.col("prompt"))["selected"]).withColumn("decision_ms", F.length("prompt") * 1.0)
+        return lambda df: df.withColumn("model", policy(F.col("prompt"))["selected"]).withColumn("decision_ms", F.length("prompt") * 1.0 + seed * 0.5)
 
     D.durable_table(reqs.where("conv_id % 2 = 0"), store, "b1", decider(1))
     out = D.durable_table(reqs, store, "b2", decider(2))
@@ -81,16 +105,19 @@ def durable_decision(spark, d):
 
 
 def udf_stateful(spark, d):
-    """One decision per content, whatever order its requests arrive in."""
+    """One decision per content: the second run of the stream proposes others, and the first run's stay."""
     rows = V.table(spark, d, "events").select(
-        content_key(F.col("user_id").cast("string")).alias("content"), F.col("event_id").cast("string").alias("id"),
-        F.when(F.col("value") < 35, "small").otherwise("big").alias("model"), F.col("value").alias("decision_ms"),
+        content_key(F.col("user_id").cast("string")).alias("content"), F.col("event_id").cast("string").alias("id"), "event_id",
+        F.when(F.col("user_id") % 3 == 0, "small").otherwise("big").alias("first"), (F.col("user_id") % 10 + 0.5).cast("double").alias("ms"),
     )
-    folder = R.as_files(rows, ["id"])
-    stream = R.file_stream(spark, folder, "content string, id string, model string, decision_ms double", max(1, R.width(spark) // 2))
-    kept = R.run_to_end(D.durable(stream))
-    per = kept.groupBy("content", "model", "decision_ms").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("content").agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("decisions"))
+    folder, state, path = scratch(spark, "in"), scratch(spark, "state"), scratch(spark, "sink")
+    kind = "content string, id string, model string, decision_ms double"
+    odd = F.col("event_id") % 2 == 1
+    for part, model, ms in ((~odd, F.col("first"), F.col("ms")), (odd, F.lit("other"), F.lit(-1.0))):
+        rows.where(part).select("content", "id", model.alias("model"), ms.alias("decision_ms")).write.mode("append").parquet(folder)
+        R.start_table(D.durable(R.file_stream(spark, folder, kind)), path, state).awaitTermination()
+    kept = spark.read.schema(D.OUTPUT).parquet(path)
+    return kept.select("content", "id", "model", "decision_ms")
 
 
 def udf_policy(spark, d):
@@ -122,19 +149,29 @@ def udf_meter(spark, d):
 
 
 _SPLIT = f"case when {V.sql_bucket('prompt')} < 50 then 'big' else 'small' end"
-_COUNTS = f"(select user_id % {LANES} as lane, count(*) as n from events group by 1)"
+_PLACED = f"""(select *, count(*) over (partition by lane, wid)::int as batch from (
+    select *, (rn - 1) // {N} as wid, cast((rn - 1) % {N} as int) as "at" from (
+    select user_id % {LANES} as lane, cast(event_id as varchar) as id, event_type || ' ' || props as prompt,
+      row_number() over (partition by user_id % {LANES} order by event_id) as rn from events)))"""
 
 ENTRIES = {
     "src_replay": (src_replay, sql("select id, slice, prompt from v_requests", "v_requests")),
-    "st_fanout": (st_fanout, sql("select id, slice, prompt from v_requests", "v_requests")),
-    "st_batcher": (st_batcher, f"""select lane, cast({N} as int) as batch, 'size' as closed_by, n // {N} as windows from {_COUNTS} where n >= {N}
-        union all select lane, cast(n % {N} as int), 'time', 1 from {_COUNTS} where n % {N} > 0"""),
-    "st_end_flush": (st_end_flush, f"select cast(event_id as varchar) as id, user_id % {LANES} as lane from events"),
-    "sink_batches": (sink_batches, "select left(event_type, 60) as prompt_head, count(*) as rows, 0::bigint as negative_waits from events group by 1"),
+    "st_fanout": (st_fanout, sql("""select slice, count(*) as rows, count(distinct id) as ids, 1::bigint as tasks, count(*) as keyed_rows
+        from v_requests group by 1""", "v_requests")),
+    "st_batcher": (st_batcher, f"""select lane, wid, "at", id, batch, case when batch = {N} then 'size' else 'time' end as closed_by from {_PLACED}"""),
+    "st_end_flush": (st_end_flush, f"select id, lane, batch < {N} as tail, true as in_order from {_PLACED}"),
+    "sink_batches": (sink_batches, f"""select lane, wid, "at", id, left(prompt, 60) as prompt_head, batch, (wid % 4) * 1.5::double + 2 as judge_ms,
+        batch * 10::bigint as judge_prompt_tokens, 12::bigint as judge_completion_tokens, wid % 4 = 2 as parse_failed, true as waited,
+        case when wid % 4 = 0 and "at" in (0, 1, 3, 4) or wid % 4 = 1 and "at" = 0 then 'big' else 'small' end as model,
+        cast(sum(length('--- request ' || ("at" + 1) || ' ---') + 2 + least(length(prompt), {fixed.WINDOW_REQUEST_CHARS})) over (partition by lane, wid)
+          + {len(fixed.WINDOW_HEAD) + len(fixed.WINDOW_TAIL)} + length(batch::varchar) as int) as prompt_chars from {_PLACED}"""),
     "st_durable_decision": (durable_decision, sql(f"""select id, case when {V.sql_draw('prompt', 1)} < 0.5 and conv_id % 2 = 0
         or {V.sql_draw('prompt', 2)} < 0.5 and conv_id % 2 <> 0 then 'big' else 'small' end as model,
-        length(prompt)::double as decision_ms, conv_id % 2 = 0 as replayed from v_requests""", "v_requests")),
-    "udf_stateful": (udf_stateful, """select sha256(cast(user_id as varchar)) as content, count(*) as requests, 1::bigint as decisions from events group by 1"""),
+        (length(prompt) + case when conv_id % 2 = 0 then 0.5 else 1.0 end)::double as decision_ms, conv_id % 2 = 0 as replayed from v_requests""", "v_requests")),
+    "udf_stateful": (udf_stateful, """select sha256(cast(user_id as varchar)) as content, cast(event_id as varchar) as id,
+        case when first_even is null then 'other' when user_id % 3 = 0 then 'small' else 'big' end as model,
+        (case when first_even is null then -1.0 else user_id % 10 + 0.5 end)::double as decision_ms
+        from (select *, min(event_id) filter (event_id % 2 = 0) over (partition by user_id) as first_even from events)"""),
     "udf_policy": (udf_policy, sql("""select id, length(prompt) % 100 / 100.0::double as score,
         case when length(prompt) % 100 >= 60 then 'big' else 'small' end as selected from v_requests""", "v_requests")),
     "udf_events": (udf_events, sql(f"""select id as request_id, {_SPLIT} as selected_model, 'strategy' as decision_source,

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymeter.functions.text import col
+from waymeter.session import pin
 
-LITERAL_PRICE_ROWS = 500
+DEFAULT = "default"
 
 
 def token_cost(
@@ -21,53 +20,38 @@ def token_cost(
     return n_in / F.lit(1e6) * col(rate_in) + n_out / F.lit(1e6) * col(rate_out)
 
 
-def rate(rows: list[tuple[str, float, float]], model: Column) -> Column:
-    """(input, output) of the longest price name that is a prefix of ``model``."""
+def _by_name(prices: DataFrame) -> DataFrame:
+    """``_name, _pair``: one row per price name.
+
+    The last row of a repeated name wins: by ``pos`` where the table has it, else by its own values.
+    """
+    pair = F.struct(F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"))
+    order = F.struct("pos", pair) if "pos" in prices.columns else pair
+    return prices.where("model is not null").groupBy(F.col("model").alias("_name")).agg(F.max_by(pair, order).alias("_pair"))
 
-    def pair(p: tuple[str, float, float]) -> Column:
-        return F.struct(F.lit(float(p[1])).alias("input"), F.lit(float(p[2])).alias("output"))
 
-    fallback = [p for p in rows if p[0] == "default"]
-    if not fallback:
-        raise ValueError("the price table needs a 'default' row")
-    named = sorted((p for p in rows if p[0] != "default"), key=lambda p: -len(p[0]))
-    return reduce(
-        lambda rest, p: F.when(F.startswith(model, F.lit(p[0])), pair(p)).otherwise(rest),
-        reversed(named),
-        pair(fallback[-1]),
-    )
+def _or_default(found: Column, prices: DataFrame) -> Column:
+    default = _by_name(prices).where(F.col("_name") == DEFAULT).agg(F.max("_pair")).scalar()
+    return F.coalesce(found, default, F.raise_error(F.lit("the price table needs a 'default' row")))
+
+
+def price_of(prices: DataFrame, model: str) -> Column:
+    """The (input, output) price of one named model, from the price table alone."""
+    fits = _by_name(prices).where((F.col("_name") != DEFAULT) & F.startswith(F.lit(model), F.col("_name")) & F.lit(bool(model)))
+    return _or_default(fits.agg(F.max_by("_pair", F.length("_name"))).scalar(), prices)
 
 
 def priced(df: DataFrame, prices: DataFrame, model: Column | str, name: str = "price") -> DataFrame:
-    """Attach ``name`` (struct input, output): longest matching prefix, else the default row.
+    """Attach ``name`` (struct input, output): the longest price name that begins the model's name.
 
-    A price table of up to LITERAL_PRICE_ROWS rows becomes literals, so the fact rows are
-    neither joined nor shuffled. A larger one is matched once per distinct model name, by
-    equality on each prefix of the name, and looked up by name.
+    A null or empty model, and one that no name begins, has the ``default`` row's price; an error is raised
+    if there is none. Names are found once per distinct model, by equality on its beginnings, and
+    written, so that Spark knows their size when it chooses how to join the rows to them.
     """
-    m = col(model)
-    seen = prices.select("model", "input", "output").limit(LITERAL_PRICE_ROWS + 1).collect()
-    if len(seen) <= LITERAL_PRICE_ROWS:
-        rows = [(r["model"], r["input"], r["output"]) for r in seen]
-        # One level of projection keeps the branch chain evaluated once per row.
-        return df.withColumn(name, rate(rows, F.coalesce(m, F.lit(""))))
-    models = df.select(F.coalesce(m, F.lit("")).alias("_m")).distinct()
-    parts = models.where(F.length("_m") > 0).select(
-        "_m",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length("_m")), lambda i: F.substr("_m", F.lit(1), i))
-        ).alias("_part"),
-    )
-    pair = F.struct(F.col("input").cast("double").alias("input"), F.col("output").cast("double").alias("output"))
-    hits = (
-        parts.join(prices.where(F.col("model") != "default"), F.col("_part") == F.col("model"))
-        .groupBy("_m")
-        .agg(F.max_by(pair, F.length("_part")).alias("_hit"))
-    )
-    default = prices.where(F.col("model") == "default").agg(F.max(pair)).scalar()
-    return (
-        df.withColumn("_m", F.coalesce(m, F.lit("")))
-        .join(hits, "_m", "left")
-        .withColumn(name, F.coalesce("_hit", default))
-        .drop("_m", "_hit")
-    )
+    models = df.select(F.coalesce(col(model), F.lit("")).alias("_m")).where("_m <> ''").distinct()
+    begins = F.transform(F.sequence(F.lit(0), F.length("_m")), lambda i: F.substr("_m", F.lit(1), i))
+    parts = models.select("_m", F.explode(begins).alias("_name"))
+    hits = parts.join(_by_name(prices).where(F.col("_name") != DEFAULT), "_name")
+    hits = pin(hits.groupBy("_m").agg(F.max_by("_pair", F.length("_name")).alias("_hit")), "prices")
+    joined = df.withColumn("_m", F.coalesce(col(model), F.lit(""))).join(hits, "_m", "left")
+    return joined.withColumn(name, _or_default(F.col("_hit"), prices)).drop("_m", "_hit")

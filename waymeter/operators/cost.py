@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymeter import fixed
-from waymeter.functions.money import priced, token_cost
+from waymeter.functions.money import price_of, priced, token_cost
+from waymeter.session import pin
 
 
 def model_column() -> Column:
@@ -26,7 +27,7 @@ def with_usd(df: DataFrame, prices: DataFrame, judge_model: str = fixed.JUDGE_MO
 
 def judge_usd(df: DataFrame, prices: DataFrame, judge_model: str = fixed.JUDGE_MODEL) -> DataFrame:
     """Add ``judge_usd``: judge tokens at the judge model's rate, zero without tokens."""
-    out = priced(df, prices, F.lit(judge_model), "_judge")
+    out = df.withColumn("_judge", price_of(prices, judge_model))
     usd = token_cost("judge_prompt_tokens", "judge_completion_tokens", "_judge.input", "_judge.output")
     return out.withColumn("judge_usd", usd).drop("_judge")
 
@@ -36,14 +37,18 @@ def arm_cost(
 ) -> DataFrame:
     """Per arm: requests, accuracy over graded rows, usd_total, usd_per_1k, by_model.
 
-    Rows are reduced to (arm, model) before the only shuffle that grows with the data.
+    Rows are reduced to token sums per (arm, model) before anything is shuffled or priced. ``by_model``
+    holds one entry for each model of an arm, as the result it stands for does.
     """
-    per_model = with_usd(rows, prices, judge_model).groupBy(key, "model").agg(
+    tokens = ["prompt_tokens", "completion_tokens", "judge_prompt_tokens", "judge_completion_tokens"]
+    sums = rows.withColumn("model", model_column()).groupBy(key, "model").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("graded_correct").alias("graded"),
         F.sum(F.col("graded_correct").cast("long")).alias("correct"),
-        F.sum("usd").alias("usd"),
+        *[F.sum(t).alias(t) for t in tokens],
     )
+    per_model = judge_usd(priced(pin(sums, "sums"), prices, "model", "_call"), prices, judge_model)
+    per_model = per_model.withColumn("usd", token_cost("prompt_tokens", "completion_tokens", "_call.input", "_call.output") + F.col("judge_usd"))
     acc = F.try_divide(F.sum("correct"), F.sum("graded"))
     by_model = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "n"))))
     return per_model.groupBy(key).agg(

@@ -240,9 +240,12 @@ def decisions(events: DataFrame, requests: DataFrame, any_role: bool = False) ->
     return joined.groupBy("workload_id").agg(F.max_by("d", "first").alias("d")).select("workload_id", "d.*")
 
 
-def pair(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Request and response by request id with ``e2e_ms`` (times in epoch ms, zero counts as unset)."""
-    a = requests.groupBy("request_id").agg(F.max("t_request").alias("t_request"))
-    b = responses.groupBy("request_id").agg(F.max("t_response").alias("t_response"))
+def pair(requests: DataFrame, responses: DataFrame, pos: str = "pos") -> DataFrame:
+    """Request and response by request id with ``e2e_ms`` (times in epoch ms, zero counts as unset).
+
+    Of repeated events the last by ``pos`` counts, whatever its time.
+    """
+    a = requests.groupBy("request_id").agg(F.max_by("t_request", pos).alias("t_request"))
+    b = responses.groupBy("request_id").agg(F.max_by("t_response", pos).alias("t_response"))
     both = a.where("t_request <> 0").join(b.where("t_response <> 0"), "request_id")
     return both.withColumn("e2e_ms", F.col("t_response") - F.col("t_request"))

@@ -19,6 +19,8 @@ SLAB_BITS = 33  # monotonically_increasing_id keeps the partition number above t
 def lay_out(df: DataFrame, *order: Column | str) -> DataFrame:
     """Sort globally and freeze the result with ``_slab`` and ``_idx`` (0-based in the slab).
 
+    Eager: the sorted rows are written to the shared folder when this is called.
+
     ``order`` should end in a unique column, so that no slab is forced to hold all ties.
     """
     laid = (
@@ -61,7 +63,10 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name:
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` within each key, in ``order``."""
-    laid = lay_out(df, *keys, *order)
+    return _running_sum(lay_out(df, *keys, *order), keys, value, name)
+
+
+def _running_sum(laid: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     inside = Window.partitionBy("_slab", *keys).orderBy("_idx")
     local = laid.withColumn("_local", F.sum(value).over(inside))
     across = (
@@ -94,8 +99,9 @@ def exact_percentiles(
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = running_sum(counted, keys, [value], "_c", "_cum")
-    sizes = ranked.groupBy(*keys).agg(F.max("_cum").alias("_size"))
+    laid = lay_out(counted, *keys, value)
+    ranked = _running_sum(laid, keys, "_c", "_cum")
+    sizes = laid.groupBy(*keys).agg(F.sum("_c").alias("_size"))  # without ranking a second time
     if keys:
         sized = ranked.join(
             sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_size"),
@@ -134,13 +140,19 @@ def percentiles_wide(
 
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column | str], k: int, unique: str, name: str = "_rn",
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
-    """The first ``k`` rows of each group, numbered.
+    """The first ``k`` rows of each group, numbered. ``order`` ends in a unique column.
 
-    A hot group is first cut to ``k`` rows in each of ``salts`` salted parts, so the final
-    window sees at most ``salts * k`` rows of any group however large it is.
+    A hot group is first cut to ``k`` rows in each of ``salts`` salted parts (as many as there are shuffle
+    partitions), where Spark keeps no more than ``k`` rows of a part in its map tasks. It does so up to a
+    threshold of its own; beyond it the rows are numbered over range-sorted slabs, which gives the same
+    numbers and splits any group.
     """
+    conf = df.sparkSession.conf
+    if k > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return number_rows(df, keys, order, name).withColumn(name, F.col(name).cast("long")).where(F.col(name) <= k)
+    salts = salts or int(conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     first = salted.withColumn("_cut", F.row_number().over(part)).where(F.col("_cut") <= k)

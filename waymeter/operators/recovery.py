@@ -125,15 +125,15 @@ def reissue(
     listed = diverged_items(again, n=examples).agg(F.array_sort(F.collect_list("workload_id")))
     got = F.col("recv") > 0
     return sets.agg(
-        F.sum("recv").alias("ledger_recv_total"),
+        F.coalesce(F.sum("recv"), F.lit(0)).alias("ledger_recv_total"),
         F.count_if(got).alias("unique_prompts_invoked"),
-        F.sum("broken").alias("in_flight_at_kill"),
+        F.coalesce(F.sum("broken"), F.lit(0)).alias("in_flight_at_kill"),
         F.count_if("reissued").alias("reissued_prompts"),
         F.count_if(F.col("in_flight") & F.col("reissued")).alias("inflight_and_reissued"),
         F.count_if(F.col("in_flight_wide") & F.col("reissued")).alias("inflight_wide_and_reissued"),
         F.count_if(F.col("completed") & F.col("reissued")).alias("completed_prekill_reissued"),
-        F.max("recv").alias("max_recv_per_prompt"),
-        (F.lit(reply_tokens) * F.sum(F.greatest(F.col("recv") - 1, F.lit(0)))).alias("double_billed_tokens"),
+        F.coalesce(F.max("recv"), F.lit(0)).alias("max_recv_per_prompt"),
+        F.coalesce(F.lit(reply_tokens) * F.sum(F.greatest(F.col("recv") - 1, F.lit(0))), F.lit(0)).alias("double_billed_tokens"),
     ).select(
         "*",
         kept.getField("kept").alias("reissued_decision_kept"),

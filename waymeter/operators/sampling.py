@@ -15,14 +15,15 @@ def order_key(unique: str, seed: int) -> Column:
     return F.sha1(F.encode(F.concat(F.col(unique).cast("string"), F.lit(f"|{seed}")), "UTF-8"))
 
 
-def shuffle(df: DataFrame, unique: str, seed: int) -> DataFrame:
-    return df.orderBy(order_key(unique, seed), unique)
+def shuffle(df: DataFrame, unique: str, seed: int, name: str = "place") -> DataFrame:
+    """The rows in seeded order, with each row's place from 1 in ``name``; no task sorts more than a slab."""
+    keyed = df.withColumn("_o", order_key(unique, seed))
+    return number_rows(keyed, [], ["_o", unique], name).drop("_o")
 
 
 def assign_ids(df: DataFrame, unique: str, seed: int, prefix: str, width: int = 4) -> DataFrame:
     """Zero-padded ids by position after a seeded shuffle, without a one-task sort."""
-    keyed = df.withColumn("_o", order_key(unique, seed))
-    placed = number_rows(keyed, [], ["_o", unique], "_at").drop("_o")
+    placed = shuffle(df, unique, seed, "_at")
     digits = (F.col("_at") - 1).cast("string")
     padded = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
     return placed.withColumn("id", F.concat(F.lit(prefix), padded)).drop("_at")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymeter.functions.binomial import binomial_tail
 from waymeter.operators.layout import exact_percentiles, lay_out, number_rows, percentiles_wide
 
 TAILS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -48,7 +49,10 @@ def overhead(rows: DataFrame, direct: str, value: str = "e2e_ms", writes: int =
 
 
 def _poisson_cuts(limit: int = 1 << 16) -> list[int]:
-    """Inverse Poisson(1) on 16 bits: a draw below cut k means a weight of at most k."""
+    """Inverse Poisson(1) on 16 bits: a draw below cut k means a weight of at most k.
+
+    Weights of 9 and more, whose chance is 1e-6, are below the resolution and never drawn.
+    """
     cuts, total, k = [], 0.0, 0
     while round(total * limit) < limit:
         total += math.exp(-1) / math.factorial(k)
@@ -143,7 +147,7 @@ def bootstrap_median_gap(
         ranks = np.ceil(n * rng.beta(m, n - m + 1, reps)).clip(1, n).astype("int64")
         picks += [(arm, rep, int(rank)) for rep, rank in enumerate(ranks)]
     wanted = spark.createDataFrame(picks, "arm string, rep int, rank long")
-    drawn = ranked.join(F.broadcast(wanted), ["arm", "rank"])  # 2 * reps rows
+    drawn = ranked.join(wanted, ["arm", "rank"])  # 2 * reps rows; Spark knows their size
     gaps = drawn.groupBy("rep").agg(
         (
             F.max(F.when(F.col("arm") == a, F.col("v"))) - F.max(F.when(F.col("arm") == b, F.col("v")))
@@ -191,7 +195,7 @@ def batch_stats(rows: DataFrame, keys: list[str] = ("n", "rate"), big: str = "bi
     )
     waits = percentiles_wide(rows, keys, "wait_ms", {"wait_p50": 0.5, "wait_p95": 0.95}, "_rows")
     return base.join(waits.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "wait_p50", "wait_p95"),
-                     [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
+                     [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def fill_model(measured: DataFrame, n: str = "n", rate: str = "rate", wait: str = "wait_s") -> DataFrame:
@@ -219,16 +223,19 @@ def majority(rows: DataFrame, keys: list[str] = ("arm",), item: str = "item") ->
 
 
 def mcnemar_p(b: int, c: int) -> float:
-    """Exact two-sided binomial p-value of the discordant counts, in log space for large counts."""
+    """Exact two-sided binomial p-value of the discordant counts, for any size."""
     n = b + c
     if n == 0:
         return 1.0
-    if n > 100_000:  # continuity-corrected normal form; the exact sum no longer differs
-        z = max(abs(b - c) - 1, 0) / math.sqrt(n)
-        return math.erfc(z / math.sqrt(2))
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(min(b, c) + 1)]
-    top = max(logs)
-    return min(1.0, 2 * math.exp(top + math.log(sum(math.exp(x - top) for x in logs)) - n * math.log(2)))
+    least = min(b, c)
+    top = math.lgamma(n + 1) - math.lgamma(least + 1) - math.lgamma(n - least + 1) - n * math.log(2)
+    total, term = 0.0, 1.0
+    for k in range(least, -1, -1):  # from the largest term down, until one no longer counts
+        if total + term == total:
+            break
+        total += term
+        term *= k / (n - k + 1)
+    return min(1.0, 2 * math.exp(top + math.log(total)))
 
 
 def discordant(rows: DataFrame, a: str, b: str, item: str = "item") -> DataFrame:
@@ -248,6 +255,12 @@ def chi_square(counts: DataFrame) -> DataFrame:
     return counts.withColumn("chi2", F.try_divide(gap * gap * F.lit(1.0), F.col("b") + F.col("c")))
 
 
+def exact_p(counts: DataFrame) -> DataFrame:
+    """The exact two-sided p-value next to the counts, inside a plan."""
+    tail = binomial_tail(F.least("b", "c"), F.col("b") + F.col("c"), 0.5)
+    return counts.withColumn("p_value", F.least(F.lit(1.0), 2 * tail))
+
+
 def mcnemar(rows: DataFrame, a: str, b: str, item: str = "item") -> dict:
     """Discordant counts and the exact p-value; one aggregate row reaches the driver."""
     found = discordant(rows, a, b, item).first()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymeter import fixed
 from waymeter.functions.text import bucket, sha1_key, words
+from waymeter.session import prepare
 
 CUT = "2024-01-16 00:00:00"
 CUT_S = 1705363200.0
@@ -24,8 +25,7 @@ WORD = "(^|[^0-9A-Za-z_])({})([^0-9A-Za-z_]|$)"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def micros(ts: str) -> Column:

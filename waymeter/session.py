@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []  # the temporary folder of a local session, once made
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(
-    app: str = "waymeter", master: str | None = None, shuffle_partitions: int | None = None
+    app: str = "waymeter", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None
 ) -> SparkSession:
+    """A session with the engine's settings; ``shared`` is the folder for intermediate tables."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -20,9 +20,12 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if master is not None:
         builder = builder.master(master)
     if shuffle_partitions is not None:
@@ -30,20 +33,25 @@ def build_session(
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Gives a session made elsewhere the two settings that results depend on, where it lacks them."""
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.streaming.stateStore.providerClass", ROCKSDB)):
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Taken from the session. Only a local session, where driver and executors are one
-    process, may fall back to a temporary folder of its own.
+    A cluster must set it. A local session, whose driver and executors are one process, falls back to its warehouse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="waymeter-"))
-    return _local[0]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/waymeter-scratch"
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -48,6 +48,20 @@ def run_index(rows: DataFrame, run: str = "run_id", pos: Column | str = "pos") -
     )
 
 
+#: The columns of the index file, in order.
+INDEX = "run_id string, arm string, requests long, graded long, models_seen string"
+
+
+def write_index(index: DataFrame, path: str, run: str = "run_id") -> None:
+    """The index as CSV with a header: one row per run, so few files."""
+    index_lines(index, run).write.option("header", True).option("escape", '"').csv(path)
+
+
+def write_workload(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Requests or answer keys as JSON lines with the given fields in order; null fields are left out of a line."""
+    rows.select(*columns).write.json(path)
+
+
 def index_lines(index: DataFrame, run: str = "run_id") -> DataFrame:
     """The index as flat text columns, models joined by semicolons."""
     return index.select(run, "arm", "requests", "graded", F.array_join("models_seen", ";").alias("models_seen"))

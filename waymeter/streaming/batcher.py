@@ -6,17 +6,23 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "lane long, id string, prompt string, wid long, at int, batch int, wait_ms long, closed_by string"
-BUFFER = "id string, prompt string, arrived long"
+from waymeter.functions.text import head
+from waymeter.operators.windows import batch_prompt, batch_verdicts, gather
+from waymeter.session import ROCKSDB
+
+OUTPUT = "lane long, id string, prompt string, seq long, wid long, at int, batch int, wait_ms long, closed_by string"
+BUFFER = "id string, prompt string, seq long, arrived long"
+LOG = ["prompt_head", "model", "batch", "judge_ms", "wait_ms", "judge_prompt_tokens", "judge_completion_tokens", "parse_failed"]
 
 
 class Batcher(StatefulProcessor):
     """Buffers a lane's requests; flushes at n rows or ``timeout_ms`` after the window's first.
 
-    State per lane: at most n - 1 buffered rows, the window counter and one timer. Order is kept
-    and a size flush cancels the timer.
+    State per lane: at most n - 1 buffered rows, the window counter and one timer. Rows of one micro-batch
+    are taken in the order of ``seq``, since a shuffle keeps none, and a size flush cancels the timer.
     """
 
     def __init__(self, n: int, timeout_ms: int) -> None:
@@ -27,48 +33,49 @@ class Batcher(StatefulProcessor):
         self.buffer = handle.getListState("buffer", BUFFER)
         self.opened = handle.getValueState("opened", "at long, wid long")
 
-    def _window(self, lane: int, wid: int, rows: list[tuple], now: int, by: str) -> pd.DataFrame:
+    def _windows(self, lane: int, wid: int, rows: pd.DataFrame, now: int, by: str) -> pd.DataFrame:
+        """Consecutive windows of ``n`` rows each, the last one maybe shorter, as one frame."""
+        place = pd.Series(range(len(rows)))
+        window = place // self.n
         return pd.DataFrame({
-            "lane": lane, "id": [r[0] for r in rows], "prompt": [r[1] for r in rows], "wid": wid,
-            "at": range(len(rows)), "batch": len(rows), "wait_ms": [max(now - r[2], 0) for r in rows],
-            "closed_by": by,
+            "lane": lane, "id": rows["id"].to_numpy(), "prompt": rows["prompt"].to_numpy(), "seq": rows["seq"].to_numpy(), "wid": wid + window,
+            "at": place % self.n, "batch": window.map(window.value_counts()), "wait_ms": now - rows["arrived"].to_numpy(), "closed_by": by,
         })
 
     def _clear_timers(self) -> None:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
 
+    def _held(self) -> pd.DataFrame:
+        rows = list(self.buffer.get()) if self.buffer.exists() else []
+        return pd.DataFrame(rows, columns=["id", "prompt", "seq", "arrived"])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lane, now = key[0], timerValues.getCurrentProcessingTimeInMs()
-        held = list(self.buffer.get()) if self.buffer.exists() else []
-        had_timer = bool(held)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self._held()
+        had_timer = len(held) > 0
         wid = self.opened.get()[1] if self.opened.exists() else 0
-        flushed = False
-        for pdf in rows:
-            full = []
-            for ident, prompt in zip(pdf["id"], pdf["prompt"]):
-                held.append((ident, prompt, now))
-                if len(held) == self.n:
-                    full.append(self._window(lane, wid, held, now, "size"))
-                    held, wid, flushed = [], wid + 1, True
-            if full:
-                yield pd.concat(full)
-        if had_timer and flushed:
-            self._clear_timers()
-        if held and (flushed or not had_timer):
+        new = pd.concat([pdf[["id", "prompt", "seq"]] for pdf in rows]).sort_values("seq").assign(arrived=now)
+        rows = pd.concat([held, new]) if had_timer else new
+        full = len(rows) // self.n * self.n
+        if full:
+            yield self._windows(key[0], wid, rows[:full], now, "size")
+            if had_timer:
+                self._clear_timers()
+        if len(rows) > full and (full or not had_timer):
             self.handle.registerTimer(now + self.timeout_ms)
-        self._keep(held, wid, now)
+        self._keep(rows[full:], wid + full // self.n, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.buffer.get()) if self.buffer.exists() else []
-        if held:
+        held = self._held()
+        if len(held):
             wid, now = self.opened.get()[1], timerValues.getCurrentProcessingTimeInMs()
-            self._keep([], wid + 1, now)
-            yield self._window(key[0], wid, held, now, "time")
+            self._keep(held[:0], wid + 1, now)
+            yield self._windows(key[0], wid, held, now, "time")
 
-    def _keep(self, held: list[tuple], wid: int, now: int) -> None:
-        if held:
-            self.buffer.put(held)
+    def _keep(self, held: pd.DataFrame, wid: int, now: int) -> None:
+        if len(held):
+            self.buffer.put([(i, p, int(s), int(a)) for i, p, s, a in zip(held["id"], held["prompt"], held["seq"], held["arrived"])])
         elif self.buffer.exists():
             self.buffer.clear()
         self.opened.update((now, wid))
@@ -77,18 +84,29 @@ class Batcher(StatefulProcessor):
         pass
 
 
-def use_rocksdb(stream: DataFrame) -> None:
-    """Keyed state with timers needs the RocksDB store; it also keeps state off the heap."""
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-
-
 def micro_batch(stream: DataFrame, lane: str, n: int, timeout_ms: int) -> DataFrame:
-    """Batch a stream of ``lane, id, prompt``; one output row per request."""
-    use_rocksdb(stream)
+    """Batch a stream of ``lane, id, prompt, seq``; one output row per request.
+
+    The session needs the RocksDB state store, as :func:`waymeter.session.build_session` sets it. A lane is
+    one task at a time, and a micro-batch of a lane is held in it, so use many lanes and bound the micro-batch
+    at the source (``files_per_trigger``).
+    """
+    if stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     return stream.groupBy(lane).transformWithStateInPandas(
         statefulProcessor=Batcher(n, timeout_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime",
     )
+
+
+def batch_log(batched: DataFrame, replies: DataFrame, candidates: list[str] = ("small", "big"), default: str = "small") -> DataFrame:
+    """The log of a windowed run from the batcher's rows and the judge's reply to each window.
+
+    ``replies`` has one row per window: ``lane, wid, reply, judge_ms, judge_prompt_tokens, judge_completion_tokens``; a
+    window without one gets the default. Rows carry the log's fields, ``LOG``, besides ``lane, wid, at, id`` and the window's
+    ``judge_prompt``; the judge's figures repeat on each row of a window.
+    """
+    windows = batch_prompt(gather(batched, "prompt")).join(replies, ["lane", "wid"], "left")
+    told = batch_verdicts(windows, "reply", candidates, default).drop("reply")
+    waits = batched.select("lane", "wid", F.col("at").alias("at"), "wait_ms")
+    return told.join(waits, ["lane", "wid", "at"]).withColumn("prompt_head", head("prompt"))

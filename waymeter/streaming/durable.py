@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from waymeter.functions.text import content_key
 from waymeter.session import exists
-from waymeter.streaming.batcher import use_rocksdb
 
 STORED = "content string, model string, decision_ms double"
 OUTPUT = "content string, id string, model string, decision_ms double, replayed boolean"
@@ -46,12 +45,11 @@ def durable(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream of ``content, id, model, decision_ms`` (the proposed decision) to the decision kept.
 
     The proposal may come from a random policy; it only counts the first time. Without a TTL,
-    state grows with distinct contents. The number of state partitions is fixed by the
+    state grows with distinct contents. The session needs the RocksDB state store. The number of state partitions is fixed by the
     checkpoint: choose spark.sql.shuffle.partitions before the first start. All requests of one
     content pass through one task; where a single prompt may dominate, use
     :func:`durable_batches`.
     """
-    use_rocksdb(stream)
     return stream.groupBy("content").transformWithStateInPandas(
         statefulProcessor=FirstDecision(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
@@ -61,26 +59,30 @@ def durable(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 def durable_table(
     requests: DataFrame, store: str, batch: str, decide: Callable[[DataFrame], DataFrame], text: str = "prompt"
 ) -> DataFrame:
-    """The table form: decide only what the store lacks, append, answer from the store.
+    """The table form: decide only what the store lacks, append, answer from the store. A null text is an empty one.
 
     ``decide`` adds ``model, decision_ms`` to distinct contents. The new decisions are written to
     their own ``batch=`` folder before they are used, so a lost executor re-reads them instead of
     deciding again, and a repeated batch finds its folder and adds nothing. There is no limit on
     changing the parallelism between runs.
+
+    The store is partitioned by the first two digits of the content's digest, and a batch reads only the
+    parts that its own contents lie in. At most 256 part names reach the driver.
     """
     spark = requests.sparkSession
-    kept = spark.read.schema(STORED + ", batch string")
-    keyed = requests.withColumn("content", content_key(text))
-    known = None
-    if exists(spark, store):  # a half-written folder of this same batch does not count
-        known = kept.parquet(store).where(F.col("batch") != batch).select("content")
+    kept = spark.read.schema(STORED + ", batch string, slot string")
+    keyed = requests.withColumn("content", content_key(F.coalesce(text, F.lit(""))))
+    slot = F.substring("content", 1, 2)
+    slots = [r["slot"] for r in keyed.select(slot.alias("slot")).distinct().collect()]
     mine = f"{store.rstrip('/')}/batch={batch}"
     if not exists(spark, mine + "/_SUCCESS"):
         fresh = keyed.groupBy("content").agg(F.min(text).alias(text))
-        if known is not None:
-            fresh = fresh.join(known, "content", "left_anti")
-        decide(fresh).select("content", "model", "decision_ms").write.mode("overwrite").parquet(mine)
-    answers = kept.parquet(store)
+        if exists(spark, store):  # a half-written folder of this same batch does not count
+            known = kept.parquet(store).where(F.col("slot").isin(slots) & (F.col("batch") != batch))
+            fresh = fresh.join(known.select("content"), "content", "left_anti")
+        new = decide(fresh).select("content", "model", "decision_ms", slot.alias("slot"))
+        new.hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(mine)
+    answers = kept.parquet(store).where(F.col("slot").isin(slots)).drop("slot")
     return keyed.join(answers, "content").withColumn("replayed", F.col("batch") != F.lit(batch)).drop("content")
 
 

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from waymeter.operators.layout import number_rows
 from waymeter.session import exists, pin, scratch
@@ -30,7 +31,7 @@ def replay(df: DataFrame, order: list[str], rate: int, partitions: int = 1) -> D
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None, form: str = "parquet"
+    spark: SparkSession, folder: str, schema: str | StructType, files_per_trigger: int | None = None, form: str = "parquet"
 ) -> DataFrame:
     """Files of a folder as a stream; without a limit a micro-batch takes all files there are."""
     reader = spark.readStream.schema(schema).format(form)
@@ -62,7 +63,8 @@ def fanout(stream: DataFrame, n: int, key: str | None = None) -> DataFrame:
 def pair_streams(requests: DataFrame, responses: DataFrame, within: str = "1 hour") -> DataFrame:
     """Join the two event streams by request id; ``t_request``/``t_response`` are timestamps.
 
-    Watermarks bound the state: a response is matched while it is at most ``within`` late.
+    Watermarks bound the state: a response is matched while it is at most ``within`` late. Where events
+    repeat, ``p_request``/``p_response`` give their places in the log and travel along for :func:`last_pairs`.
     """
     a = requests.withWatermark("t_request", within).alias("a")
     b = responses.withWatermark("t_response", within).alias("b")
@@ -71,7 +73,13 @@ def pair_streams(requests: DataFrame, responses: DataFrame, within: str = "1 hou
         f"and b.t_response <= a.t_request + interval {within}"
     )
     ms = (F.unix_micros("b.t_response") - F.unix_micros("a.t_request")) / 1000.0
-    return a.join(b, on).select(F.col("a.request_id").alias("request_id"), ms.alias("e2e_ms"))
+    places = [F.col(f"{side}.{c}") for side, frame, c in (("a", a, "p_request"), ("b", b, "p_response")) if c in frame.columns]
+    return a.join(b, on).select(F.col("a.request_id").alias("request_id"), ms.alias("e2e_ms"), *places)
+
+
+def last_pairs(pairs: DataFrame) -> DataFrame:
+    """One row per request from what :func:`pair_streams` wrote: its last request with its last response."""
+    return pairs.groupBy("request_id").agg(F.max_by("e2e_ms", F.struct("p_request", "p_response")).alias("e2e_ms"))
 
 
 def start_table(
@@ -97,36 +105,39 @@ def start_table(
         conf.set(name, usual)
 
 
-def run_to_end(stream: DataFrame, timeout: float = 600.0) -> DataFrame:
-    """Run a bounded stream to its end and return what it wrote."""
+def run_to_end(stream: DataFrame, timeout: float | None = None) -> DataFrame:
+    """Run a bounded stream to its end and return what it wrote. There is no time limit unless one is given."""
     spark = stream.sparkSession
     path = scratch(spark, "sink")
     query = start_table(stream, path, scratch(spark, "state"))
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError("the stream did not end in time")
     finally:
         query.stop()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain(query: StreamingQuery, path: str, rows: int, timeout: float = 300.0) -> DataFrame:
+def drain(query: StreamingQuery, path: str, rows: int, idle: float = 600.0) -> DataFrame:
     """Wait until ``rows`` rows are in the table the query writes, stop it and return the table.
 
-    A query with timers or a clock for its source never ends by itself. Counting Parquet rows
-    reads footers only, and it is done once per finished micro-batch.
+    A query with timers or a clock for its source never ends by itself. However long it takes, it goes on
+    while it makes progress; it is given up after ``idle`` seconds in which no micro-batch has ended.
+    Counting Parquet rows reads footers only, and it is done once per finished micro-batch that had rows.
     """
-    spark, end, seen = SparkSession.active(), time.monotonic() + timeout, -1
+    spark, last, seen = SparkSession.active(), time.monotonic(), -1
     try:
-        while time.monotonic() < end:
+        while time.monotonic() < last + idle:
             if query.exception() is not None:
                 raise query.exception()
             now = query.lastProgress
             if now is not None and now["batchId"] != seen:
-                seen = now["batchId"]
+                seen, last = now["batchId"], time.monotonic()
                 if exists(spark, f"{path}/_spark_metadata") and spark.read.parquet(path).count() >= rows:
                     return spark.read.parquet(path)
             time.sleep(0.2)
-        raise TimeoutError("the stream was not drained in time")
+        raise TimeoutError("the stream made no progress")
     finally:
         query.stop()
