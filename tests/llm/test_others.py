@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from waymeter.functions.binomial import binomial_tail
 from waymeter.llm import archives, bpe, mixing, quality, secrets, shards, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -268,7 +269,7 @@ def tail_brute(k, n, p):
 
 def test_binomial_tail(spark):
     cases = [(0, 10), (3, 900), (0, 3000), (7, 2500), (40, 10_000), (60, 10_000), (0, 0), (5, 5)]
-    got = {(r.k, r.n): r.p for r in spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.005).alias("p")).collect()}
+    got = {(r.k, r.n): r.p for r in spark.createDataFrame(cases, "k long, n long").select("k", "n", binomial_tail(F.col("k"), F.col("n"), 0.005).alias("p")).collect()}
     for k, n in cases:
         want = 1.0 if k > n * 0.005 else tail_brute(k, n, 0.005)
         assert got[k, n] == pytest.approx(want, rel=1e-9), (k, n)
