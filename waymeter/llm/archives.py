@@ -42,19 +42,21 @@ def digest(data: bytes) -> str:
 
 
 def _packed(pieces: Iterable[tuple[bytes, bytes]], joint: bytes) -> Iterator[pa.RecordBatch]:
-    """Archives from (opening for a new archive, record); ``joint`` stands between records."""
-    held: list[bytes] = []
-    size = 0
+    """Archives from (opening, record), one open archive for each opening; ``joint`` stands between records."""
+    held: dict[bytes, list[bytes]] = {}
+    sizes: dict[bytes, int] = {}
+
+    def close(opening: bytes) -> pa.RecordBatch:
+        del sizes[opening]
+        return pa.RecordBatch.from_arrays([pa.array([joint.join(held.pop(opening))], pa.binary()).cast(pa.string())], ["value"])
+
     for opening, record in pieces:
-        if not held and opening:
-            held.append(opening)
-        held.append(record)
-        size += len(record)
-        if size >= ARCHIVE:
-            yield pa.RecordBatch.from_arrays([pa.array([joint.join(held)], pa.binary()).cast(pa.string())], ["value"])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([joint.join(held)], pa.binary()).cast(pa.string())], ["value"])
+        held.setdefault(opening, [opening] if opening else []).append(record)
+        sizes[opening] = sizes.get(opening, 0) + len(record)
+        if sizes[opening] >= ARCHIVE:
+            yield close(opening)
+    for opening in list(held):
+        yield close(opening)
 
 
 def _write(archives: DataFrame, path: str, joint: str) -> None:
@@ -69,29 +71,30 @@ def arc_line(version: int, url: str, ip: str, date: str, mime: str, length: int,
     return (" ".join([*fields, str(length)]) + "\n").encode()
 
 
-def _arc_pieces(version: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = f"{version} 0 waymeter\n{' '.join(FIELDS[version])}\n".encode()
-        opening = arc_line(version, "filedesc://pages.arc", "0.0.0.0", "20240101000000", "text/plain", len(block), "200", "pages.arc") + block
+def _opening(version: int) -> bytes:
+    """The version block that an ARC file begins with."""
+    block = f"{version} 0 waymeter\n{' '.join(FIELDS[version])}\n".encode()
+    return arc_line(version, "filedesc://pages.arc", "0.0.0.0", "20240101000000", "text/plain", len(block), "200", "pages.arc") + block
+
 
-        def pieces():
-            for batch in batches:
-                for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
-                    payload, page = (html.as_py() or "").encode(), page.as_py()
-                    mark = b"" if page is None else b"X-Page-Id: %d\r\n" % page
-                    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + mark + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-                    yield opening, arc_line(version, url.as_py() or "-", "0.0.0.0", "20240101000000", "text/html", len(body), "200") + body
+def _arc_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    openings = {version: _opening(version) for version in FIELDS}
 
-        yield from _packed(pieces(), b"\n")
+    def pieces():
+        for batch in batches:
+            for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
+                payload, page = (html.as_py() or "").encode(), page.as_py()
+                version = 1 if page is not None and page % 2 else 2
+                mark = b"" if page is None else b"X-Page-Id: %d\r\n" % page
+                body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + mark + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
+                yield openings[version], arc_line(version, url.as_py() or "-", "0.0.0.0", "20240101000000", "text/html", len(body), "200") + body
 
-    return run
+    yield from _packed(pieces(), b"\n")
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
     """Writes ``page_id, url, html`` as ARC files with HTTP headers; odd pages as version 1, the others as version 2."""
-    odd = F.coalesce(F.col("page_id") % 2 == 1, F.lit(False))
-    for version, part in ((1, odd), (2, ~odd)):
-        _write(pages.where(part).select("page_id", "url", "html").mapInArrow(_arc_pieces(version), "value string"), f"{path}/v{version}", "\n")
+    _write(pages.select("page_id", "url", "html").mapInArrow(_arc_pieces, "value string"), path, "\n")
 
 
 def arc_records(data: bytes, name: str) -> Iterator[tuple]:
