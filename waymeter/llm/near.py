@@ -174,6 +174,7 @@ def _across(hits: DataFrame, texts: DataFrame, comps: DataFrame, size: int, perc
         cut(F.count_if(is_query), F.sum(F.when(is_query, F.col("bytes")).otherwise(0))).alias("nq"),
         cut(F.count(F.lit(1)), F.sum("bytes")).alias("na"),
     )
+    counts = pin(counts, "counts")  # read anew, so that adaptive execution can split a large group's rows
     dealt = grouped.join(counts, "g").select(
         "g", "doc", "c", "nq", "na", is_query.alias("asks"),
         F.pmod(F.xxhash64("doc"), F.col("nq")).cast("int").alias("qb"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("na")).cast("int").alias("ab"),
