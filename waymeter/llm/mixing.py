@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waymeter.session import pin
 
-BUCKET_ROWS = 4096  # documents of a leaf that are ordered together
+BUCKET_ROWS = 1024  # documents of a leaf that are ordered together
 WIDE = "decimal(38,0)"
 
 
