@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymeter.llm import archives, bpe, exact, mixing, near, quality, repeats, secrets, shards, toxicity
+from waymeter.llm import archives, bpe, exact, mixing, near, quality, repeats, secrets, shards, sql, toxicity
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -30,14 +30,6 @@ def op3_tree_merge_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"), largest=True)
 
 
-OP3_SQL = """
-with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents)
-select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
-       doc_id = max(doc_id) over same as kept, sha256(low) as text_sha256
-from t window same as (partition by low)
-"""
-
-
 def op4_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shards(_table(spark, folder, "documents"))
 
@@ -82,13 +74,13 @@ def op10_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
 def entries() -> dict[str, Entry]:
     return {
         "op1_ordinal_toxicity": (op1_ordinal_toxicity, None),
-        "op2_blob_ledger_secrets": (op2_blob_ledger_secrets, None),
-        "op3_tree_merge_exact_dedup": (op3_tree_merge_exact_dedup, OP3_SQL),
+        "op2_blob_ledger_secrets": (op2_blob_ledger_secrets, sql.op2()),
+        "op3_tree_merge_exact_dedup": (op3_tree_merge_exact_dedup, sql.op3()),
         "op4_sampled_splitters": (op4_sampled_splitters, None),
         "op5_segment_tree_bpe": (op5_segment_tree_bpe, None),
-        "op6_hierarchical_mixing": (op6_hierarchical_mixing, None),
-        "op7_minhash_near_dedup": (op7_minhash_near_dedup, None),
-        "op8_doubling_substring_dedup": (op8_doubling_substring_dedup, None),
-        "op9_arc_to_warc": (op9_arc_to_warc, None),
-        "op10_risk_controlled_rules": (op10_risk_controlled_rules, None),
+        "op6_hierarchical_mixing": (op6_hierarchical_mixing, sql.op6(DOMAINS, WEIGHTS, SHARE, EPOCHS, SEED)),
+        "op7_minhash_near_dedup": (op7_minhash_near_dedup, sql.op7()),
+        "op8_doubling_substring_dedup": (op8_doubling_substring_dedup, sql.op8()),
+        "op9_arc_to_warc": (op9_arc_to_warc, sql.op9()),
+        "op10_risk_controlled_rules": (op10_risk_controlled_rules, sql.op10()),
     }

@@ -27,7 +27,7 @@ RULES: Rules = {
     "hex": (r"[0-9a-f]+", 0, 24),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
-    "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{1,128})@", 1, 3),
+    "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]{1,64}:([^\x20\x09-\x0D:/@]{1,128})@", 1, 3),
 }
 BASE = ["assign", "access", "hex"]
 LEDGER = "blob binary, rule string, spans array<struct<start:int,end:int>>"

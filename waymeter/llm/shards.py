@@ -30,7 +30,7 @@ def _divide(rows: DataFrame, most: int, seed: int) -> DataFrame | None:
     drawn = rows.join(full, "rng").where(F.rand(seed) < F.col("size") * SAMPLE / F.col("all"))
     tiles = drawn.select("rng", F.struct(*KEY).alias("key"), F.ntile(RANGES).over(Window.partitionBy("rng").orderBy(*KEY)).alias("tile"))
     cuts = tiles.where("tile > 1").groupBy("rng", "tile").agg(F.min("key").alias("cut"))
-    cuts = cuts.groupBy("rng").agg(F.collect_list("cut").alias("cuts"))  # fewer than RANGES
+    cuts = pin(cuts.groupBy("rng").agg(F.collect_list("cut").alias("cuts")), "cuts")  # one row a range, fewer than RANGES cuts each
     part = F.size(F.filter("cuts", lambda c: c <= F.struct(*KEY)))
     held = rows.join(cuts, "rng", "left")
     return pin(held.withColumn("rng", F.col("rng") * RANGES + F.when(F.col("cuts").isNull(), 0).otherwise(part)).drop("cuts"), "ranges")
