@@ -1,4 +1,4 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every query of the catalog against its SQL twin on the smallest tables; those without one must give rows."""
 
 from pathlib import Path
 
@@ -6,15 +6,20 @@ import pytest
 from oracle import mismatch
 
 import __spark_entry__ as entry
+from waymeter.catalog import all_entries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+ENTRIES = all_entries()
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ENTRIES))
 def test_query(spark, name):
-    assert mismatch(QUERIES[name](spark, FOLDER), FOLDER, SQL[name]) is None
+    run, query = ENTRIES[name]
+    if query is None:
+        assert run(spark, FOLDER).count() > 0
+    else:
+        assert mismatch(run(spark, FOLDER), FOLDER, query) is None
 
 
 def test_entry_has_rows(spark):
