@@ -47,11 +47,15 @@ def chosen(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id, text`` to the number of words and a digest of the words joined by one space."""
     for batch in batches:
-        joined = [(t or b"").split() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in joined], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in joined])],
-            ["id", "n", "sha"],
-        )
+        for at, texts in blocks(batch.column(1)):
+            joined = [(t or b"").split() for t in texts.cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in joined], pa.int64()),
+                    pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in joined]),
+                ],
+                ["id", "n", "sha"],
+            )
 
 
 def _choices(length: int, base: int):
