@@ -10,6 +10,7 @@ graded 1 to 3 by thirds of how many features they hold that tell of toxicity.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from waymeter.llm.words import blocks, split, word_hashes
 
-SAMPLE = 4000  # labelled texts of each class that the model is fitted on, at most
+SAMPLE = 2000  # labelled texts of each class that the model is fitted on, at most
 HELD_OUT = 0.2  # of them only help to set the cutoff
 FEATURES = 4096  # features with a weight, at most
 SURE = 4.0  # standard errors by which a feature's split between the classes must differ from chance
@@ -52,7 +53,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, texts in blocks(batch.column("text")):
             row, hashes = features(texts)
             each = [np.unique(hashes[row == i]).tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, len(texts)), pa.array(each, pa.binary())], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(at, len(texts)), batch.column("toxic").slice(at, len(texts)), pa.array(each, pa.binary())], ["id", "toxic", "features"]
+            )
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -141,12 +144,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(toxic_col).cast("int").alias("toxic"))
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     picked = F.broadcast(parts[0].union(parts[1]))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("toxic", "text")
-    got = rows.mapInArrow(_distinct, "toxic int, features binary").toArrow()
-    texts = [np.frombuffer(x, np.uint64) for x in got["features"].to_pylist()]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("id", "toxic", "text")
+    got = rows.mapInArrow(_distinct, "id long, toxic int, features binary").toArrow()
     # The order of collected rows may differ from run to run; the fit must not.
-    order = sorted(range(len(texts)), key=lambda i: (got["toxic"][i].as_py(), texts[i].tobytes()))
-    return fit([texts[i] for i in order], np.array([got["toxic"][i].as_py() for i in order], int))
+    keys = [(i, t, len(f), hashlib.md5(f).digest()) for i, t, f in zip(got["id"].to_pylist(), got["toxic"].to_pylist(), map(memoryview, (x.as_buffer() for x in got["features"])))]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    texts = [np.frombuffer(got["features"][i].as_buffer(), np.uint64) for i in order]
+    return fit(texts, np.array([keys[i][1] for i in order], int))
 
 
 def _judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, ...]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21  # bytes of text worked on at once, unless a single text is longer
+BLOCK = 1 << 20  # bytes of text worked on at once, unless a single text is longer
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,7 +79,7 @@ def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of an odd number and of its inverse modulo 2**64."""
     for b in (base, pow(base, -1, 1 << 64)):
         if len(_powers.get(b, ())) < n:
-            grown = np.full(1 << max(12, int(n - 1).bit_length()), b, np.uint64)
+            grown = np.full(n + n // 8 + 4096, b, np.uint64)
             grown[0] = 1
             _powers[b] = np.multiply.accumulate(grown)
     return _powers[base][:n], _powers[pow(base, -1, 1 << 64)][:n]
