@@ -24,7 +24,7 @@ from waymeter.llm.words import blocks, split, word_hashes
 SAMPLE = 2000  # labelled texts of each class that the model is fitted on, at most
 HELD_OUT = 0.2  # of them only help to set the cutoff
 FEATURES = 4096  # features with a weight, at most
-SURE = 4.0  # standard errors by which a feature's split between the classes must differ from chance
+SURE = 5.0  # standard errors by which a feature's split between the classes must differ from chance
 BEGINNING = 4  # bytes of a word's beginning
 GRADES = 4
 STEPS, RATE, DECAY = 300, 0.1, 5e-3
