@@ -20,13 +20,13 @@ count as one document, whose links are those of all its texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from waymeter.llm.stars import components
 from waymeter.llm.words import blocks, split, window_hashes, word_hashes
@@ -70,7 +70,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _describe(size: int, digests: bool):
     """``id, text`` batches to ``id, n_shingles, digest, signature``, or with the text instead of the digest."""
-    import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -147,10 +147,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("id", "toxic", "text")
     got = rows.mapInArrow(_distinct, "id long, toxic int, features binary").toArrow()
     # The order of collected rows may differ from run to run; the fit must not.
-    keys = [(i, t, len(f), hashlib.md5(f).digest()) for i, t, f in zip(got["id"].to_pylist(), got["toxic"].to_pylist(), map(memoryview, (x.as_buffer() for x in got["features"])))]
+    held = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["features"]]
+    keys = [(i, t, hashlib.md5(f).digest()) for i, t, f in zip(got["id"].to_pylist(), got["toxic"].to_pylist(), held)]
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    texts = [np.frombuffer(got["features"][i].as_buffer(), np.uint64) for i in order]
-    return fit(texts, np.array([keys[i][1] for i in order], int))
+    return fit([held[i] for i in order], np.array([keys[i][1] for i in order], int))
 
 
 def _judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, ...]:
