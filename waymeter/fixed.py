@@ -15,13 +15,18 @@ KEYWORD_PATTERN = (
 )
 LENGTH_THRESHOLD = 400
 
+# Decision reasons as logs have them.
+KEYWORD_REASON = "hard-topic keyword"
+LENGTH_REASON = ("long prompt (", " chars)")
+UNMATCHED_REASON = "judge verdict did not match any candidate"
+
 # Candidate descriptions a judge reads, and the learned router's threshold.
 SMALL_DESCRIPTION = "fast and cheap; chit-chat, simple factual questions"
 BIG_DESCRIPTION = "strong but expensive; code, SQL, math, multi-step analysis"
 CALIBRATED_THRESHOLD = 0.8251
 
 # Reply patterns.
-ANSWER_PATTERN = r"(?i)ANSWER:\s*([A-D]|-?[\d,]*\.?\d+)"
+ANSWER_PATTERN = r"(?i)ANSWER:\s*([A-Da-d]|-?[\d,]*\.?\d+)"
 NUMBER_PATTERN = r"-?[\d,]*\.?\d+"
 TOXIC_PATTERN = r"(?i)ANSWER:\s*(TOXIC|SAFE)"
 LABEL_PATTERN = r"(?i)ANSWER:\s*([A-Za-z][A-Za-z0-9_ /-]*)"
@@ -101,6 +106,7 @@ WINDOW_HEAD = (
     " cheap (chit-chat, simple facts); big = strong but expensive (code,"
     " SQL, math, multi-step analysis).\nReply with a JSON array of exactly "
 )
+WINDOW_REQUEST_OPEN, WINDOW_REQUEST_CLOSE = "--- request ", " ---\n"
 WINDOW_TAIL = " candidate names, one per request, in order.\n\n"
 
 # Generated smoke prompts, before and after the request number.

@@ -73,9 +73,9 @@ def window_prompt(requests: Column | str) -> Column:
     blocks = F.transform(
         col(requests),
         lambda r, i: F.concat(
-            F.lit("--- request "),
+            F.lit(fixed.WINDOW_REQUEST_OPEN),
             (i + 1).cast("string"),
-            F.lit(" ---\n"),
+            F.lit(fixed.WINDOW_REQUEST_CLOSE),
             F.substring(r, 1, fixed.WINDOW_REQUEST_CHARS),
             F.lit("\n"),
         ),

@@ -72,8 +72,8 @@ def keyword_length(
     def policy(text: Column) -> Column:
         keyword = has_text(text) & text.rlike(f"(?i){pattern}")
         lengthy = has_text(text) & (F.length(text) > threshold)
-        reason = F.when(keyword, F.lit("hard-topic keyword")).when(
-            lengthy, F.concat(F.lit("long prompt ("), F.length(text).cast("string"), F.lit(" chars)"))
+        reason = F.when(keyword, F.lit(fixed.KEYWORD_REASON)).when(
+            lengthy, F.concat(F.lit(fixed.LENGTH_REASON[0]), F.length(text).cast("string"), F.lit(fixed.LENGTH_REASON[1]))
         )
         return decision(
             F.when(keyword | lengthy, F.lit(big)),
@@ -190,7 +190,7 @@ def judge_verdict(
         reason = (
             F.when(~asked, F.lit(None))
             .when(r.isNull(), F.lit("judge unavailable"))
-            .when(match.isNull(), F.lit("judge verdict did not match any candidate"))
+            .when(match.isNull(), F.lit(fixed.UNMATCHED_REASON))
             .otherwise(F.lit("judge verdict"))
         )
         told = F.lit(None).cast("string") if error is None else col(error)
