@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from waymeter.functions.binomial import binomial_tail
-from waymeter.llm import archives, bpe, mixing, quality, secrets, shards, toxicity
+from waymeter.llm import archives, bpe, mixing, quality, queries, secrets, shards, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,6 +108,22 @@ def test_ledger_scans_only_the_unseen(docs, tmp_path):
     assert len(pairs()) == 7
 
 
+def test_secrets_of_each_row(docs, odd_rows, tmp_path):
+    folder, n = str(tmp_path / "in"), 40
+    rows = SECRETS + odd_rows + [(None, f"{'x ' * (i % 7)}token=abcdef{i}") for i in range(n)] + [(8, "clean"), (None, "clean"), (None, "secret=zzzzzzzz")]
+    docs(rows).write.parquet(f"{folder}/documents.parquet")
+    got = queries.op2_blob_ledger_secrets(docs([]).sparkSession, folder).collect()
+    want = []
+    for doc, text in rows:
+        spans = spans_brute(text or "")
+        listed = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        want.append((doc, *(sum(s[1] == k for s in spans) for k in ("assign", "access", "hex")), hashlib.sha256(listed.encode()).hexdigest()))
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
+    assert sum(len(r.spans) for r in got if r.doc_id is None) < 40 * (n + 5)
+    blobs = {(r.doc_id, r.blob.hex()) for r in secrets.scan(docs(SECRETS)).collect() if r.doc_id == 8}
+    assert blobs == {(8, hashlib.sha256(t.encode()).hexdigest()) for d, t in SECRETS if d == 8}
+
+
 # --- shards
 
 

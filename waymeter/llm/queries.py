@@ -23,7 +23,7 @@ def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.summary(_table(spark, folder, "documents"))
+    return secrets.by_row(_table(spark, folder, "documents"))
 
 
 def op3_tree_merge_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,13 +67,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
 
 
-def scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: Rules = RULES) -> DataFrame:
-    """``id, kind, start, end``: a row for each finding of each row's text; extends the ledger when called.
-
-    ``id_col`` names the path and version; it may be null or repeat, and each row gets its own findings once for every
-    distinct (id, text). Null texts count as empty. ``ledger`` is a folder in a store that all executors reach; without one, a new
-    folder in the shared one is used, so everything is scanned.
-    """
+def _extend(df: DataFrame, ledger: str | None, id_col: str, text_col: str, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """Appends the missing pairs to the ledger. Returns ``id, blob`` of each row, and ``blob, rule, spans`` where spans were found."""
     spark, wanted = df.sparkSession, [version(*r) for r in rules.items()]
     ledger = ledger or scratch(spark, "ledger")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,28 +81,64 @@ def scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
     unseen = texts.join(blobs, texts.rep.eqNullSafe(blobs.rep) & (texts.blob == blobs.blob)).select(texts.blob, "todo", "text")
     unseen.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
-    found = read_ledger(spark, ledger).where(F.col("rule").isin(wanted) & (F.size("spans") > 0))
-    each = found.select("blob", F.substring_index("rule", "@", 1).alias("kind"), F.explode("spans").alias("span"))
-    return paths.distinct().join(each, "blob").select(F.col("id").alias(id_col), "kind", "span.start", "span.end")
+    return paths, read_ledger(spark, ledger).where(F.col("rule").isin(wanted) & (F.size("spans") > 0))
 
 
-def summary(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_assign, n_access, n_hex, base_sha256, spans`` for each row, built from :func:`scan`.
+def scan(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: Rules = RULES) -> DataFrame:
+    """``id, blob, kind, start, end``: a row for each finding of each row's text; extends the ledger when called.
 
-    ``spans`` lists ``kind:start:end`` by start, then kind in the order of ``RULES``. Rows of one id with several texts
-    are summed up together; rows with a null id too.
+    ``id_col`` names the path and version; it may be null or repeat, and each row gets its own findings once for every
+    distinct (id, text); ``blob``, the text's SHA-256, tells the texts of an id apart. Null texts count as empty. ``ledger`` is
+    a folder in a store that all executors reach; without one, a new folder in the shared one is used, so everything is scanned.
     """
-    order = F.array(*map(F.lit, RULES))
-    found = scan(df, ledger, id_col, text_col).withColumn("rank", F.array_position(order, F.col("kind")))
+    paths, found = _extend(df, ledger, id_col, text_col, rules)
+    each = found.select("blob", F.substring_index("rule", "@", 1).alias("kind"), F.explode("spans").alias("span"))
+    return paths.distinct().join(each, "blob").select(F.col("id").alias(id_col), "blob", "kind", "span.start", "span.end")
+
+
+def _figures(found: DataFrame, key: str) -> DataFrame:
+    """``key, n_assign, n_access, n_hex, base, spans`` from ``key, all``, the sorted findings."""
     listed = lambda keep: F.array_join(F.transform(F.filter("all", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long")
-    per = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("all"))
-    per = per.select(
-        F.col(id_col).alias("_id"), *[count(k).alias(f"n_{k}") for k in BASE],
+    return found.select(
+        key, *[count(k).alias(f"n_{k}") for k in BASE],
         listed(lambda s: s["kind"].isin(BASE)).alias("base"), listed(lambda s: F.lit(True)).alias("spans"),
     )
+
+
+def _filled(joined: DataFrame, id_col: str) -> DataFrame:
     none = F.lit("")
-    return df.select(F.col(id_col).cast("long").alias(id_col)).join(per, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
+    return joined.select(
         id_col, *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE],
         F.sha2(F.coalesce("base", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"),
     )
+
+
+def by_row(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_assign, n_access, n_hex, base_sha256, spans`` for each row, of its own text only; extends the ledger when called.
+
+    ``spans`` lists ``kind:start:end`` by start, then kind in the order of ``RULES``. The list is made once for each blob, so it
+    is bounded by one text, and joined to the rows by blob: nulls and repeated ids need no care.
+    """
+    paths, found = _extend(df, ledger, id_col, text_col, RULES)
+    order, kind = F.array(*map(F.lit, RULES)), F.substring_index("rule", "@", 1)
+    found = found.select("blob", F.array_position(order, kind).alias("rank"), kind.alias("kind"), "spans")
+    # A set, since two jobs may have appended the same pair.
+    per = found.groupBy("blob").agg(F.collect_set(F.struct("rank", "kind", "spans")).alias("rules"))
+    spans = F.flatten(F.transform("rules", lambda r: F.transform(
+        r["spans"], lambda s: F.struct(s["start"].alias("start"), r["rank"].alias("rank"), s["end"].alias("end"), r["kind"].alias("kind")))))
+    per = _figures(per.select("blob", F.array_sort(spans).alias("all")), "blob")
+    return _filled(paths.join(per, "blob", "left").drop("blob").withColumnRenamed("id", id_col), id_col)
+
+
+def summary(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The figures of :func:`by_row` by id instead of by text, built from :func:`scan`.
+
+    Rows of one id with several texts are summed up together; rows with a null id too. All findings of an id
+    meet in one row, so where ids are null or repeat often, use :func:`by_row`.
+    """
+    order = F.array(*map(F.lit, RULES))
+    found = scan(df, ledger, id_col, text_col).withColumn("rank", F.array_position(order, F.col("kind")))
+    per = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("all"))
+    per = _figures(per.withColumnRenamed(id_col, "_id"), "_id")
+    return _filled(df.select(F.col(id_col).cast("long").alias(id_col)).join(per, F.col(id_col).eqNullSafe(F.col("_id")), "left"), id_col)
