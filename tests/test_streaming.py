@@ -2,8 +2,10 @@
 
 import random
 
+from oracle import mismatch
 from pyspark.sql import functions as F
 
+from waymeter.catalog import streams
 from waymeter.operators import policies
 from waymeter.session import scratch
 from waymeter.streaming import batcher, durable, replay
@@ -21,6 +23,28 @@ def test_batcher_flushes_the_tail(spark):
     assert sorted(r["at"] for r in out if r["wid"] == 2) == list(range(5))
 
 
+def test_batcher_queries_in_bounded_micro_batches(spark, monkeypatch):
+    folder, runs, start = "/root/testdata/sf0.001", [], batcher.start_table
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    monkeypatch.setattr(streams, "FILES", 2)
+    monkeypatch.setattr(streams, "TIMEOUT_MS", 1)  # runs out between any two micro-batches
+    monkeypatch.setattr(batcher, "start_table", lambda *a, **k: runs.append(start(*a, **k)) or runs[-1])
+    run, text = streams.ENTRIES["st_batcher"]
+    assert not mismatch(run(spark, folder), folder, text)
+    read = [p["numInputRows"] for q in runs for p in q.recentProgress if p["numInputRows"]]
+    assert sum(read) == 1000 and max(read) <= 200 and len(read) >= 5
+
+
+def test_files_come_in_their_order(spark):
+    rows = spark.range(1000).select((F.lit(999) - F.col("id")).alias("seq"))
+    folder = replay.as_files(rows, ["seq"], 4, 90)
+    replay.date_files(spark, folder)
+    seen = []
+    query = replay.file_stream(spark, folder, "seq long", 1).writeStream.foreachBatch(lambda df, k: seen.append(sorted(r[0] for r in df.collect())))
+    assert query.trigger(availableNow=True).start().awaitTermination(120)
+    assert sum(seen, []) == list(range(1000)) and max(map(len, seen)) <= 90
+
+
 def test_decisions_survive_a_restart(spark):
     rng = random.Random(1)
     kind = "content string, id string, model string, decision_ms double"

@@ -17,13 +17,15 @@ from waymeter.streaming import handlers as H
 from waymeter.streaming import replay as R
 
 LANES, N, TIMEOUT_MS = 64, 20, 3000
+#: The batcher's files: rows in one at most, usual ones half full, and how many of them are a micro-batch.
+FILE_ROWS, FILES = 32_768, 16
 
 
-def _finish(stream, rows, state_partitions=None):
+def _finish(stream, rows):
     """Run a stream without an end of its own until all input is out."""
     spark = stream.sparkSession
     path = scratch(spark, "sink")
-    query = R.start_table(stream, path, scratch(spark, "state"), available_now=False, state_partitions=state_partitions)
+    query = R.start_table(stream, path, scratch(spark, "state"), available_now=False)
     return R.drain(query, path, rows)
 
 
@@ -48,15 +50,16 @@ def st_fanout(spark, d):
 
 
 def _batched(spark, d):
-    """Files of a bounded number per micro-batch would let the timer decide where windows end; here it only ends
-    the lanes' tails, so that windows can be compared with a table. All files are one micro-batch."""
+    """Micro-batches of a bounded number of rows, in the order of events, whichever lane the rows are in. The timer only ends
+    the lanes' tails, so that windows can be compared with a table."""
     rows = V.table(spark, d, "events").select(
         (F.col("user_id") % LANES).alias("lane"), F.col("event_id").cast("string").alias("id"),
         F.concat_ws(" ", "event_type", "props").alias("prompt"), F.col("event_id").alias("seq"),
     )
-    folder = R.as_files(rows, ["seq"])
-    stream = R.file_stream(spark, folder, rows.schema)
-    return _finish(B.micro_batch(stream, "lane", N, TIMEOUT_MS), rows.count(), LANES)
+    total = rows.count()
+    folder = R.as_files(rows, ["seq"], 2 * total // FILE_ROWS + 1, FILE_ROWS)
+    R.date_files(spark, folder)
+    return B.run_bounded(spark, folder, rows.schema, FILES, "lane", N, TIMEOUT_MS, total, LANES)
 
 
 def st_batcher(spark, d):

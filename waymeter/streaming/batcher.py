@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from waymeter.functions.text import head
 from waymeter.operators.windows import batch_prompt, batch_verdicts, gather
-from waymeter.session import ROCKSDB
+from waymeter.session import ROCKSDB, scratch
+from waymeter.streaming.replay import drain, file_stream, start_table
 
 OUTPUT = "lane long, id string, prompt string, seq long, wid long, at int, batch int, wait_ms long, closed_by string"
 BUFFER = "id string, prompt string, seq long, arrived long"
@@ -22,11 +24,12 @@ class Batcher(StatefulProcessor):
     """Buffers a lane's requests; flushes at n rows or ``timeout_ms`` after the window's first.
 
     State per lane: at most n - 1 buffered rows, the window counter and one timer. Rows of one micro-batch
-    are taken in the order of ``seq``, since a shuffle keeps none, and a size flush cancels the timer.
+    are taken in the order of ``seq``, since a shuffle keeps none, and a size flush cancels the timer. With ``hold``
+    an expired timer is put off by ``timeout_ms``, so windows close at n rows only.
     """
 
-    def __init__(self, n: int, timeout_ms: int) -> None:
-        self.n, self.timeout_ms = n, timeout_ms
+    def __init__(self, n: int, timeout_ms: int, hold: bool = False) -> None:
+        self.n, self.timeout_ms, self.hold = n, timeout_ms, hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -67,9 +70,11 @@ class Batcher(StatefulProcessor):
         self._keep(rows[full:], wid + full // self.n, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        if len(held):
-            wid, now = self.opened.get()[1], timerValues.getCurrentProcessingTimeInMs()
+        held, now = self._held(), timerValues.getCurrentProcessingTimeInMs()
+        if len(held) and self.hold:
+            self.handle.registerTimer(now + self.timeout_ms)
+        elif len(held):
+            wid = self.opened.get()[1]
             self._keep(held[:0], wid + 1, now)
             yield self._windows(key[0], wid, held, now, "time")
 
@@ -84,7 +89,7 @@ class Batcher(StatefulProcessor):
         pass
 
 
-def micro_batch(stream: DataFrame, lane: str, n: int, timeout_ms: int) -> DataFrame:
+def micro_batch(stream: DataFrame, lane: str, n: int, timeout_ms: int, hold: bool = False) -> DataFrame:
     """Batch a stream of ``lane, id, prompt, seq``; one output row per request.
 
     The session needs the RocksDB state store, as :func:`waymeter.session.build_session` sets it. A lane is
@@ -94,11 +99,28 @@ def micro_batch(stream: DataFrame, lane: str, n: int, timeout_ms: int) -> DataFr
     if stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     return stream.groupBy(lane).transformWithStateInPandas(
-        statefulProcessor=Batcher(n, timeout_ms), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=Batcher(n, timeout_ms, hold), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime",
     )
 
 
+def run_bounded(
+    spark: SparkSession, folder: str, schema: StructType, files: int, lane: str, n: int, timeout_ms: int, rows: int, state_partitions: int | None = None
+) -> DataFrame:
+    """Batch all ``rows`` rows that a folder's files hold, ``files`` of them a micro-batch.
+
+    However long a micro-batch takes, the timer only closes the lanes' tails: one run holds the windows open until all
+    input is read, and a second one from its checkpoint lets the timers run out. A restarted query runs no
+    micro-batch before it has new input, so an empty file is added to the folder for it.
+    """
+    path, state, stream = scratch(spark, "sink"), scratch(spark, "state"), file_stream(spark, folder, schema, files)
+    held = micro_batch(stream, lane, n, timeout_ms, hold=True)
+    start_table(held, path, state, state_partitions=state_partitions, no_data=False).awaitTermination()
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    query = start_table(micro_batch(stream, lane, n, timeout_ms), path, state, available_now=False, state_partitions=state_partitions)
+    return drain(query, path, rows)
+
+
 def batch_log(batched: DataFrame, replies: DataFrame, candidates: list[str] = ("small", "big"), default: str = "small") -> DataFrame:
     """The log of a windowed run from the batcher's rows and the judge's reply to each window.
 

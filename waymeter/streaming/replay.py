@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,13 +45,39 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def as_files(df: DataFrame, order: list[Column | str]) -> str:
-    """A table as range-ordered files, one per shuffle partition, for :func:`file_stream`."""
+def as_files(df: DataFrame, order: list[Column | str], files: int | None = None, most: int = 0) -> str:
+    """A table as range-ordered files for :func:`file_stream`: ``files`` ranges, or one per shuffle partition.
+
+    A range of over ``most`` rows is cut into more files; 0 is no limit.
+    """
     path = scratch(df.sparkSession, "stream")
-    df.repartitionByRange(width(df.sparkSession), *order).sortWithinPartitions(*order).write.parquet(path)
+    ranges = df.repartitionByRange(files or width(df.sparkSession), *order).sortWithinPartitions(*order)
+    ranges.write.option("maxRecordsPerFile", most).parquet(path)
     return path
 
 
+def date_files(spark: SparkSession, folder: str) -> None:
+    """Gives the files of :func:`as_files` modification times in their order, a second apart.
+
+    A file stream that takes some files at a time goes by those times, and tasks end in any order. Stores that keep
+    their own times are refused, since rows would come in another order.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for status in fs.listStatus(path):
+        part = re.match(r"part-(\d+)-.*-c(\d+)\.", status.getPath().getName())
+        if part:
+            found[int(part[1]), int(part[2])] = status
+    last = max((s.getModificationTime() for s in found.values()), default=0) // 1000
+    for back, key in enumerate(sorted(found, reverse=True)):
+        fs.setTimes(found[key].getPath(), (last - back) * 1000, -1)
+    now = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(path)}
+    times = [now[found[key].getPath().getName()] for key in sorted(found)]
+    if any(b <= a for a, b in zip(times, times[1:])):
+        raise ValueError(f"the store of {folder} does not take modification times")
+
+
 def fanout(stream: DataFrame, n: int, key: str | None = None) -> DataFrame:
     """Spread a stream over n tasks, whatever the source's parallelism.
 
@@ -84,25 +111,29 @@ def last_pairs(pairs: DataFrame) -> DataFrame:
 
 def start_table(
     stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, partition_by: list[str] = (),
-    state_partitions: int | None = None,
+    state_partitions: int | None = None, no_data: bool = True,
 ) -> StreamingQuery:
     """Append a stream to a parquet table (each micro-batch lands exactly once).
 
     ``state_partitions`` caps the state store's partitions for this query: keys fewer than
-    partitions, such as lanes, would only leave empty stores to commit.
+    partitions, such as lanes, would only leave empty stores to commit. Without ``no_data`` no micro-batch runs
+    for timers alone, so that a query with timers ends when its input does.
     """
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="0 seconds")
-    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    usual = conf.get(name)
+    conf, name, timers = stream.sparkSession.conf, "spark.sql.shuffle.partitions", "spark.sql.streaming.noDataMicroBatches.enabled"
+    usual, usual_timers = conf.get(name), conf.get(timers)
+    if not no_data:
+        conf.set(timers, "false")
     if state_partitions is not None:
         conf.set(name, str(min(int(usual), state_partitions)))
     try:  # the query takes its own copy of the settings when it starts
         return writer.outputMode("append").start()
     finally:
         conf.set(name, usual)
+        conf.set(timers, usual_timers)
 
 
 def run_to_end(stream: DataFrame, timeout: float | None = None) -> DataFrame:
