@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymeter.llm import archives, bpe, exact, mixing, near, quality, repeats, secrets, shards, sql, toxicity
+from waymeter.llm import archives, bpe, counts, exact, mixing, near, negatives, quality, repeats, secrets, shards, sql, toxicity, whitening
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -71,6 +71,20 @@ def op10_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"), stratum=F.col("lang"))
 
 
+def op11_threshold_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op12_chebyshev_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vector = F.when(negatives.usable(F.col("embedding")), whitening.fixed_point("embedding", 64, 1_000_000))
+    return whitening.whiten(_table(spark, folder, "embeddings"), vector)
+
+
+def op13_cached_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def entries() -> dict[str, Entry]:
     return {
         "op1_ordinal_toxicity": (op1_ordinal_toxicity, None),
@@ -83,4 +97,7 @@ def entries() -> dict[str, Entry]:
         "op8_doubling_substring_dedup": (op8_doubling_substring_dedup, sql.op8()),
         "op9_arc_to_warc": (op9_arc_to_warc, sql.op9()),
         "op10_risk_controlled_rules": (op10_risk_controlled_rules, sql.op10()),
+        "op11_threshold_hard_negatives": (op11_threshold_hard_negatives, sql.op11()),
+        "op12_chebyshev_whitening": (op12_chebyshev_whitening, None),
+        "op13_cached_token_counts": (op13_cached_token_counts, None),
     }

@@ -133,3 +133,19 @@ failed as (select doc_id, list(rule order by list_position({list(shares)}, rule)
 base as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules is null as kept,
   coalesce(failed_rules, []::varchar[]) as failed_rules from base left join failed using (doc_id)"""
+
+
+def op11() -> str:
+    return """with r as (
+        select row_number() over () as place, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+          list_transform(embedding, lambda x: floor(256 * x::double)) as q
+        from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+      s as (select a.place, a.vec_id as anchor_id, r.vec_id, r.place as other, r.label = a.label as same, list_inner_product(a.q, r.q)::bigint as score
+        from r a, r where a.vec_id % 100 = 0 and a.place <> r.place),
+      p as (select place, anchor_id, vec_id as positive_id, score as positive_score from s where same
+        qualify row_number() over (partition by place order by score desc, vec_id nulls last, other) <= 5),
+      w as (select distinct place, positive_score from p),
+      n as (select w.place, w.positive_score, s.vec_id as negative_id, s.score as negative_score,
+          row_number() over (partition by w.place, w.positive_score order by s.score desc, s.vec_id nulls last, s.other)::int as rank
+        from w join s on w.place = s.place and not s.same and 80 * w.positive_score <= 100 * s.score and s.score <= w.positive_score qualify rank <= 5)
+      select p.anchor_id, p.positive_id, n.rank, n.negative_id, p.positive_score, n.negative_score from p join n using (place, positive_score)"""
