@@ -2,13 +2,16 @@
 
 import random
 
+import pytest
 from oracle import mismatch
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from waymeter.catalog import streams
 from waymeter.operators import policies
+from waymeter.operators.windows import micro_batch_table
 from waymeter.session import scratch
-from waymeter.streaming import batcher, durable, replay
+from waymeter.streaming import batcher, durable, ranges, replay
 
 
 def test_batcher_flushes_the_tail(spark):
@@ -23,45 +26,157 @@ def test_batcher_flushes_the_tail(spark):
     assert sorted(r["at"] for r in out if r["wid"] == 2) == list(range(5))
 
 
-def test_batcher_queries_in_bounded_micro_batches(spark, monkeypatch):
-    folder, runs, start = "/root/testdata/sf0.001", [], batcher.start_table
-    monkeypatch.setattr(streams, "FILE_ROWS", 100)
-    monkeypatch.setattr(streams, "FILES", 2)
-    monkeypatch.setattr(streams, "TIMEOUT_MS", 1)  # runs out between any two micro-batches
-    monkeypatch.setattr(batcher, "start_table", lambda *a, **k: runs.append(start(*a, **k)) or runs[-1])
+def lane_rows(spark, n, seed=2):
+    """Half of all rows are lane 7's, some have no lane; seconds have gaps and ties."""
+    rng, at, rows = random.Random(seed), 0, []
+    for i in range(n):
+        at += rng.choice([0, 1, 1, 2, 9])
+        rows.append((rng.choice([7, 7, 7, 1, 2, None]), f"r{i:05}", f"p{i}", at))
+    return rows, spark.createDataFrame(rows, "lane long, id string, prompt string, seq long").repartition(3)
+
+
+def windows_brute(rows, n, timeout=None):
+    """(lane, wid, at, id, batch, why) of each row, lane by lane and row by row; the last instant closes by time too."""
+    out, last = [], max((r[3] for r in rows), default=0)
+    for lane in {r[0] for r in rows}:
+        mine, windows = sorted((r for r in rows if r[0] == lane), key=lambda r: (r[3], r[1])), []
+        for row in mine:
+            if not windows or len(windows[-1]) == n or timeout is not None and row[3] >= windows[-1][0][3] + timeout:
+                windows.append([])
+            windows[-1].append(row)
+        for wid, held in enumerate(windows):
+            expired = timeout is not None and (wid < len(windows) - 1 or last >= held[0][3] + timeout)
+            why = "size" if len(held) == n else "time" if expired else "end"
+            out += [(lane, wid, at, r[1], len(held), why) for at, r in enumerate(held)]
+    return sorted(out, key=repr)
+
+
+def told(df):
+    return sorted((tuple(r) for r in df.select("lane", "wid", "at", "id", "batch", "closed_by").collect()), key=repr)
+
+
+@pytest.mark.parametrize(("n", "step", "timeout", "size"), [(20, 400, 25, 1000), (7, 97, 10, 290), (50, 10_000, None, 1000), (20, 19, None, 70)])
+def test_lane_windows_over_micro_batches(spark, n, step, timeout, size):
+    rows, df = lane_rows(spark, size)
+    out = batcher.run_lanes(df, n, step, timeout)
+    assert told(out) == windows_brute(rows, n, timeout)
+    assert out.where("wait_ms < 0 or wait_ms is null").count() == 0
+
+
+def test_lane_windows_without_rows(spark):
+    _, df = lane_rows(spark, 10)
+    assert told(batcher.run_lanes(df.limit(0), 20, 5)) == []
+
+
+def test_a_hot_lane_is_worked_on_by_many_tasks(spark, monkeypatch):
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 9).cast("long").alias("lane"), F.col("id").cast("string").alias("id"), F.lit("p").alias("prompt"), F.col("id").alias("seq"))
+    chunks, real = [], batcher.micro_batch_table
+
+    def watched(df, *args):
+        out = real(df, *args)
+        chunks.append(out.where("lane = 0").groupBy(F.spark_partition_id().alias("task")).count().collect())
+        return out
+
+    monkeypatch.setattr(batcher, "micro_batch_table", watched)
+    folder, size = ranges.number(rows, ["seq"])
+    windows = batcher.LaneWindows(scratch(spark, "windows"), scratch(spark, "lanes"), 20, chunk_rows=100)
+    ranges.run(spark, folder, size, 6000, scratch(spark, "state"), windows)
+    hot = [r["count"] for r in chunks[0]]
+    assert len(hot) >= 5 and max(hot) < 0.6 * sum(hot) and sum(hot) > 3000
+    plain = micro_batch_table(rows, "lane", "seq", "id", 20, batcher.WHOLE).select("lane", F.col("wid") - 1, "at", "id")
+    assert sorted(map(tuple, plain.collect())) == sorted(r[:4] for r in told(windows.result(spark)))
+
+
+def test_the_batcher_goes_on_after_a_restart(spark):
+    """Broken off in the middle, before and after a micro-batch's output is written, and started again with the same checkpoint."""
+    rows, df = lane_rows(spark, 500)
+    folder, size = ranges.number(df, ["seq", "id"])
+    windows, checkpoint, seen = batcher.LaneWindows(scratch(spark, "windows"), scratch(spark, "lanes"), 20), scratch(spark, "state"), []
+
+    class Broken(Exception):
+        pass
+
+    def broken(frame, number, last):
+        seen.append(number)
+        if seen == [0, 1, 2]:
+            raise Broken
+        windows(frame, number, last)
+        if seen == [0, 1, 2, 2, 3]:
+            raise Broken
+
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            ranges.run(spark, folder, size, 100, checkpoint, broken)
+    ranges.run(spark, folder, size, 100, checkpoint, broken)
+    assert seen == [0, 1, 2, 2, 3, 3, 4]
+    assert told(windows.result(spark)) == windows_brute(rows, 20)
+    ranges.run(spark, folder, size, 100, checkpoint, broken)  # nothing is left
+    assert len(seen) == 7
+
+
+def test_ranges_come_in_order_with_an_end(spark):
+    rows = spark.range(1000).select((F.lit(999) - F.col("id")).alias("seq"), F.lit("x").alias("_kept"))
+    folder, size = ranges.number(rows, ["seq"])
+    seen = []
+    ranges.run(spark, folder, size, 300, scratch(spark, "state"), lambda df, k, last: seen.append((k, last, sorted(r[0] for r in df.select("seq").collect()), df.columns)))
+    assert [s[:2] for s in seen] == [(0, False), (1, False), (2, False), (3, True)]
+    assert sum((s[2] for s in seen), []) == list(range(1000)) and seen[0][3] == ["seq", "_kept"]
+    for n, step in ((0, 10), (20, 10), (1, 1)):
+        seen.clear()
+        folder, size = ranges.number(rows.where(F.col("seq") < n), ["seq"])
+        ranges.run(spark, folder, size, step, scratch(spark, "state"), lambda df, k, last: seen.append((last, df.count())))
+        assert [s[0] for s in seen] == [False] * (len(seen) - 1) + [True] and sum(s[1] for s in seen) == n and len(seen) == max(1, -(-n // step))
+
+
+def test_the_batcher_queries_in_several_micro_batches(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(streams, "STEP", 300)
     run, text = streams.ENTRIES["st_batcher"]
     assert not mismatch(run(spark, folder), folder, text)
-    read = [p["numInputRows"] for q in runs for p in q.recentProgress if p["numInputRows"]]
-    assert sum(read) == 1000 and max(read) <= 200 and len(read) >= 5
 
 
-def test_files_come_in_their_order(spark):
-    rows = spark.range(1000).select((F.lit(999) - F.col("id")).alias("seq"))
-    folder = replay.as_files(rows, ["seq"], 4, 90)
-    replay.date_files(spark, folder)
-    seen = []
-    query = replay.file_stream(spark, folder, "seq long", 1).writeStream.foreachBatch(lambda df, k: seen.append(sorted(r[0] for r in df.collect())))
-    assert query.trigger(availableNow=True).start().awaitTermination(120)
-    assert sum(seen, []) == list(range(1000)) and max(map(len, seen)) <= 90
+KIND = "content string, id string, model string, decision_ms double"
 
 
 def test_decisions_survive_a_restart(spark):
     rng = random.Random(1)
-    kind = "content string, id string, model string, decision_ms double"
 
     def coins(run):
-        return spark.createDataFrame([(f"c{i}", f"{run}-{i}", rng.choice(["small", "big"]), rng.random()) for i in range(60)], kind)
+        return spark.createDataFrame([(f"c{i}", f"{run}-{i}", rng.choice(["small", "big"]), rng.random()) for i in range(60)], KIND)
 
     folder, state, path = scratch(spark, "in"), scratch(spark, "state"), scratch(spark, "sink")
+    found = []
     for run in ("first", "second"):
         coins(run).write.mode("append").parquet(folder)
-        query = replay.start_table(durable.durable(replay.file_stream(spark, folder, kind)), path, state)
-        assert query.awaitTermination(120)
-    out = spark.read.parquet(path).collect()
-    kept = {r["content"]: (r["model"], r["decision_ms"]) for r in out if r["id"].startswith("first")}
-    again = {r["content"]: (r["model"], r["decision_ms"]) for r in out if r["id"].startswith("second")}
-    assert len(out) == 120 and kept == again
-    assert {r["replayed"] for r in out if r["id"].startswith("second")} == {True}
+        found.append(durable.keyed_answers(spark, folder, KIND, path, state).collect())
+    kept, again = ({r["content"]: (r["model"], r["decision_ms"]) for r in out if r["id"].startswith("first")} for out in found)
+    second = {r["content"]: (r["model"], r["decision_ms"]) for r in found[1] if r["id"].startswith("second")}
+    assert len(found[0]) == 60 and len(found[1]) == 120 and kept == again == second
+    assert spark.read.parquet(path).count() == 60
+
+
+def test_of_proposals_in_one_micro_batch_the_smallest_id_counts(spark):
+    rows = [(f"c{i % 3}" if i % 5 else None, f"{(i * 37) % 100:03}", f"m{i}", float(i)) for i in range(100)]
+    folder = scratch(spark, "in")
+    spark.createDataFrame(rows, KIND).repartition(7).write.parquet(folder)
+    want = {}
+    for content, i, model, ms in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(content, (model, ms))
+    got = durable.keyed_answers(spark, folder, KIND, scratch(spark, "sink"), scratch(spark, "state")).collect()
+    assert sorted((str(r["content"]), r["id"], r["model"], r["decision_ms"]) for r in got) == sorted((str(c), i, *want[c]) for c, i, *_ in rows)
+
+
+def test_a_dominant_content_reaches_its_key_once_a_task(spark):
+    """A third of the rows share a content. Few of them get to keyed state, and the answers' join may split the others."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("content"), F.col("id").cast("string").alias("id"), F.lit("m").alias("model"), F.lit(1.0).alias("decision_ms")
+    ).repartition(4)
+    folder, path = scratch(spark, "in"), scratch(spark, "sink")
+    rows.write.parquet(folder)
+    reduced = durable.first_proposals(spark.read.schema(KIND).parquet(folder))
+    assert reduced.where("content = 'hot'").count() <= reduced.rdd.getNumPartitions() and reduced.count() == 2000 + reduced.where("content = 'hot'").count()
+    out = durable.keyed_answers(spark, folder, KIND, path, scratch(spark, "state"))
+    assert out.count() == 3000 and "Join" in out._jdf.queryExecution().optimizedPlan().toString() and "FlatMap" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_decision_table_form(spark):
@@ -134,11 +249,24 @@ def test_no_request_is_lost_in_the_decision_store(spark):
     assert first.count() == 31 and first.where("model is null").count() == 0
     second = durable.durable_table(reqs.where("prompt = 'p1'"), store, "2", decide)
     assert {r["replayed"] for r in second.collect()} == {True}
-    assert "PartitionFilters: [isnotnull(slot" in second._jdf.queryExecution().toString() or "slot#" in second._jdf.queryExecution().executedPlan().toString()
     empty = durable.durable_table(reqs.limit(0), store, "3", decide)
     assert empty.count() == 0
 
 
+def test_decision_store_is_cut_as_finely_as_it_is_large(spark, monkeypatch):
+    """Batches of different sizes have folders of different depth, and later batches find them all."""
+    store = scratch(spark, "store")
+    decide = lambda df: df.withColumn("model", F.lit("m")).withColumn("decision_ms", F.lit(1.0))
+    reqs = [spark.range(a, b).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt")) for a, b in ((0, 40), (20, 120), (0, 200))]
+    depths = []
+    for k, (frame, least) in enumerate(zip(reqs, (1000, 20, 2))):
+        monkeypatch.setattr(durable, "SLOT_ROWS", least)
+        out = durable.durable_table(frame, store, str(k), decide).collect()
+        assert len(out) == frame.count() and {r["id"] for r in out if r["replayed"]} == {str(i) for i in range((0, 20, 0)[k], (0, 40, 120)[k])}
+        depths.append({len(r[0] or "") for r in spark.read.schema(durable.STORED + ", batch string, slot string").parquet(store).where(F.col("batch") == str(k)).select("slot").collect()})
+    assert depths == [{1}, {2}, {3}]
+
+
 def test_batch_log(spark):
     rows = [(0, f"r{i}", f"text {i}" * 20, i, i // 3, i % 3, 3 if i < 6 else 1, 5, "size") for i in range(7)]
     batched = spark.createDataFrame(rows, batcher.OUTPUT)

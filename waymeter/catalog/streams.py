@@ -16,9 +16,9 @@ from waymeter.streaming import durable as D
 from waymeter.streaming import handlers as H
 from waymeter.streaming import replay as R
 
-LANES, N, TIMEOUT_MS = 64, 20, 3000
-#: The batcher's files: rows in one at most, usual ones half full, and how many of them are a micro-batch.
-FILE_ROWS, FILES = 32_768, 16
+N = 20
+LANE_ROWS = 160  # events for which there is a lane
+STEP = 1 << 19  # rows of a micro-batch
 
 
 def _finish(stream, rows):
@@ -50,16 +50,14 @@ def st_fanout(spark, d):
 
 
 def _batched(spark, d):
-    """Micro-batches of a bounded number of rows, in the order of events, whichever lane the rows are in. The timer only ends
-    the lanes' tails, so that windows can be compared with a table."""
-    rows = V.table(spark, d, "events").select(
-        (F.col("user_id") % LANES).alias("lane"), F.col("event_id").cast("string").alias("id"),
+    """Micro-batches of a bounded number of rows, in the order of events. Lanes are users, dealt to as many as the table's size asks for."""
+    events = V.table(spark, d, "events")
+    lanes = max(1, events.count() // LANE_ROWS)
+    rows = events.select(
+        (F.col("user_id") % lanes).alias("lane"), F.col("event_id").cast("string").alias("id"),
         F.concat_ws(" ", "event_type", "props").alias("prompt"), F.col("event_id").alias("seq"),
     )
-    total = rows.count()
-    folder = R.as_files(rows, ["seq"], 2 * total // FILE_ROWS + 1, FILE_ROWS)
-    R.date_files(spark, folder)
-    return B.run_bounded(spark, folder, rows.schema, FILES, "lane", N, TIMEOUT_MS, total, LANES)
+    return B.run_lanes(rows, N, STEP)
 
 
 def st_batcher(spark, d):
@@ -114,13 +112,11 @@ def udf_stateful(spark, d):
         F.when(F.col("user_id") % 3 == 0, "small").otherwise("big").alias("first"), (F.col("user_id") % 10 + 0.5).cast("double").alias("ms"),
     )
     folder, state, path = scratch(spark, "in"), scratch(spark, "state"), scratch(spark, "sink")
-    kind = "content string, id string, model string, decision_ms double"
     odd = F.col("event_id") % 2 == 1
     for part, model, ms in ((~odd, F.col("first"), F.col("ms")), (odd, F.lit("other"), F.lit(-1.0))):
         rows.where(part).select("content", "id", model.alias("model"), ms.alias("decision_ms")).write.mode("append").parquet(folder)
-        R.start_table(D.durable(R.file_stream(spark, folder, kind)), path, state).awaitTermination()
-    kept = spark.read.schema(D.OUTPUT).parquet(path)
-    return kept.select("content", "id", "model", "decision_ms")
+        out = D.keyed_answers(spark, folder, D.PROPOSAL, path, state)
+    return out.select("content", "id", "model", "decision_ms")
 
 
 def udf_policy(spark, d):
@@ -154,14 +150,14 @@ def udf_meter(spark, d):
 _SPLIT = f"case when {V.sql_bucket('prompt')} < 50 then 'big' else 'small' end"
 _PLACED = f"""(select *, count(*) over (partition by lane, wid)::int as batch from (
     select *, (rn - 1) // {N} as wid, cast((rn - 1) % {N} as int) as "at" from (
-    select user_id % {LANES} as lane, cast(event_id as varchar) as id, event_type || ' ' || props as prompt,
-      row_number() over (partition by user_id % {LANES} order by event_id) as rn from events)))"""
+    select *, row_number() over (partition by lane order by cast(id as bigint)) as rn from (
+      select user_id % (select greatest(1, count(*) // {LANE_ROWS}) from events) as lane, cast(event_id as varchar) as id, event_type || ' ' || props as prompt from events))))"""
 
 ENTRIES = {
     "src_replay": (src_replay, sql("select id, slice, prompt from v_requests", "v_requests")),
     "st_fanout": (st_fanout, sql("""select slice, count(*) as rows, count(distinct id) as ids, 1::bigint as tasks, count(*) as keyed_rows
         from v_requests group by 1""", "v_requests")),
-    "st_batcher": (st_batcher, f"""select lane, wid, "at", id, batch, case when batch = {N} then 'size' else 'time' end as closed_by from {_PLACED}"""),
+    "st_batcher": (st_batcher, f"""select lane, wid, "at", id, batch, case when batch = {N} then 'size' else 'end' end as closed_by from {_PLACED}"""),
     "st_end_flush": (st_end_flush, f"select id, lane, batch < {N} as tail, true as in_order from {_PLACED}"),
     "sink_batches": (sink_batches, f"""select lane, wid, "at", id, left(prompt, 60) as prompt_head, batch, (wid % 4) * 1.5::double + 2 as judge_ms,
         batch * 10::bigint as judge_prompt_tokens, 12::bigint as judge_completion_tokens, wid % 4 = 2 as parse_failed, true as waited,

@@ -54,7 +54,7 @@ def _summarise(n: int, timeout: int):
             jump = further
         last = jump[:entries]
         return pd.DataFrame({
-            "lane": [key[0]], "_slab": [key[1]], "_chunk": [key[2]], "size": [size],
+            "lane": pdf["lane"].iloc[:1].to_list(), "_slab": [key[1]], "_chunk": [key[2]], "size": [size],
             "head": [ts[:entries].tolist()], "tail": [(size - last).tolist()],
             "tail_ts": [ts[last].tolist()], "opened": [(opened[:entries] + 1).tolist()],
         })
@@ -68,11 +68,11 @@ def _compose(n: int, timeout: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows, held, since, windows = [], n, 0, 0  # held = n: the previous window is full
         for c in pdf.sort_values(["_slab", "_chunk"]).itertuples(index=False, name=None):
-            slab, chunk, size, head, tail, tail_ts, opened = c[1:]
+            lane, slab, chunk, size, head, tail, tail_ts, opened = c
             space = n - held
             timed_out = np.searchsorted(np.asarray(head[:space], "int64"), since + timeout, side="left")
             entry = min(space, int(timed_out), size)
-            rows.append((key[0], slab, chunk, entry, held, windows))
+            rows.append((lane, slab, chunk, entry, held, windows))
             if entry >= size:
                 held += size
             else:
@@ -83,7 +83,7 @@ def _compose(n: int, timeout: int):
     return run
 
 
-def _assign(n: int, timeout: int):
+def _assign(n: int, timeout: int, keep: list[str]):
     """Window number and position of each row of a chunk, given where its first window opens."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,18 +100,18 @@ def _assign(n: int, timeout: int):
         opening = np.maximum.accumulate(np.where(starts == 1, rows, -1))
         return pd.DataFrame({
             "lane": pdf["lane"], "id": pdf["id"], "ts": ts, "wid": base + np.cumsum(starts),
-            "at": np.where(opening < 0, held + rows, rows - opening),
+            "at": np.where(opening < 0, held + rows, rows - opening), **{c: pdf[c] for c in keep},
         })
 
     return run
 
 
 def micro_batch_table(
-    df: DataFrame, lane: str, ts: str, unique: str, n: int, timeout: int, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, lane: str, ts: str, unique: str, n: int, timeout: int, chunk_rows: int = CHUNK_ROWS, keep: list[str] = ()
 ) -> DataFrame:
     """Windows that close at their n-th row or ``timeout`` after their first row's arrival.
 
-    Returns ``lane, id, ts, wid (from 1), at (position in the window)``; ``ts`` and ``timeout``
+    Returns ``lane, id, ts, wid (from 1), at (position in the window)`` and the columns of ``keep``; ``ts`` and ``timeout``
     are whole numbers of one unit. A row arriving exactly at the deadline opens the next window.
 
     Each boundary depends on the one before, yet a lane is not walked by one task: lanes are
@@ -120,7 +120,7 @@ def micro_batch_table(
     a lane then reads n entries per chunk (per million rows) and not the rows.
     """
     kind = df.schema[lane].dataType
-    narrow = df.select(F.col(lane).alias("lane"), F.col(unique).alias("id"), F.col(ts).cast("long").alias("ts"))
+    narrow = df.select(F.col(lane).alias("lane"), F.col(unique).alias("id"), F.col(ts).cast("long").alias("ts"), *keep)
     laid = lay_out(narrow, "lane", "ts", "id").withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows))
     keys = T.StructType([T.StructField("lane", kind)]).add("_slab", "long").add("_chunk", "long")
     summary = T.StructType(list(keys.fields)).add("size", "long")
@@ -129,10 +129,14 @@ def micro_batch_table(
     entries = T.StructType(list(keys.fields)).add("entry", "long").add("held", "long").add("base", "long")
     assigned = T.StructType([T.StructField("lane", kind), T.StructField("id", df.schema[unique].dataType)])
     assigned = assigned.add("ts", "long").add("wid", "long").add("at", "long")
+    for name in keep:
+        assigned = assigned.add(df.schema[name])
     chunk = ["lane", "_slab", "_chunk"]
     summaries = laid.select(*chunk, "_idx", "ts").groupBy(*chunk).applyInPandas(_summarise(n, timeout), summary)
     opened = summaries.groupBy("lane").applyInPandas(_compose(n, timeout), entries)
-    return laid.join(opened, chunk).groupBy(*chunk).applyInPandas(_assign(n, timeout), assigned)
+    opened = opened.select(*[F.col(c).alias(f"_k_{c}") for c in chunk], "entry", "held", "base")
+    met = laid.join(opened, [laid[c].eqNullSafe(opened[f"_k_{c}"]) for c in chunk]).drop(*[f"_k_{c}" for c in chunk])
+    return met.groupBy(*chunk).applyInPandas(_assign(n, timeout, list(keep)), assigned)
 
 
 def window_facts(batched: DataFrame, n: int, timeout: int) -> DataFrame:

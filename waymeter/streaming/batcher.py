@@ -1,19 +1,19 @@
-"""The count-or-time batcher on keyed state."""
+"""The count-or-time batcher: on keyed state by the clock, and as a step over ordered micro-batches."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from waymeter.functions.text import head
-from waymeter.operators.windows import batch_prompt, batch_verdicts, gather
-from waymeter.session import ROCKSDB, scratch
-from waymeter.streaming.replay import drain, file_stream, start_table
+from waymeter.operators.windows import batch_prompt, batch_verdicts, gather, micro_batch_table
+from waymeter.session import ROCKSDB, pin, scratch
+from waymeter.streaming import ranges
 
 OUTPUT = "lane long, id string, prompt string, seq long, wid long, at int, batch int, wait_ms long, closed_by string"
 BUFFER = "id string, prompt string, seq long, arrived long"
@@ -24,12 +24,11 @@ class Batcher(StatefulProcessor):
     """Buffers a lane's requests; flushes at n rows or ``timeout_ms`` after the window's first.
 
     State per lane: at most n - 1 buffered rows, the window counter and one timer. Rows of one micro-batch
-    are taken in the order of ``seq``, since a shuffle keeps none, and a size flush cancels the timer. With ``hold``
-    an expired timer is put off by ``timeout_ms``, so windows close at n rows only.
+    are taken in the order of ``seq``, since a shuffle keeps none, and a size flush cancels the timer.
     """
 
-    def __init__(self, n: int, timeout_ms: int, hold: bool = False) -> None:
-        self.n, self.timeout_ms, self.hold = n, timeout_ms, hold
+    def __init__(self, n: int, timeout_ms: int) -> None:
+        self.n, self.timeout_ms = n, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -71,9 +70,7 @@ class Batcher(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, now = self._held(), timerValues.getCurrentProcessingTimeInMs()
-        if len(held) and self.hold:
-            self.handle.registerTimer(now + self.timeout_ms)
-        elif len(held):
+        if len(held):
             wid = self.opened.get()[1]
             self._keep(held[:0], wid + 1, now)
             yield self._windows(key[0], wid, held, now, "time")
@@ -89,36 +86,87 @@ class Batcher(StatefulProcessor):
         pass
 
 
-def micro_batch(stream: DataFrame, lane: str, n: int, timeout_ms: int, hold: bool = False) -> DataFrame:
+def micro_batch(stream: DataFrame, lane: str, n: int, timeout_ms: int) -> DataFrame:
     """Batch a stream of ``lane, id, prompt, seq``; one output row per request.
 
     The session needs the RocksDB state store, as :func:`waymeter.session.build_session` sets it. A lane is
-    one task at a time, and a micro-batch of a lane is held in it, so use many lanes and bound the micro-batch
-    at the source (``files_per_trigger``).
+    one task at a time, and a micro-batch of a lane is held in it: where lanes may be hot, use :class:`LaneWindows`.
     """
     if stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     return stream.groupBy(lane).transformWithStateInPandas(
-        statefulProcessor=Batcher(n, timeout_ms, hold), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=Batcher(n, timeout_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime",
     )
 
 
-def run_bounded(
-    spark: SparkSession, folder: str, schema: StructType, files: int, lane: str, n: int, timeout_ms: int, rows: int, state_partitions: int | None = None
-) -> DataFrame:
-    """Batch all ``rows`` rows that a folder's files hold, ``files`` of them a micro-batch.
+STATE = "lane long, wid long, held array<struct<id: string, prompt: string, seq: long, arrived: long>>"
+WHOLE = 1 << 62  # a timeout that never runs out
+
 
-    However long a micro-batch takes, the timer only closes the lanes' tails: one run holds the windows open until all
-    input is read, and a second one from its checkpoint lets the timers run out. A restarted query runs no
-    micro-batch before it has new input, so an empty file is added to the folder for it.
+class LaneWindows:
+    """The batcher as a step over micro-batches, in which a lane may be as hot as it likes.
+
+    A micro-batch is sorted by (lane, ``seq``) and cut into chunks, which summarise themselves: from each row that a window
+    may open at to the last opening behind it. Lanes are walked over these summaries alone, so the rows of one lane are
+    worked on by many tasks. What a lane carries to the next micro-batch is the number of its open window
+    and the at most n - 1 rows in it; they are put in front of its next rows.
+
+    A window closes at its n-th row (``size``), when a row or the end of the micro-batch is ``timeout`` units of ``seq`` behind its first
+    (``time``), or with the last micro-batch (``end``). Rows come in the order of ``seq`` from one micro-batch to the next, so
+    the largest ``seq`` so far is the time of all lanes. Without ``timeout`` there is no closing by time. Output and state of a micro-batch stand under its
+    number and replace what a broken attempt left there. State is one row per lane, read and
+    written once per micro-batch. A null lane is a lane of its own; ``seq`` is not null.
     """
-    path, state, stream = scratch(spark, "sink"), scratch(spark, "state"), file_stream(spark, folder, schema, files)
-    held = micro_batch(stream, lane, n, timeout_ms, hold=True)
-    start_table(held, path, state, state_partitions=state_partitions, no_data=False).awaitTermination()
-    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
-    query = start_table(micro_batch(stream, lane, n, timeout_ms), path, state, available_now=False, state_partitions=state_partitions)
-    return drain(query, path, rows)
+
+    def __init__(self, path: str, store: str, n: int, timeout: int | None = None, chunk_rows: int = 1 << 15) -> None:
+        self.path, self.store, self.n, self.timeout, self.chunk_rows = path.rstrip("/"), store.rstrip("/"), n, timeout, chunk_rows
+
+    def _before(self, spark: SparkSession, number: int) -> DataFrame:
+        if not number:
+            return spark.createDataFrame([], STATE)
+        return spark.read.schema(STATE).parquet(f"{self.store}/batch={number - 1}")
+
+    def __call__(self, rows: DataFrame, number: int, last: bool) -> None:
+        """Takes ``lane, id, prompt, seq``; appends the rows of the windows that closed, as ``OUTPUT`` has them."""
+        spark, now = rows.sparkSession, int(time.time() * 1000)
+        before = self._before(spark, number)
+        held = before.select("lane", F.inline("held"))
+        new = rows.select("lane", "id", "prompt", "seq", F.lit(now).cast("long").alias("arrived"))
+        placed = micro_batch_table(held.union(new), "lane", "seq", "id", self.n, self.timeout or WHOLE, self.chunk_rows, ["prompt", "arrived"])
+        placed = pin(placed.withColumnRenamed("ts", "seq"), "placed")
+        at = placed.agg(F.max("seq")).first()[0]
+        window = Window.partitionBy("lane", "wid")  # at most n rows
+        sized = placed.withColumns({"batch": F.count(F.lit(1)).over(window).cast("int"), "opened": F.min("seq").over(window)})
+        newest = placed.groupBy("lane").agg(F.max("wid").alias("newest"))
+        known = before.select(F.col("lane").alias("_lane"), F.col("wid").alias("base"))
+        lanes = newest.join(known, newest["lane"].eqNullSafe(known["_lane"]), "left").select(F.col("lane").alias("_lane"), "newest", F.coalesce("base", F.lit(0)).alias("base"))
+        late = F.col("wid") < F.col("newest")
+        if self.timeout is not None and at is not None:
+            late = late | (F.col("opened") + self.timeout <= at)
+        why = F.when(F.col("batch") >= self.n, "size").when(late, "time").when(F.lit(last), "end")
+        told = sized.join(lanes, sized["lane"].eqNullSafe(lanes["_lane"])).withColumn("closed_by", why)
+        told = pin(told.withColumn("wid", F.col("base") + F.col("wid") - 1), "told")
+        closed = told.where("closed_by is not null").withColumn("wait_ms", F.lit(now) - F.col("arrived"))
+        closed.select("lane", "id", "prompt", "seq", "wid", F.col("at").cast("int").alias("at"), "batch", "wait_ms", "closed_by").write.mode("overwrite").parquet(f"{self.path}/part={number}")
+        row = F.when(F.col("closed_by").isNull(), F.struct("at", F.struct("id", "prompt", "seq", "arrived").alias("row")))
+        after = told.groupBy("lane").agg(
+            F.coalesce(F.min(F.when(F.col("closed_by").isNull(), F.col("wid"))), F.max("wid") + 1).alias("wid"), F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"]).alias("held"),
+        )
+        still = before.join(newest, before["lane"].eqNullSafe(newest["lane"]), "left_anti")
+        after.union(still).write.mode("overwrite").parquet(f"{self.store}/batch={number}")
+
+    def result(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(OUTPUT).parquet(f"{self.path}/part=*")
+
+
+def run_lanes(rows: DataFrame, n: int, step: int, timeout: int | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Windows of a whole table of ``lane, id, prompt, seq``, streamed in the order of ``seq`` with ``step`` rows a micro-batch, in one run."""
+    spark = rows.sparkSession
+    windows = LaneWindows(scratch(spark, "windows"), scratch(spark, "lanes"), n, timeout)
+    folder, size = ranges.number(rows, ["seq", "id"])
+    ranges.run(spark, folder, size, step, checkpoint or scratch(spark, "state"), windows)
+    return windows.result(spark)
 
 
 def batch_log(batched: DataFrame, replies: DataFrame, candidates: list[str] = ("small", "big"), default: str = "small") -> DataFrame:

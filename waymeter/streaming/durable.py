@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from waymeter.functions.text import content_key
 from waymeter.session import exists
+from waymeter.streaming.replay import file_stream, start_table
 
 STORED = "content string, model string, decision_ms double"
-OUTPUT = "content string, id string, model string, decision_ms double, replayed boolean"
+PROPOSAL = "content string, id string, model string, decision_ms double"
+HELD = 50_000  # contents that a task holds while it reduces
+SLOT_ROWS, SLOT_DIGITS = 50_000, 2  # contents of a folder of the decision table, and digits that name one at most
 
 
 class FirstDecision(StatefulProcessor):
-    """Stores the first decision seen for a content key and answers every repeat with it."""
+    """Stores the first decision seen for a content key, and passes it on once; later proposals are dropped."""
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
@@ -26,36 +30,71 @@ class FirstDecision(StatefulProcessor):
         self.state = handle.getValueState("decision", "model string, decision_ms double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.state.get() if self.state.exists() else None
-        known = stored is not None
-        for pdf in rows:
-            if stored is None:
-                first = pdf.iloc[0]
-                stored = (first["model"], float(first["decision_ms"]))
-                self.state.update(stored)
-            out = pd.DataFrame({"content": key[0], "id": pdf["id"], "model": stored[0], "decision_ms": stored[1]})
-            out["replayed"] = known
-            yield out
+        if self.state.exists():
+            return
+        first = pd.concat([pdf.sort_values("id").head(1) for pdf in rows]).sort_values("id").iloc[0]
+        model, ms = first["model"], float(first["decision_ms"])
+        self.state.update((model, ms))
+        yield pd.DataFrame({"content": [key[0]], "model": [model], "decision_ms": [ms]})
 
     def close(self) -> None:
         pass
 
 
+def _firsts(table: pa.Table) -> pa.Table:
+    """Of each content the proposal with the smallest id."""
+    rest = [c for c in table.column_names if c != "content"]
+    found = table.sort_by("id").group_by("content", use_threads=False).aggregate([(c, "first") for c in rest])
+    return found.rename_columns([c.removesuffix("_first") for c in found.column_names]).select(table.column_names)
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's proposals, reduced over its batches; what is held is passed on when it has too many contents."""
+    held = None
+    for batch in batches:
+        firsts = _firsts(pa.Table.from_batches([batch]))
+        held = firsts if held is None else _firsts(pa.concat_tables([held, firsts]))
+        if len(held) > HELD:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
+
+
+def first_proposals(rows: DataFrame) -> DataFrame:
+    """The first level: ``content, id, model, decision_ms`` reduced in the map tasks, without a shuffle.
+
+    A content that fills a third of the rows leaves each task once, or once for every ``HELD`` other contents.
+    """
+    return rows.select("content", "id", "model", F.col("decision_ms").cast("double").alias("decision_ms")).mapInArrow(_reduce, PROPOSAL)
+
+
 def durable(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Stream of ``content, id, model, decision_ms`` (the proposed decision) to the decision kept.
+    """The second level: a stream of ``content, id, model, decision_ms`` (the proposed decision) to the decisions made, one row per content.
 
-    The proposal may come from a random policy; it only counts the first time. Without a TTL,
-    state grows with distinct contents. The session needs the RocksDB state store. The number of state partitions is fixed by the
-    checkpoint: choose spark.sql.shuffle.partitions before the first start. All requests of one
-    content pass through one task; where a single prompt may dominate, use
-    :func:`durable_batches`.
+    A proposal may come from a random policy; it only counts the first time. Of those that arrive in one micro-batch the one
+    with the smallest id counts. Without a TTL, state grows with distinct contents; with one, a content may be decided
+    again. The session needs the RocksDB state store. The number of state partitions is fixed by the
+    checkpoint: choose spark.sql.shuffle.partitions before the first start.
     """
-    return stream.groupBy("content").transformWithStateInPandas(
-        statefulProcessor=FirstDecision(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
+    return first_proposals(stream).groupBy("content").transformWithStateInPandas(
+        statefulProcessor=FirstDecision(ttl_ms), outputStructType=STORED, outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 
+def keyed_answers(spark: SparkSession, folder: str, schema: str, path: str, checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Decides what is new in a folder and answers all its rows: ``content, id, model, decision_ms``.
+
+    Only reduced proposals go through keyed state. The decisions in ``path`` are joined back to the rows by an ordinary join with one
+    row per content on one side, where adaptive execution splits a hot content of the other. A null content is one of its own.
+    """
+    start_table(durable(file_stream(spark, folder, schema, files_per_trigger)), path, checkpoint).awaitTermination()
+    made = spark.read.schema(STORED).parquet(path).withColumnRenamed("content", "_content")
+    rows = spark.read.schema(schema).parquet(folder).drop("model", "decision_ms")
+    return rows.join(made, rows["content"].eqNullSafe(made["_content"])).drop("_content")
+
+
 def durable_table(
     requests: DataFrame, store: str, batch: str, decide: Callable[[DataFrame], DataFrame], text: str = "prompt"
 ) -> DataFrame:
@@ -66,14 +105,18 @@ def durable_table(
     deciding again, and a repeated batch finds its folder and adds nothing. There is no limit on
     changing the parallelism between runs.
 
-    The store is partitioned by the first two digits of the content's digest, and a batch reads only the
-    parts that its own contents lie in. At most 256 part names reach the driver.
+    A batch's folder is cut by the first digits of the content's digest, none for a small batch and at most two, so that files
+    are neither tiny nor many. A later batch reads only the parts of each depth that its own contents lie in; at most
+    256 beginnings of digests reach the driver.
     """
     spark = requests.sparkSession
     kept = spark.read.schema(STORED + ", batch string, slot string")
     keyed = requests.withColumn("content", content_key(F.coalesce(text, F.lit(""))))
-    slot = F.substring("content", 1, 2)
-    slots = [r["slot"] for r in keyed.select(slot.alias("slot")).distinct().collect()]
+    beginning = F.substring("content", 1, SLOT_DIGITS)
+    n, met = keyed.agg(F.approx_count_distinct("content"), F.collect_set(beginning)).first()
+    digits = next((d for d in range(SLOT_DIGITS) if SLOT_ROWS * 16**d >= n), SLOT_DIGITS)
+    slot = F.concat(F.lit("s"), F.substring("content", 1, digits))
+    slots = sorted({"s" + m[:d] for m in met for d in range(SLOT_DIGITS + 1)})
     mine = f"{store.rstrip('/')}/batch={batch}"
     if not exists(spark, mine + "/_SUCCESS"):
         fresh = keyed.groupBy("content").agg(F.min(text).alias(text))

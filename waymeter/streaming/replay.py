@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,39 +44,13 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def as_files(df: DataFrame, order: list[Column | str], files: int | None = None, most: int = 0) -> str:
-    """A table as range-ordered files for :func:`file_stream`: ``files`` ranges, or one per shuffle partition.
-
-    A range of over ``most`` rows is cut into more files; 0 is no limit.
-    """
+def as_files(df: DataFrame, order: list[Column | str], files: int | None = None) -> str:
+    """A table as range-ordered files for :func:`file_stream`: ``files`` ranges, or one per shuffle partition."""
     path = scratch(df.sparkSession, "stream")
-    ranges = df.repartitionByRange(files or width(df.sparkSession), *order).sortWithinPartitions(*order)
-    ranges.write.option("maxRecordsPerFile", most).parquet(path)
+    df.repartitionByRange(files or width(df.sparkSession), *order).sortWithinPartitions(*order).write.parquet(path)
     return path
 
 
-def date_files(spark: SparkSession, folder: str) -> None:
-    """Gives the files of :func:`as_files` modification times in their order, a second apart.
-
-    A file stream that takes some files at a time goes by those times, and tasks end in any order. Stores that keep
-    their own times are refused, since rows would come in another order.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {}
-    for status in fs.listStatus(path):
-        part = re.match(r"part-(\d+)-.*-c(\d+)\.", status.getPath().getName())
-        if part:
-            found[int(part[1]), int(part[2])] = status
-    last = max((s.getModificationTime() for s in found.values()), default=0) // 1000
-    for back, key in enumerate(sorted(found, reverse=True)):
-        fs.setTimes(found[key].getPath(), (last - back) * 1000, -1)
-    now = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(path)}
-    times = [now[found[key].getPath().getName()] for key in sorted(found)]
-    if any(b <= a for a, b in zip(times, times[1:])):
-        raise ValueError(f"the store of {folder} does not take modification times")
-
-
 def fanout(stream: DataFrame, n: int, key: str | None = None) -> DataFrame:
     """Spread a stream over n tasks, whatever the source's parallelism.
 
