@@ -1,30 +1,33 @@
 """Web archives: legacy ARC files of versions 1 and 2, and their conversion to WARC.
 
-An archive is one file of bounded size, written by Spark's text writer as one row, so driver and tasks
-never open a path themselves; it is read whole by the binary reader. Files are compressed as one gzip
-member.
+An archive is one file of bounded size, in which each record is a gzip member of its own. Spark's text writer writes it as
+one row whose bytes it does not look into, so payloads may be in any encoding, and driver and tasks
+never open a path themselves; a zero byte ends the file, which gzip readers take as padding. It is read whole by the binary reader.
 
 The converter reads each ARC file's version block, takes the fields of record headers by that
 version, and cuts records by their declared lengths alone. A record becomes a WARC record with
 an identifier made from its place in the archive, a date, a type, and SHA-1 digests of its block and
 payload. Of records with equal payloads the one with the smallest page becomes the response and the others
 refer to it; they are matched by digest and length, never by payload.
+
+Archives are read twice: once for these facts, which are written, and once to convert them, when each file meets the list of
+its own revisits. Payloads never leave the task that has read them. What cannot be read is reported with its place, and the rest goes on.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymeter.session import scratch
+from waymeter.session import pin, scratch
 
 ARCHIVE = 16 << 20  # bytes after which an archive is closed
 #: The field names of the two versions' record headers.
@@ -33,7 +36,9 @@ FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, page_id long, uri string, ip string, date string, mime string, version int, http binary, payload binary, payload_bytes long, payload_digest string"
+LEVEL, PIECE = 1, 1 << 14  # of compression; bytes that are decompressed at a time
+FACTS = "file string, at long, page_id long, payload_bytes long, payload_digest string, error string"
+RECORD = "file string, at long, record_id string, page_id long, uri string, ip string, date string, mime string, version int, http binary, payload binary, payload_bytes long, payload_digest string, error string"
 
 
 def digest(data: bytes) -> str:
@@ -42,16 +47,18 @@ def digest(data: bytes) -> str:
 
 
 def _packed(pieces: Iterable[tuple[bytes, bytes]], joint: bytes) -> Iterator[pa.RecordBatch]:
-    """Archives from (opening, record), one open archive for each opening; ``joint`` stands between records."""
+    """Archives from (opening, record), one open archive for each opening; ``joint`` stands behind each record."""
     held: dict[bytes, list[bytes]] = {}
     sizes: dict[bytes, int] = {}
 
     def close(opening: bytes) -> pa.RecordBatch:
         del sizes[opening]
-        return pa.RecordBatch.from_arrays([pa.array([joint.join(held.pop(opening))], pa.binary()).cast(pa.string())], ["value"])
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held.pop(opening))], pa.binary())], ["value"])
 
     for opening, record in pieces:
-        held.setdefault(opening, [opening] if opening else []).append(record)
+        if opening not in held:
+            held[opening] = [zlib.compress(opening + joint, LEVEL, 31)] if opening else []
+        held[opening].append(zlib.compress(record + joint, LEVEL, 31))
         sizes[opening] = sizes.get(opening, 0) + len(record)
         if sizes[opening] >= ARCHIVE:
             yield close(opening)
@@ -59,8 +66,31 @@ def _packed(pieces: Iterable[tuple[bytes, bytes]], joint: bytes) -> Iterator[pa.
         yield close(opening)
 
 
-def _write(archives: DataFrame, path: str, joint: str) -> None:
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", joint).option("compression", "gzip").text(path)
+def _write(archives: DataFrame, path: str) -> None:
+    """``value binary``, one archive a row. The cast keeps bytes as they are."""
+    archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
+
+
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """What a file holds, whether it is compressed or not, and what is wrong with it if it cannot be read to its end."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        if data[at] == 0:  # padding
+            at += 1
+            continue
+        engine = zlib.decompressobj(31)
+        try:
+            while not engine.eof and at < len(data):
+                piece = view[at : at + PIECE]
+                out.append(engine.decompress(piece))
+                at += len(piece) - len(engine.unused_data)
+        except zlib.error as wrong:
+            return b"".join(out), f"compressed data is broken: {wrong}"
+        if not engine.eof:
+            return b"".join(out), "compressed data ends early"
+    return b"".join(out), None
 
 
 def arc_line(version: int, url: str, ip: str, date: str, mime: str, length: int, status: str = "-", name: str = "-") -> bytes:
@@ -94,33 +124,45 @@ def _arc_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_arc(pages: DataFrame, path: str) -> None:
     """Writes ``page_id, url, html`` as ARC files with HTTP headers; odd pages as version 1, the others as version 2."""
-    _write(pages.select("page_id", "url", "html").mapInArrow(_arc_pieces, "value string"), path, "\n")
+    _write(pages.select("page_id", "url", "html").mapInArrow(_arc_pieces, "value binary"), path)
+
+
+def arc_records(data: bytes) -> Iterator[tuple]:
+    """``place, uri, ip, date, mime, version, content, error`` of each record behind the version block.
+
+    A header with other fields than its version has is reported, and skipped by its length. Where there is no
+    length to go by, or less left than it says, the rest of the file is reported as one record.
+    """
 
+    def wrong(what: str) -> tuple:
+        return at, None, None, None, None, version or None, b"", what
 
-def arc_records(data: bytes, name: str) -> Iterator[tuple]:
-    """``place, uri, ip, date, mime, version, content`` of each record behind the version block."""
     at, version = 0, 0
     while at < len(data):
-        if data[at : at + 1] == b"\n":  # what parts two records
+        if data[at : at + 1] in (b"\n", b"\0"):  # what parts two records, or ends the file
             at += 1
             continue
-        end = data.index(b"\n", at)
-        fields = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        end = data.find(b"\n", at)
+        fields = data[at : max(end, at)].decode("utf-8", "replace").rstrip("\r").split(" ")
+        if end < 0 or not re.fullmatch("[0-9]{1,18}", fields[-1], re.ASCII):
+            yield wrong("no record header")
+            return
         length, content_at = int(fields[-1]), end + 1
         content = data[content_at : content_at + length]
         if len(content) < length:
-            raise ValueError(f"{name}: the record at byte {at} is cut off")
+            yield wrong(f"{length - len(content)} bytes of the record are missing")
+            return
         if not version:
-            if not fields[0].startswith("filedesc:"):
-                raise ValueError(f"{name}: no version block")
-            version = int(content.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"{name}: ARC version {version} is unknown")
+            number = content.split(b" ", 1)[0]
+            if not fields[0].startswith("filedesc:") or number not in (b"1", b"2"):
+                yield wrong("no version block of ARC 1 or 2")
+                return
+            version = int(number)
         elif len(fields) != len(FIELDS[version]):
-            raise ValueError(f"{name}: {len(fields)} header fields at byte {at}, not those of version {version}")
+            yield wrong(f"{len(fields)} header fields, not the {len(FIELDS[version])} of version {version}")
         else:
             named = dict(zip(FIELDS[version], fields))
-            yield at, named["URL"], named["IP-address"], named["Archive-date"], named["Content-type"], version, content
+            yield at, named["URL"], named["IP-address"], named["Archive-date"], named["Content-type"], version, content, None
         at = content_at + length
 
 
@@ -155,20 +197,42 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in text.split(", "))])
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, str | None, list]]:
+    """Path, content, what is wrong with it, and the list of marks if there is one."""
     for batch in batches:
-        for name, content in zip(batch.column("path"), batch.column("content")):
-            data = content.as_py()
-            yield name.as_py(), gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        marks = batch.column(2) if batch.num_columns > 2 else None
+        for i, (name, content) in enumerate(zip(batch.column(0), batch.column(1))):
+            data, error = inflate(content.as_py())
+            yield name.as_py(), data, error, (marks[i].as_py() or []) if marks is not None else []
+
+
+def _arc(name: str, data: bytes, error: str | None) -> Iterator[tuple]:
+    """The records of one file; a broken end of the compressed data is one more, which may hide records."""
+    yield from arc_records(data)
+    if error:
+        yield len(data), None, None, None, None, None, b"", error
+
+
+def _record_id(file: str, at: int) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{file}#{at}"))
+
+
+def _read_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts():
+        for name, data, error, _ in _files(batches):
+            for at, *_, content, wrong in _arc(name, data, error):
+                http, payload = split_http(content)
+                yield name, at, _page(http), len(payload), digest(payload), wrong
+
+    yield from _rows(facts(), _schema(FACTS))
 
 
 def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records():
-        for name, data in _files(batches):
-            for at, uri, ip, date, mime, version, content in arc_records(data, name):
+        for name, data, error, _ in _files(batches):
+            for at, uri, ip, date, mime, version, content, wrong in _arc(name, data, error):
                 http, payload = split_http(content)
-                key = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{at}"))
-                yield key, _page(http), uri, ip, date, mime, version, http, payload, len(payload), digest(payload)
+                yield name, at, _record_id(name, at), _page(http), uri, ip, date, mime, version, http, payload, len(payload), digest(payload), wrong
 
     yield from _rows(records(), _schema(RECORD))
 
@@ -178,7 +242,10 @@ def _open(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files below a folder, plain or compressed; one task reads a file whole."""
+    """The records of all ARC files below a folder, plain or compressed; one task reads a file whole.
+
+    A record that cannot be read has its place and an ``error``, and no more.
+    """
     return _open(spark, path).mapInArrow(_read_arc, RECORD)
 
 
@@ -198,40 +265,57 @@ def warc_record(kind: str, key: str, uri: str, ip: str, date: str, mime: str, ht
 
 def _warc_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pieces():
-        for batch in batches:
-            for row in batch.to_pylist():
-                kind = "revisit" if row["refers"] else "response" if row["http"] else "resource"
-                yield b"", warc_record(
-                    kind, row["record_id"], row["uri"], row["ip"], row["date"], row["mime"], row["http"], row["payload"], row["payload_digest"], row["refers"]
-                )
+        for name, data, error, marks in _files(batches):
+            refers = {m["at"]: _record_id(m["file"], m["first"]) for m in marks}
+            for at, uri, ip, date, mime, _, content, wrong in _arc(name, data, error):
+                if wrong is None:
+                    http, payload = split_http(content)
+                    kind = "revisit" if at in refers else "response" if http else "resource"
+                    yield b"", warc_record(kind, _record_id(name, at), uri, ip, date, mime, http, payload, digest(payload), refers.get(at))
 
     yield from _packed(pieces(), b"\r\n\r\n")
 
 
-def convert(records: DataFrame, path: str, least: int = 0) -> None:
-    """Writes ARC records as WARC files. Payloads below ``least`` bytes never become revisits.
+def revisits(facts: DataFrame, least: int = 0) -> DataFrame:
+    """``path, marks``: for each file the places of its revisits and of the records they refer to.
+
+    Only (digest, length, place) are grouped. Records without a page come last, and of equal pages the first place.
+    """
+    good = facts.where(F.col("error").isNull() & (F.col("payload_bytes") >= least))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "file", "at")
+    firsts = good.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = good.join(firsts, ["payload_digest", "payload_bytes"]).where("file <> first.file or at <> first.at")
+    mark = F.struct("at", F.col("first.file").alias("file"), F.col("first.at").alias("first"))
+    return again.groupBy(F.col("file").alias("path")).agg(F.collect_list(mark).alias("marks"))  # at most one file's records
+
+
+def with_marks(files: DataFrame, marks: DataFrame) -> DataFrame:
+    """``path, content, marks`` for the conversion."""
+    return files.join(marks, "path", "left").select("path", "content", "marks")
+
+
+def convert(spark: SparkSession, source: str, path: str, least: int = 0) -> DataFrame:
+    """Writes the records of all ARC files below a folder as WARC files; returns what could not be read: ``file, at, error``.
 
-    Only (digest, length, page) triples are grouped; payloads are joined to their decision on the
-    record's own identifier, so a payload with very many copies is spread like any other. Records
-    without a page come last, and of equal pages the first identifier.
+    Payloads below ``least`` bytes never become revisits.
     """
-    facts = records.where(F.col("payload_bytes") >= least).select("record_id", "page_id", "payload_bytes", "payload_digest")
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")
-    firsts = facts.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = facts.join(firsts, ["payload_digest", "payload_bytes"]).where("record_id <> first.record_id").select("record_id", F.col("first.record_id").alias("refers"))
-    decided = records.join(again, "record_id", "left")
-    _write(decided.mapInArrow(_warc_pieces, "value string"), path, "\r\n\r\n")
+    files = _open(spark, source)
+    facts = pin(files.mapInArrow(_read_facts, FACTS), "facts")
+    marks = pin(revisits(facts, least), "marks")
+    _write(with_marks(files, marks).mapInArrow(_warc_pieces, "value binary"), path)
+    return facts.where("error is not null").select("file", "at", "error")
 
 
 WARC = "record_id string, record_type string, uri string, date string, page_id long, refers string, declared string, payload binary"
+WARC_FACTS = "record_id string, record_type string, page_id long, refers string, declared string, bytes long"
 
 
 def warc_records(data: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record, cut by the declared lengths."""
     at = 0
     while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+        if data[at : at + 2] == b"\r\n" or data[at] == 0:
+            at += 1 + (data[at] != 0)
             continue
         end = data.index(b"\r\n\r\n", at)
         first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -246,32 +330,43 @@ def warc_records(data: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes
         at = end + 4 + length
 
 
-def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``record_id, record_type, uri, date, page_id, refers, declared, payload``; a payload without its declared digest ends the job."""
+
     def bare(value: str | None) -> str | None:
         return value.removeprefix("<urn:uuid:").removesuffix(">") if value else None
 
-    def records():
-        for name, data in _files(batches):
-            for f, block in warc_records(data, name):
-                http, payload = split_http(block)
-                declared = f["warc-payload-digest"].removeprefix("sha1:")
-                if f["warc-type"] != "revisit" and digest(payload) != declared:
-                    raise ValueError(f"{name}: {f['warc-record-id']} does not have its declared digest")
-                yield (
-                    bare(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), f["warc-date"], _page(http), bare(f.get("warc-refers-to")), declared, payload,
-                )
+    for name, data, error, _ in _files(batches):
+        if error:
+            raise ValueError(f"{name}: {error}")
+        for f, block in warc_records(data, name):
+            http, payload = split_http(block)
+            declared = f["warc-payload-digest"].removeprefix("sha1:")
+            if f["warc-type"] != "revisit" and digest(payload) != declared:
+                raise ValueError(f"{name}: {f['warc-record-id']} does not have its declared digest")
+            yield bare(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), f["warc-date"], _page(http), bare(f.get("warc-refers-to")), declared, payload
 
-    yield from _rows(records(), _schema(WARC))
+
+def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _rows(_checked(batches), _schema(WARC))
+
+
+def _read_warc_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    facts = ((key, kind, page, refers, declared, len(payload)) for key, kind, _, _, page, refers, declared, payload in _checked(batches))
+    yield from _rows(facts, _schema(WARC_FACTS))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files below a folder. Declared payload digests are checked against the payloads."""
+    """The records of all WARC files below a folder that this module wrote. Declared payload digests are checked against the payloads."""
     return _open(spark, path).mapInArrow(_read_warc, WARC)
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``: revisits get the length and page of what they refer to."""
-    facts = records.select("record_id", "record_type", "page_id", "refers", "declared", F.octet_length("payload").cast("long").alias("bytes"))
+def resolve(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of the records that :func:`read_warc` reads.
+
+    Revisits get the length and page of what they refer to. The files are read once, for facts without payloads.
+    """
+    facts = pin(_open(spark, path).mapInArrow(_read_warc_facts, WARC_FACTS), "read-back")
     target = facts.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("full"))
     known = facts.where("record_type <> 'revisit'").select(
         "page_id", F.col("bytes").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
@@ -291,5 +386,5 @@ def convert_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or scratch(spark, "archives")
     write_arc(pages, f"{folder}/arc")
-    convert(read_arc(spark, f"{folder}/arc"), f"{folder}/warc")
-    return resolve(read_warc(spark, f"{folder}/warc"))
+    convert(spark, f"{folder}/arc", f"{folder}/warc")
+    return resolve(spark, f"{folder}/warc")
