@@ -160,3 +160,17 @@ def test_request_and_answer_files(spark, tmp_path):
     table.write_text('user_input,toxicity\n"line one\nsays ""hi"", twice",1\nplain,0\n')
     got = R.read_csv(spark, str(table), "user_input string, toxicity int").collect()
     assert sorted(map(tuple, got)) == [('line one\nsays "hi", twice', 1), ("plain", 0)]
+
+
+def test_texts_are_fetched_after_the_fold(spark, workload):
+    """Only numbers and digests are folded; of many replies the winner's answer is found, and rows without one stay."""
+    rows = [chat("hot", "one plus one")] + [reply("hot", f"a{i}", promptTokens=i) for i in range(200)] + [chat(f"r{i}", "dup") for i in range(50)] + [reply("lone", "x" * 5000), chat("c", {"truncatedString": "long...", "omittedChars": 9})]
+    log = E.FoldedLog(parse(spark, rows), "arm")
+    assert not {"answer", "prompt_text"} & set(log.rows.columns)
+    plan = log.answers(log.rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # texts meet written rows, and no fold carries them
+    got = {r["request_id"]: r for r in E.results(parse(spark, rows), workload, "arm").collect()}
+    assert len(got) == 53 and (got["hot"]["answer"], got["hot"]["prompt_tokens"], got["hot"]["workload_id"]) == ("a199", 199, "w1")
+    assert len(got["lone"]["answer"]) == 4000 and got["lone"]["workload_id"] is None and got["r7"]["answer"] is None and got["c"]["workload_id"] == "w3"
+    folded = {r["request_id"]: r["answer"] for r in E.fold_events(parse(spark, rows), "arm").collect()}
+    assert folded == {k: r["answer"] for k, r in got.items()}

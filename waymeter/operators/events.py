@@ -27,7 +27,7 @@ def _user_messages(any_role: bool = False) -> Column:
 
 
 def _content(message: Column) -> Column:
-    """Digest of a message's text, whether the log had truncated it, and then the text itself.
+    """Digest of a message's text, the text itself if the log had truncated it, and whether it had.
 
     A whole text is only ever looked up by equality, so its digest travels instead.
     """
@@ -42,7 +42,7 @@ def _content(message: Column) -> Column:
 
 
 def typed_events(events: DataFrame, epoch_millis: bool = False) -> DataFrame:
-    """The fields each event type contributes, still one row per event."""
+    """The fields each event type contributes, still one row per event; the texts of replies and cut prompts are columns of their own."""
     kind = F.col("type")
     asked, routed, replied = (
         kind == fixed.CHAT_REQUEST, kind == fixed.MODEL_ROUTING, kind == fixed.CHAT_RESPONSE,
@@ -55,8 +55,8 @@ def typed_events(events: DataFrame, epoch_millis: bool = False) -> DataFrame:
         _attr("$.response.extra_args.promptTokens", "long").alias("prompt_tokens"),
         _attr("$.response.extra_args.completionTokens", "long").alias("completion_tokens"),
         _attr("$.response.extra_args.model_name").alias("model_name"),
-        F.substring(F.coalesce(_attr("$.response.content"), F.lit("")), 1, fixed.ANSWER_CHARS).alias("answer"),
     )
+    answer = F.substring(F.coalesce(_attr("$.response.content"), F.lit("")), 1, fixed.ANSWER_CHARS)
     choice = F.struct(
         _attr("$.selected_model").alias("selected_model"),
         _attr("$.decision_source").alias("decision_source"),
@@ -73,6 +73,7 @@ def typed_events(events: DataFrame, epoch_millis: bool = False) -> DataFrame:
         F.when(asked & (F.size(users) > 0), _content(F.element_at(users, -1))).alias("prompt"),
         F.when(routed & ~fallback, choice).alias("choice"),
         F.when(replied, reply).alias("reply"),
+        F.when(replied, answer).alias("answer"),
         fallback.alias("is_fallback"),
         F.when(fallback, F.struct(_attr("$.selected_model").alias("m")))
         .when(replied & final.isNotNull(), F.struct(final.alias("m")))
@@ -80,17 +81,13 @@ def typed_events(events: DataFrame, epoch_millis: bool = False) -> DataFrame:
     )
 
 
-def fold_events(events: DataFrame, arm: Column | str, epoch_millis: bool = False) -> DataFrame:
-    """One row per request id with any event; the last event of each type wins whole.
-
-    One shuffle on request_id. Each map task reduces a request's events first, so a request
-    id that repeats in a third of the log reaches the shuffle once per task.
-    """
+def _fold(typed: DataFrame, arm: Column | str) -> DataFrame:
+    """One row per request id; whole ``prompt`` and ``reply`` structs are left for the caller to take apart."""
 
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias(name)
 
-    folded = typed_events(events, epoch_millis).groupBy("request_id").agg(
+    folded = typed.groupBy("request_id").agg(
         last("asked"), last("prompt"), last("choice"), last("reply"), last("final"),
         F.bool_or("is_fallback").alias("fell_back"),
     )
@@ -106,13 +103,56 @@ def fold_events(events: DataFrame, arm: Column | str, epoch_millis: bool = False
         F.col("reply.completion_tokens").alias("completion_tokens"),
         F.col("reply.model_name").alias("model_name"),
         (t1 - t0).alias("e2e_ms"),
-        F.col("reply.answer").alias("answer"),
         F.col("prompt.key").alias("prompt_key"),
-        F.col("prompt.text").alias("prompt_text"),
         F.coalesce(F.col("prompt.cut"), F.lit(False)).alias("prompt_cut"),
+        "prompt", "reply",
     )
 
 
+def fold_events(events: DataFrame, arm: Column | str, epoch_millis: bool = False) -> DataFrame:
+    """One row per request id with any event; the last event of each type wins whole.
+
+    One shuffle on request_id. Each map task reduces a request's events first, so a request
+    id that repeats in a third of the log reaches the shuffle once per task.
+    """
+    typed = typed_events(events, epoch_millis)
+    carried = typed.withColumn("reply", F.when(F.col("reply").isNotNull(), F.struct("reply.*", "answer")))
+    texts = {"answer": F.col("reply.answer"), "prompt_text": F.col("prompt.text")}
+    return _fold(carried, arm).withColumns(texts).drop("prompt", "reply")
+
+
+class FoldedLog:
+    """A log folded without its texts, which are fetched for the rows that need them.
+
+    The log is parsed once and its typed events are written, each with a number. The fold carries numbers, digests and
+    the event numbers of the winning reply and prompt. :meth:`answers` and :meth:`prompts` look texts up by event number in the written
+    table, of which only these two columns are read. So answers move once, whatever is joined to the rows before.
+    """
+
+    def __init__(self, events: DataFrame, arm: Column | str, epoch_millis: bool = False) -> None:
+        typed = typed_events(events, epoch_millis).withColumn("at", F.monotonically_increasing_id())
+        self.events = pin(typed, "typed")
+        reply = F.when(F.col("reply").isNotNull(), F.struct("reply.*", "at"))
+        prompt = F.when(F.col("prompt").isNotNull(), F.struct("prompt.key", "prompt.cut", "at"))
+        narrow = self.events.select("request_id", "pos", "asked", prompt.alias("prompt"), "choice", reply.alias("reply"), "is_fallback", "final")
+        places = {"answer_at": F.col("reply.at"), "prompt_at": F.col("prompt.at")}
+        self.rows = pin(_fold(narrow, arm).withColumns(places).drop("prompt", "reply"), "folded")
+
+    def _fetched(self, rows: DataFrame, place: str, text: Column, name: str) -> DataFrame:
+        texts = self.events.select(F.col("at").alias("_at"), text.alias(name)).where(F.col(name).isNotNull())
+        # Rows without a place are spread over places that no event has.
+        none = -1 - F.pmod(F.xxhash64("request_id"), F.lit(1 << 40))
+        return rows.withColumn("_place", F.coalesce(place, none)).join(texts, F.col("_place") == F.col("_at"), "left").drop("_place", "_at")
+
+    def answers(self, rows: DataFrame) -> DataFrame:
+        """Adds ``answer``."""
+        return self._fetched(rows, "answer_at", F.col("answer"), "answer")
+
+    def prompts(self, rows: DataFrame) -> DataFrame:
+        """Adds ``prompt_text``, the beginning that the log has of a cut prompt."""
+        return self._fetched(rows, "prompt_at", F.col("prompt.text"), "prompt_text")
+
+
 def match_prefixes(probes: DataFrame, items: DataFrame) -> DataFrame:
     """``prefix, id, slice`` for each prefix that exactly one item's prompt starts with.
 
@@ -184,14 +224,13 @@ def _attach(rows: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def join_workload(rows: DataFrame, requests: DataFrame, pos: Column | str | None = None) -> DataFrame:
+def join_workload(log: FoldedLog, requests: DataFrame, pos: Column | str | None = None) -> DataFrame:
     """Workload item of each folded row: exact for whole prompts, by unique prefix for cut ones.
 
-    Rows whose request event carried no user message keep a null item.
+    Rows whose request event carried no user message keep a null item. Only the beginnings of cut prompts are fetched.
     """
-    rows = pin(rows, "folded")  # both branches and the prefix sort read it
-    exact = join_exact(rows.where(~F.col("prompt_cut")), requests, pos=pos)
-    cut = join_prefix(rows.where("prompt_cut"), requests)
+    exact = join_exact(log.rows.where(~F.col("prompt_cut")), requests, pos=pos)
+    cut = join_prefix(log.prompts(log.rows.where("prompt_cut")), requests).drop("prompt_text")
     none = F.col("prompt_key").isNull()
     return exact.unionByName(cut).withColumns({
         "workload_id": F.when(~none, F.col("workload_id")),
@@ -200,8 +239,9 @@ def join_workload(rows: DataFrame, requests: DataFrame, pos: Column | str | None
 
 
 def results(events: DataFrame, requests: DataFrame, arm: Column | str) -> DataFrame:
-    """The results table of one log."""
-    return join_workload(fold_events(events, arm), requests).select(*fixed.RESULT_COLUMNS)
+    """The results table of one log. Answers are fetched last."""
+    log = FoldedLog(events, arm)
+    return log.answers(join_workload(log, requests)).select(*fixed.RESULT_COLUMNS)
 
 
 def decisions(events: DataFrame, requests: DataFrame, any_role: bool = False) -> DataFrame:
