@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from waymeter import fixed
 from waymeter.functions.text import content_key, ts_ms
+from waymeter.sources.quoted import read_quoted
 
 REQUEST = "id string, conversation_id string, slice string, prompt string"
 ANSWER = "id string, slice string, answer string, entry_point string, test string, he_prompt string"
@@ -74,16 +75,8 @@ def read_backend_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted CSV with header, doubled quotes and fields that run over many lines."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("maxCharsPerColumn", -1)
-        .csv(path)
-    )
+    """Quoted CSV with header, doubled quotes and fields that run over many lines; large files are read by many tasks."""
+    return read_quoted(spark, path, schema)
 
 
 def read_prices(spark: SparkSession, path: str | None = None) -> DataFrame:
