@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymeter.functions import grading, money, text
-from waymeter.operators import cost, policies, stats, windows
+from waymeter.operators import cost, policies, resample, stats, windows
 from waymeter.sources import readers
 
 
@@ -170,12 +170,53 @@ def test_bootstrap_intervals(spark):
     boot = [(x - y)[rng.integers(0, 900, 900)].mean() for _ in range(2000)]
     assert out["delta"] == pytest.approx((x - y).mean())
     assert (out["lo"], out["hi"]) == pytest.approx(tuple(np.percentile(boot, [2.5, 97.5])), abs=0.35)
-    mid = stats.bootstrap_median_gap(df, "a", "b", reps=1000).first()
+    mid = stats.bootstrap_median_gap(df, "a", "b", reps=300).first()
     gaps = [np.median(x[rng.integers(0, 900, 900)]) - np.median(y[rng.integers(0, 900, 900)]) for _ in range(2000)]
     assert mid["delta"] == pytest.approx(np.median(x) - np.median(y))
     assert (mid["lo"], mid["hi"]) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])), abs=0.4)
 
 
+def test_bootstrap_of_repeated_values(spark):
+    """Counts on both sides of the exact inversion; the spread is that of resampling the rows themselves."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 40, 3000), np.r_[rng.integers(0, 30, 2500), np.full(500, 7)]
+    data = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", i, float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(data, "arm string, item long, v double").repartition(5)
+    out = stats.bootstrap_ci(df, "a", "b", reps=400).first()
+    boot = [(x - y)[rng.integers(0, 3000, 3000)].mean() for _ in range(2000)]
+    assert (out["lo"], out["hi"]) == pytest.approx(tuple(np.percentile(boot, [2.5, 97.5])), abs=0.12) and out["reps"] == 400
+    assert resample.drawn(resample.counted(df, ["arm"], "v"), ["arm"], 400, 0).count() <= 400 * 70
+    mid = stats.bootstrap_median_gap(df, "a", "b", reps=400).first()
+    gaps = [np.median(x[rng.integers(0, 3000, 3000)]) - np.median(y[rng.integers(0, 3000, 3000)]) for _ in range(2000)]
+    assert (mid["lo"], mid["hi"]) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])), abs=1.01)
+
+
+def test_medians_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(g, float(v)) for g in ("a", None) for v in rng.integers(0, 90, 400)], "arm string, v double")
+    whole = {(r["arm"], r["rep"]): r["median"] for r in resample.medians(df, "v", 15, 3, ["arm"]).collect()}
+    weights = {}
+    for r in resample.drawn(resample.counted(df, ["arm"], "v"), ["arm"], 15, 3).collect():
+        weights.setdefault((r["arm"], r["rep"]), []).extend([r["v"]] * r["w"])
+    assert whole == {k: float(np.median(v)) for k, v in weights.items()} and len(whole) == 30
+    monkeypatch.setattr(resample, "RANKS", 7)
+    assert whole == {(r["arm"], r["rep"]): r["median"] for r in resample.medians(df, "v", 15, 3, ["arm"]).collect()}
+
+
+def test_poisson_weights(spark):
+    draws = spark.range(20000).select(F.conv(F.substr(F.sha1(F.col("id").cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long").alias("h"))
+    for c in (1, 2, 12, 13, 50, 4000):
+        got = draws.select(resample.poisson(F.col("h"), resample.tail(F.col("h")), F.lit(c).cast("long")).alias("w")).agg(F.avg("w"), F.var_samp("w"), F.min("w")).first()
+        assert got[0] == pytest.approx(c, rel=0.03) and got[1] == pytest.approx(c, rel=0.06) and got[2] >= 0
+
+
+def test_bootstrap_without_an_arm(spark):
+    some = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), (None, 3, 1.0)], "arm string, item long, v double")
+    for df in (some, some.limit(0)):
+        assert tuple(stats.bootstrap_ci(df, "a", "b", reps=20).first()) == (None, None, None, 0)
+        assert tuple(stats.bootstrap_median_gap(df, "a", "b", reps=20).first()) == (None, None, None, 0)
+
+
 def test_a_random_mix_cannot_beat_its_better_anchor(spark):
     points = spark.createDataFrame([("nano", 0.09, 84.5), ("big", 1.078, 88.2), ("rand", 0.727, 86.9)], "arm string, usd double, acc double")
     out = {r["arm"]: r for r in stats.mixture(points, "nano", "big").collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymeter.operators import sampling as M
+from waymeter.operators import resample as RS
 from waymeter.operators import stats as S
 from waymeter.plans import views as V
 from waymeter.plans.views import sql
@@ -94,14 +95,33 @@ def bootstrap_median(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")], "reps")
 
 
-_CUTS = S.POISSON_CUTS
-_W = "case " + " ".join(f"when u < {c} then {k}" for k, c in enumerate(_CUTS[:-1])) + f" else {len(_CUTS) - 1} end"
-_BOOT = f"""with d as (select doc_id as item, (doc_id * 37 % 101)::double as d from documents),
-    h as (select d, b, sha1(item || '|' || b || '|{SEED}') as h from d, range(0, {REPS // 10}) as r(b)),
-    w as (select b * 10 + i as rep, d, cast('0x' || substr(h, cast(i * 4 + 1 as int), 4) as bigint) as u from h, range(0, 10) as s(i)),
-    m as (select rep, sum(({_W}) * d) / sum({_W}) as mean from w group by 1)
-    select round((select avg(d) from d), 6) as delta, round(quantile_cont(mean, 0.025), 6) as lo, round(quantile_cont(mean, 0.975), 6) as hi,
+_A, _B = RS.ABOVE, RS.BELOW
+_SIDE = f"t - ({_A[0]} + t * ({_A[1]} + t * {_A[2]})) / ({_B[0]} + t * ({_B[1]} + t * ({_B[2]} + t * {_B[3]})))".replace("(1.0 ", "(1.0::double ")
+_POISSON = " ".join(f"when c = {k} then len(list_filter({RS.poisson_cuts(k)}, lambda x: x <= h))" for k in range(1, RS.EXACT + 1))
+
+
+def _draws(counted: str) -> str:
+    """CTEs up to ``w (g, v, rank, rep, w)`` from the text of one that gives ``g, v, c, rank``, ``g`` being the digest's beginning."""
+    return f"""counted as ({counted}),
+    dug as (select *, sha1(g || rank || '|' || b || '|{SEED}') as digest from counted, range(0, {-(-REPS // RS.DRAWS)}) as r(b)),
+    bits as (select g, v, c, rank, b * {RS.DRAWS} + i as rep, cast('0x' || substr(digest, cast(i * 8 + 1 as int), 8) as bigint) as h from dug, range(0, {RS.DRAWS}) as s(i)),
+    us as (select *, (h + 0.5) / 4294967296.0::double as u, sqrt(-2 * ln(least((h + 0.5) / 4294967296.0::double, 1 - (h + 0.5) / 4294967296.0::double))) as t from bits where rep < {REPS}),
+    zs as (select *, case when u < 0.5 then -({_SIDE}) else {_SIDE} end as z from us),
+    w as (select g, v, rank, rep, (case {_POISSON} else greatest(0, floor(c + sqrt(c) * z + (z * z - 1) / 6 + 0.5)) end)::bigint as w from zs)"""
+
+
+_BOOT = f"""with {_draws("select '' as g, d as v, count(*) as c, row_number() over (order by d) as rank from (select (doc_id * 37 % 101)::double as d from documents) group by d")},
+    m as (select rep, sum(w * v) / sum(w) as mean from w group by 1)
+    select round((select avg(doc_id * 37 % 101) from documents), 6) as delta, round(quantile_cont(mean, 0.025), 6) as lo, round(quantile_cont(mean, 0.975), 6) as hi,
     count(mean) as reps from m"""
+_ARMS = "(select 'direct' as arm, n_chars::double as v from documents union all select 'routed', (n_chars + doc_id * 37 % 101)::double from documents)"
+_BOOT_MEDIAN = f"""with {_draws(f"select arm || '|' as g, v, count(*) as c, row_number() over (partition by arm order by v) as rank from {_ARMS} group by arm, v")},
+    s as (select *, sum(w) over (partition by g, rep order by rank) as upto, sum(w) over (partition by g, rep) as total from w),
+    m as (select g, rep, (max(case when upto - w < (total + 1) // 2 and (total + 1) // 2 <= upto then v end)
+      + max(case when upto - w < (total + 2) // 2 and (total + 2) // 2 <= upto then v end)) / 2 as median from s group by 1, 2),
+    d as (select rep, max(case when g = 'routed|' then median end) - max(case when g = 'direct|' then median end) as gap from m group by 1)
+    select round((select median(v) filter (arm = 'routed') - median(v) filter (arm = 'direct') from {_ARMS}), 6) as delta,
+    round(quantile_cont(gap, 0.025), 6) as lo, round(quantile_cont(gap, 0.975), 6) as hi, count(gap) as reps from d"""
 
 
 def row_ids(spark, d):
@@ -180,7 +200,7 @@ ENTRIES = {
         select arm, n, round(p, 6) as p50, round(p - (select p from m where arm = 'direct'), 6) as delta_ms,
         round((p - (select p from m where arm = 'direct')) / 2, 6) as per_write_ms from m"""),
     "agg_bootstrap": (bootstrap, _BOOT),
-    "agg_bootstrap_median": (bootstrap_median, None),  # ranks are drawn from a beta distribution
+    "agg_bootstrap_median": (bootstrap_median, _BOOT_MEDIAN),
     "win_row_ids": (row_ids, f"""select doc_id, lang, 'w' || case when length(cast(rn as varchar)) < 4 then lpad(cast(rn as varchar), 4, '0')
         else cast(rn as varchar) end as id from (select doc_id, lang, row_number() over (order by {_o("doc_id", 42)}, doc_id) - 1 as rn from documents)"""),
     "win_shuffle": (shuffled, f"select doc_id, row_number() over (order by {_o('doc_id', 9)}, doc_id) as place from documents"),

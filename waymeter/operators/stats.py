@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymeter.functions.binomial import binomial_tail
+from waymeter.operators import resample
 from waymeter.operators.layout import exact_percentiles, lay_out, number_rows, percentiles_wide
 
 TAILS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -48,52 +49,6 @@ def overhead(rows: DataFrame, direct: str, value: str = "e2e_ms", writes: int =
     )
 
 
-def _poisson_cuts(limit: int = 1 << 16) -> list[int]:
-    """Inverse Poisson(1) on 16 bits: a draw below cut k means a weight of at most k.
-
-    Weights of 9 and more, whose chance is 1e-6, are below the resolution and never drawn.
-    """
-    cuts, total, k = [], 0.0, 0
-    while round(total * limit) < limit:
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(round(total * limit))
-        k += 1
-    return cuts
-
-
-POISSON_CUTS = _poisson_cuts()
-DRAWS_PER_DIGEST = 10
-
-
-def bootstrap_means(
-    rows: DataFrame, item: str, value: str, reps: int, seed: int, keys: list[str] = ()
-) -> DataFrame:
-    """Weighted mean of ``value`` per replicate under Poisson(1) weights.
-
-    A weight comes from a digest of (item, replicate, seed), so it does not depend on the
-    partitioning and a retried task repeats it; one digest serves ten replicates. The rows are
-    multiplied inside the map task and reduced to (keys, replicate) there.
-    """
-    blocks = -(-reps // DRAWS_PER_DIGEST)
-    text = F.concat_ws("|", F.col(item).cast("string"), F.col("_b").cast("string"), F.lit(str(seed)))
-    spread = rows.select(*keys, item, F.col(value).cast("double").alias("v")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    spread = spread.withColumn("_h", F.sha1(F.encode(text, "UTF-8")))
-    draws = spread.select(
-        *keys, "v", "_b", "_h", F.explode(F.sequence(F.lit(0), F.lit(DRAWS_PER_DIGEST - 1))).alias("_i")
-    )
-    u = F.conv(F.substr("_h", F.col("_i") * 4 + 1, F.lit(4)), 16, 10).cast("int")
-    weight: Column = F.lit(len(POISSON_CUTS) - 1)
-    for k in reversed(range(len(POISSON_CUTS) - 1)):
-        weight = F.when(u < POISSON_CUTS[k], F.lit(k)).otherwise(weight)
-    drawn = draws.select(*keys, (F.col("_b") * DRAWS_PER_DIGEST + F.col("_i")).alias("rep"), "v", weight.alias("w"))
-    drawn = drawn.where((F.col("rep") < reps) & (F.col("w") > 0))
-    return drawn.groupBy(*keys, "rep").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean")
-    )
-
-
 def interval(replicates: DataFrame, value: str, keys: list[str] = (), level: float = 0.95) -> DataFrame:
     """Percentile interval over replicates: one number per replicate, so a group is small."""
     edge = (1 - level) / 2
@@ -117,46 +72,23 @@ def bootstrap_ci(
     rows: DataFrame, a: str, b: str, item: str = "item", value: str = "v", reps: int = 1000, seed: int = 0,
     level: float = 0.95,
 ) -> DataFrame:
-    """Mean paired difference of two arms with its percentile interval."""
+    """Mean paired difference of two arms with its percentile interval; all null if they share no item."""
     diffs = paired_differences(rows, a, b, item, value)
-    means = bootstrap_means(diffs, item, "d", reps, seed)
     point = diffs.agg(F.avg("d")).scalar()
-    return interval(means, "mean", level=level).select(point.alias("delta"), "lo", "hi", "reps")
+    return interval(resample.means(diffs, "d", reps, seed), "mean", level=level).select(point.alias("delta"), "lo", "hi", "reps")
 
 
 def bootstrap_median_gap(
-    rows: DataFrame, a: str, b: str, item: str = "item", value: str = "v", reps: int = 1000, seed: int = 0,
-    level: float = 0.95,
+    rows: DataFrame, a: str, b: str, value: str = "v", reps: int = 1000, seed: int = 0, level: float = 0.95
 ) -> DataFrame:
-    """Pooled difference of two arms' medians with its percentile interval.
+    """Pooled difference of two arms' medians with its percentile interval; null with no replicates if an arm is missing."""
+    kept = rows.where(F.col("arm").isin(a, b) & F.col(value).isNotNull()).select("arm", F.col(value).alias("v"))
 
-    The median of a resample of n values is the order statistic at rank ceil(n * U) with
-    U ~ Beta(m, n - m + 1), m = (n + 1) / 2, so a replicate only needs two ranks. ``reps``
-    ranks are drawn per arm; the values at those ranks are looked up in the ranked table.
-    No resample is ever materialised.
-    """
-    spark = rows.sparkSession
-    kept = rows.where(F.col("arm").isin(a, b) & F.col(value).isNotNull()).select("arm", item, F.col(value).alias("v"))
-    ranked = number_rows(kept, ["arm"], ["v", item], "rank")
-    sizes = {r["arm"]: r["n"] for r in kept.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rng = np.random.default_rng(seed)
-    picks = []
-    for arm in (a, b):
-        n = sizes[arm]
-        m = (n + 1) / 2
-        ranks = np.ceil(n * rng.beta(m, n - m + 1, reps)).clip(1, n).astype("int64")
-        picks += [(arm, rep, int(rank)) for rep, rank in enumerate(ranks)]
-    wanted = spark.createDataFrame(picks, "arm string, rep int, rank long")
-    drawn = ranked.join(wanted, ["arm", "rank"])  # 2 * reps rows; Spark knows their size
-    gaps = drawn.groupBy("rep").agg(
-        (
-            F.max(F.when(F.col("arm") == a, F.col("v"))) - F.max(F.when(F.col("arm") == b, F.col("v")))
-        ).alias("gap")
-    )
-    mid = percentiles_wide(kept, ["arm"], "v", {"p50": 0.5})
-    point = mid.agg(
-        F.max(F.when(F.col("arm") == a, F.col("p50"))) - F.max(F.when(F.col("arm") == b, F.col("p50")))
-    ).scalar()
+    def gap(column: str) -> Column:
+        return F.max(F.when(F.col("arm") == a, F.col(column))) - F.max(F.when(F.col("arm") == b, F.col(column)))
+
+    gaps = resample.medians(kept, "v", reps, seed, ["arm"]).groupBy("rep").agg(gap("median").alias("gap"))
+    point = percentiles_wide(kept, ["arm"], "v", {"p50": 0.5}).agg(gap("p50")).scalar()
     return interval(gaps, "gap", level=level).select(point.alias("delta"), "lo", "hi", "reps")
 
 
