@@ -155,7 +155,10 @@ _KEYED = f"(select *, doc_id % 7 <> 0 as has from {_MIXED})"
 
 
 def prompt_templates(spark, d):
-    df = P.intent_prompts(_docs(spark, d).withColumn("msg", F.col("text")), "msg", "source", "intent")
+    """All templates of the rows that have a message: of every ninth it is blank, of every eleventh there is none."""
+    message = F.when(F.col("doc_id") % 9 == 0, " \t\n").when(F.col("doc_id") % 11 != 0, F.col("text"))
+    rows = _docs(spark, d).withColumn("msg", message)
+    df = P.moderation_prompts(P.intent_prompts(rows, "msg", "source", "intent"), "msg", "moderation")
 
     def digest(c):
         return F.md5(F.encode(c, "UTF-8"))
@@ -164,7 +167,7 @@ def prompt_templates(spark, d):
     choices = F.array("lang", "source", F.col("n_chars").cast("string"), F.lit("none"))
     return df.select(
         "doc_id", digest(P.number_prompt(q)).alias("number"), digest(P.choice_prompt(q, choices)).alias("choice"),
-        digest(P.code_prompt(q)).alias("code"), digest(P.moderation_prompt("text")).alias("moderation"), digest("intent").alias("intent"),
+        digest(P.code_prompt(q)).alias("code"), digest("moderation").alias("moderation"), digest("intent").alias("intent"),
     )
 
 
@@ -180,7 +183,7 @@ _TEMPLATES = f"""select doc_id, md5({_STRIP.format("text")} || {_q(chr(10) * 2 +
     md5({_q(fixed.MODERATION_HEAD)} || left({_STRIP.format("text")}, 6000) || {_q(fixed.MODERATION_TAIL)}) as moderation,
     md5({_q(fixed.INTENT_HEAD)} || {_STRIP.format("text")} || {_q(fixed.INTENT_LIST)}
       || (select string_agg('- ' || source, chr(10) order by source) from (select distinct source from documents))
-      || {_q(fixed.INTENT_TAIL)}) as intent from documents"""
+      || {_q(fixed.INTENT_TAIL)}) as intent from documents where doc_id % 9 <> 0 and doc_id % 11 <> 0 and {_STRIP.format("text")} <> ''"""
 
 ENTRIES = {
     "fn_grade_number": (grade_number, f"""select doc_id, {_s_number("reply")} as got,

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from waymeter.functions.text import head, sha1_key
 from waymeter.operators import recovery as R
 from waymeter.operators import sets as S
+from waymeter.operators import sketches as K
+from waymeter.operators.stats import TAILS
 from waymeter.plans import views as V
 from waymeter.plans.views import sql
+from waymeter.session import scratch
 
 
 def _sides(spark, d):
@@ -105,6 +108,47 @@ def set_intersect(spark, d):
     return S.intersect(_keys(spark, d, True), _keys(spark, d, False), ["k", "event_type"])
 
 
+def _per_year(spark, d, rows, sketch):
+    """Summaries of the calls, a year at a time: the first years in one run, the others in another, read back together."""
+    table = scratch(spark, "sketches")
+    early = F.col("run_id") < "run-1995"
+    for run, part in (("early", early), ("late", ~early)):
+        K.append(sketch(rows.where(part)), table, run)
+    return K.read(spark, table)
+
+
+def latency_sketch(spark, d):
+    """Percentiles from merged sketches, and whether their ranks are as near to the points as promised."""
+    calls = V.calls(spark, d).select("arm", "run_id", "e2e_ms", "decision_ms")
+    kept = _per_year(spark, d, calls, lambda rows: K.quantile_sketches(rows, ["arm", "run_id"], ["e2e_ms", "decision_ms"]))
+    found = K.quantiles(kept, ["arm"], TAILS).unpivot(["arm", "metric", "n"], list(TAILS), "point", "at")
+    long = calls.select("arm", F.col("e2e_ms").cast("double").alias("e2e_ms"), F.col("decision_ms").cast("double").alias("decision_ms"))
+    long = long.unpivot(["arm"], ["e2e_ms", "decision_ms"], "metric", "v").where("v is not null")
+    ranks = long.join(found, ["arm", "metric"]).groupBy("arm", "metric", "point", "n").agg((F.count_if(F.col("v") < F.col("at")) / F.first("n")).alias("below"), (F.count_if(F.col("v") <= F.col("at")) / F.first("n")).alias("upto"))
+    p = F.element_at(F.create_map(*[F.lit(x) for pair in TAILS.items() for x in pair]), F.col("point"))
+    return ranks.select("arm", "metric", "point", "n", ((F.col("below") <= p + K.RANK_ERROR) & (F.col("upto") >= p - K.RANK_ERROR)).alias("within"))
+
+
+def distinct_sketch(spark, d):
+    """Distinct orders of each arm from the years' sketches, against their number."""
+    calls = V.calls(spark, d).select("arm", "run_id", "l_orderkey")
+    kept = _per_year(spark, d, calls, lambda rows: K.distinct_sketches(rows, ["arm", "run_id"], "l_orderkey"))
+    exact = calls.groupBy("arm").agg(F.count_distinct("l_orderkey").alias("orders"))
+    near = F.abs(F.col("distinct") - F.col("orders")) <= F.col("orders") * K.DISTINCT_ERROR
+    return exact.join(K.distinct_counts(kept, ["arm"]), "arm").select("arm", "orders", near.alias("within"))
+
+
+def intersect_sketch(spark, d):
+    """Events' keys on both sides of the cut, from one sketch a side, against their number."""
+    both = _keys(spark, d, True).withColumn("side", F.lit("pre")).union(_keys(spark, d, False).withColumn("side", F.lit("post")))
+    keyed = both.select("side", F.concat_ws("|", F.col("user_id").cast("string"), F.col("k").cast("string")).alias("key"))
+    found = K.overlap(K.set_sketches(keyed, ["side"], "key"), "side", "pre", "post")
+    sides = keyed.groupBy("key").agg(F.count_distinct("side").alias("sides"))
+    exact = sides.agg(F.count_if(F.col("sides") == 2).alias("both_sides"), F.count(F.lit(1)).alias("any_side"))
+    near = lambda a, b: F.abs(found.select(a).scalar() - F.col(b)) <= F.col("any_side") * K.OVERLAP_ERROR
+    return exact.select("both_sides", "any_side", (near("both", "both_sides") & near("either", "any_side")).alias("within"))
+
+
 def set_except(spark, d):
     """Documents without a label."""
     done = V.table(spark, d, "labels").select("doc_id")
@@ -161,6 +205,12 @@ ENTRIES = {
     "agg_attribution": (attribution, sql("""select arm, run_id, count(*) as requests,
         count(distinct case when nullif(model_name, '') <> 'local-model' then model_name end) as models_visible,
         count(decision_source) as decisions_logged, count(*) filter (model_name = 'local-model') as alias_rows from v_calls group by 1, 2""", "v_calls")),
+    "agg_latency_sketch": (latency_sketch, sql("""select arm, metric, unnest(['p50', 'p95', 'p99']) as point, n, true as within from (
+        select arm, 'e2e_ms' as metric, count(e2e_ms) as n from v_calls group by 1
+        union all select arm, 'decision_ms', count(decision_ms) from v_calls group by 1)""", "v_calls")),
+    "agg_attribution_sketch": (distinct_sketch, sql("select arm, count(distinct l_orderkey) as orders, true as within from v_calls group by 1", "v_calls")),
+    "set_intersect_sketch": (intersect_sketch, f"""select count(*) filter (sides = 2) as both_sides, count(*) as any_side, true as within from (
+        select user_id, event_id % 997 as k, count(distinct ts <= timestamp '{V.CUT}') as sides from events group by 1, 2)"""),
     "set_intersect": (set_intersect, f"""select event_id % 997 as k, event_type from events where ts <= timestamp '{V.CUT}'
         intersect select event_id % 997, event_type from events where ts > timestamp '{V.CUT}'"""),
     "set_except": (set_except, "select doc_id, source from documents where doc_id not in (select doc_id from labels)"),

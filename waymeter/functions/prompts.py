@@ -39,6 +39,16 @@ def moderation_prompt(message: Column | str) -> Column:
     return F.concat(F.lit(fixed.MODERATION_HEAD), body, F.lit(fixed.MODERATION_TAIL))
 
 
+def with_message(rows: DataFrame, text: str) -> DataFrame:
+    """Rows whose message is neither null nor blank; the others get no prompt."""
+    return rows.where(F.length(strip(text)) > 0)
+
+
+def moderation_prompts(rows: DataFrame, text: str, name: str = "prompt") -> DataFrame:
+    """Rows with a message, each with its moderation prompt."""
+    return with_message(rows, text).withColumn(name, moderation_prompt(text))
+
+
 def intent_list(rows: DataFrame, label: str) -> DataFrame:
     """One row: the sorted distinct label names as ``- name`` lines."""
     names = rows.select(label).where(F.col(label).isNotNull()).distinct()
@@ -48,9 +58,9 @@ def intent_list(rows: DataFrame, label: str) -> DataFrame:
 
 
 def intent_prompts(rows: DataFrame, text: str, label: str, name: str = "prompt") -> DataFrame:
-    """The message first, so that a truncated prefix stays unique, then the label list."""
+    """The message first, so that a truncated prefix stays unique, then the label list of all rows. Rows without a message are left out."""
     listing = intent_list(rows, label).scalar()
-    return rows.withColumn(
+    return with_message(rows, text).withColumn(
         name,
         F.concat(
             F.lit(fixed.INTENT_HEAD), strip(text), F.lit(fixed.INTENT_LIST), listing, F.lit(fixed.INTENT_TAIL)
