@@ -81,16 +81,26 @@ def typed_events(events: DataFrame, epoch_millis: bool = False) -> DataFrame:
     )
 
 
-def _fold(typed: DataFrame, arm: Column | str) -> DataFrame:
-    """One row per request id; whole ``prompt`` and ``reply`` structs are left for the caller to take apart."""
+LAST = ["asked", "prompt", "choice", "reply", "final"]
+
+
+def states(typed: DataFrame) -> DataFrame:
+    """One mergeable row per request id: of each kind of event the last one and its position."""
 
     def last(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias(name)
+        return F.max_by(F.struct("pos", F.col(name).alias("v")), F.when(F.col(name).isNotNull(), F.col("pos"))).alias(name)
 
-    folded = typed.groupBy("request_id").agg(
-        last("asked"), last("prompt"), last("choice"), last("reply"), last("final"),
-        F.bool_or("is_fallback").alias("fell_back"),
-    )
+    return typed.groupBy("request_id").agg(*map(last, LAST), F.bool_or("is_fallback").alias("fell_back"))
+
+
+def merged(some: DataFrame) -> DataFrame:
+    """The states of several parts of a log as those of the whole."""
+    return some.groupBy("request_id").agg(*[F.max_by(n, F.col(f"{n}.pos")).alias(n) for n in LAST], F.bool_or("fell_back").alias("fell_back"))
+
+
+def _rows(last: DataFrame, arm: Column | str) -> DataFrame:
+    """States to rows; whole ``prompt`` and ``reply`` structs are left for the caller to take apart."""
+    folded = last.select("request_id", *[F.col(f"{n}.v").alias(n) for n in LAST], "fell_back")
     t0, t1 = F.nullif(F.col("asked.t"), F.lit(0.0)), F.nullif(F.col("reply.t"), F.lit(0.0))
     unset = F.coalesce(F.nullif(F.col("choice.selected_model"), F.lit("")), F.col("reply.model_name"))
     return folded.select(
@@ -109,16 +119,24 @@ def _fold(typed: DataFrame, arm: Column | str) -> DataFrame:
     )
 
 
+def with_texts(typed: DataFrame) -> DataFrame:
+    """Puts answers into the replies, for a fold that carries them."""
+    return typed.withColumn("reply", F.when(F.col("reply").isNotNull(), F.struct("reply.*", "answer")))
+
+
+def finish(last: DataFrame, arm: Column | str) -> DataFrame:
+    """States that carry texts to folded rows."""
+    texts = {"answer": F.col("reply.answer"), "prompt_text": F.col("prompt.text")}
+    return _rows(last, arm).withColumns(texts).drop("prompt", "reply")
+
+
 def fold_events(events: DataFrame, arm: Column | str, epoch_millis: bool = False) -> DataFrame:
     """One row per request id with any event; the last event of each type wins whole.
 
     One shuffle on request_id. Each map task reduces a request's events first, so a request
     id that repeats in a third of the log reaches the shuffle once per task.
     """
-    typed = typed_events(events, epoch_millis)
-    carried = typed.withColumn("reply", F.when(F.col("reply").isNotNull(), F.struct("reply.*", "answer")))
-    texts = {"answer": F.col("reply.answer"), "prompt_text": F.col("prompt.text")}
-    return _fold(carried, arm).withColumns(texts).drop("prompt", "reply")
+    return finish(states(with_texts(typed_events(events, epoch_millis))), arm)
 
 
 class FoldedLog:
@@ -136,7 +154,7 @@ class FoldedLog:
         prompt = F.when(F.col("prompt").isNotNull(), F.struct("prompt.key", "prompt.cut", "at"))
         narrow = self.events.select("request_id", "pos", "asked", prompt.alias("prompt"), "choice", reply.alias("reply"), "is_fallback", "final")
         places = {"answer_at": F.col("reply.at"), "prompt_at": F.col("prompt.at")}
-        self.rows = pin(_fold(narrow, arm).withColumns(places).drop("prompt", "reply"), "folded")
+        self.rows = pin(_rows(states(narrow), arm).withColumns(places).drop("prompt", "reply"), "folded")
 
     def _fetched(self, rows: DataFrame, place: str, text: Column, name: str) -> DataFrame:
         texts = self.events.select(F.col("at").alias("_at"), text.alias(name)).where(F.col(name).isNotNull())
