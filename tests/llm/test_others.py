@@ -126,6 +126,32 @@ def test_secrets_of_each_row(docs, odd_rows, tmp_path):
     assert blobs == {(8, hashlib.sha256(t.encode()).hexdigest()) for d, t in SECRETS if d == 8}
 
 
+LONG_SECRETS = [
+    (1, f"redis://:{'p' * 300}@h and postgres://{'u' * 200}:{'q' * 500}@db/x amqp://u:ab@h"), (2, f"-----BEGIN {'A B ' * 40}PRIVATE KEY-----\n-----BEGIN PRIVATE KEY-----"), (3, "http://h:80/a@b ftp://:@h x://u:pw1@h"),
+]
+
+
+def test_secrets_have_no_upper_bounds(docs):
+    patterns = {"pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "url": "[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0d:/@]*:[^\x20\x09-\x0d:/@]{3,}@"}
+    got = sorted((r.doc_id, r.kind, r.start, r.end) for r in secrets.scan(docs(LONG_SECRETS)).collect() if r.kind in patterns)
+    want = sorted((i, kind, m.start(), m.end()) for i, text in LONG_SECRETS for kind, p in patterns.items() for m in re.finditer(p, text))
+    assert got == want and len(got) == 4
+
+
+def test_repeated_rows_are_scanned_once(spark, docs, monkeypatch):
+    """The same row many times, and one text under null ids: each blob is one row of the scan, by either plan."""
+    rows = [(5, "token=abcdefg")] * 40 + [(None, "secret=qqqqqqq")] * 40
+    usual, seen, real = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], secrets._one_each
+    monkeypatch.setattr(secrets, "_one_each", lambda *a: seen.append(real(*a).collect()) or real(*a))
+    try:
+        for limit in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert [r.n_assign for r in secrets.by_row(docs(rows)).collect()] == [1] * 80
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert [len(s) for s in seen] == [2, 2]
+
+
 # --- shards
 
 
@@ -149,6 +175,26 @@ def test_shards(docs, odd_rows, most):
         upto += r["size"]
 
 
+@pytest.mark.parametrize("giants", [1, 10])
+def test_shards_of_few_giants(docs, giants):
+    """Records that hold nearly all bytes among many small ones, or all of one key: the ranges still get small."""
+    rows = [(i, "same" if i % 2 else f"t{i}") for i in range(300)] + [(1000 + i, "g" * (2_000_000 + i)) for i in range(giants)]
+    got = shards.shards(docs(rows), most=20).collect()
+    total, longest = sum(r["size"] for r in got), max(r["size"] for r in got)
+    assert len(got) == len(rows)
+    for s in range(8):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r["size"] for r in own) - total / 8) <= longest
+
+
+def test_shards_always_sample(docs, monkeypatch):
+    """The method runs on a table of any size, with the default limit too."""
+    rounds, real = [], shards._divide
+    monkeypatch.setattr(shards, "_divide", lambda *a: rounds.append(real(*a)) or rounds[-1])
+    shards.shards(docs([(i, f"t{i}") for i in range(500)])).collect()
+    assert rounds[0].select("rng").distinct().count() == shards.RANGES and rounds[1:] == [None]
+
+
 def test_shards_small(docs):
     assert shards.shards(docs([])).collect() == []
     assert [(r.shard, r.slot) for r in shards.shards(docs([(1, None)])).collect()] == [(4, 0)]

@@ -16,20 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymeter.session import exists, scratch
+from waymeter.session import exists, pin, scratch
 
 Rules = dict[str, tuple[str, int, int]]
 #: Name, pattern, the group that must reach a length, and that length. Matches are found from the left without overlap, then
-#: those that are too short are dropped.
+#: those that are too short are dropped. Only a URL's scheme has an upper bound, since each of its letters begins an attempt of its own.
 RULES: Rules = {
     "assign": (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
-    "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]{1,64}:([^\x20\x09-\x0D:/@]{1,128})@", 1, 3),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]*:([^\x20\x09-\x0D:/@]+)@", 1, 3),
 }
 BASE = ["assign", "access", "hex"]
+BLOB_BYTES = 64  # what a digest may take in a broadcast table
 LEDGER = "blob binary, rule string, spans array<struct<start:int,end:int>>"
 
 
@@ -67,6 +68,17 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
 
 
+def _one_each(texts: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``blob, text, todo``, once for each unseen blob, however many rows hold it.
+
+    Copies are reduced in the map tasks before they move. Few unseen blobs, by their number, pick their texts out before that.
+    """
+    limit = int(texts.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if blobs.count() * BLOB_BYTES <= limit:
+        texts = texts.join(F.broadcast(blobs.select("blob")), "blob", "left_semi")
+    return texts.groupBy("blob").agg(F.first("text").alias("text")).join(blobs, "blob")
+
+
 def _extend(df: DataFrame, ledger: str | None, id_col: str, text_col: str, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """Appends the missing pairs to the ledger. Returns ``id, blob`` of each row, and ``blob, rule, spans`` where spans were found."""
     spark, wanted = df.sparkSession, [version(*r) for r in rules.items()]
@@ -74,13 +86,11 @@ def _extend(df: DataFrame, ledger: str | None, id_col: str, text_col: str, rules
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("blob"))
     seen = read_ledger(spark, ledger).where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    blobs = paths.groupBy("blob").agg(F.min("id").alias("rep"))
     todo = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("seen", F.array().cast("array<string>")))
-    blobs = blobs.join(seen, "blob", "left").select("blob", "rep", todo.alias("todo")).where(F.size("todo") > 0)
-    # One row of each blob is scanned: that of its smallest id, so copies neither meet in a task nor are read twice.
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
-    unseen = texts.join(blobs, texts.rep.eqNullSafe(blobs.rep) & (texts.blob == blobs.blob)).select(texts.blob, "todo", "text")
-    unseen.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
+    blobs = paths.select("blob").distinct().join(seen, "blob", "left").select("blob", todo.alias("todo"))
+    blobs = pin(blobs.where(F.size("todo") > 0), "unseen")
+    unseen = _one_each(df.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")), blobs)
+    unseen.mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(ledger)
     return paths, read_ledger(spark, ledger).where(F.col("rule").isin(wanted) & (F.size("spans") > 0))
 
 
