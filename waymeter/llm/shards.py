@@ -3,7 +3,8 @@
 1. Keys are (CRC-32 of the text, id, a running number), so equal texts are neighbours and stay together
    where a border does not part them. A sample of keys, drawn with a probability in proportion to
    the size, gives splitters at its quantiles, one for each range.
-2. Ranges that hold too many records are subdivided by a sample of their own, as often as needed.
+2. Ranges that hold too many records are subdivided by a sample of their own, as often as needed. Every other such
+   round draws by records, not by size, so that a few huge records cannot keep a range of many small ones whole.
    Since keys are unique, even one text with very many copies is divided.
 3. Sums over the ranges, one row each, place every range exactly, and a running sum inside a range
    places its records, so shards are cut at exact shares of all bytes whatever the sample was.
@@ -21,13 +22,19 @@ RANGE_ROWS = 1 << 17  # a range with more records is divided
 KEY = ["crc", "id", "tie"]
 
 
-def _divide(rows: DataFrame, most: int, seed: int) -> DataFrame | None:
-    """Numbers the parts of ranges above ``most`` records, keeping key order; None if there are none."""
-    sums = rows.groupBy("rng").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
-    full = pin(sums.where(F.col("n") > most).select("rng", "all"), "full")
+def _divide(rows: DataFrame, most: int, seed: int, by_size: bool) -> DataFrame | None:
+    """Numbers the parts of ranges above ``most`` records, keeping key order; None if there are none.
+
+    Keys are drawn with a probability in proportion to their size or, if not ``by_size``, all alike. In the latter case a range with more than one
+    record that is drawn whole is surely divided, and a larger one but for a chance that vanishes.
+    """
+    sums = rows.groupBy("rng").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    full = sums.where(F.col("n") > most).select("rng", F.col("bytes" if by_size else "n").alias("all"))
+    full = pin(full, "full")
     if full.isEmpty():
         return None
-    drawn = rows.join(full, "rng").where(F.rand(seed) < F.col("size") * SAMPLE / F.col("all"))
+    weight = F.col("size") if by_size else F.lit(1)
+    drawn = rows.join(full, "rng").where(F.rand(seed) < weight * SAMPLE / F.col("all"))
     tiles = drawn.select("rng", F.struct(*KEY).alias("key"), F.ntile(RANGES).over(Window.partitionBy("rng").orderBy(*KEY)).alias("tile"))
     cuts = tiles.where("tile > 1").groupBy("rng", "tile").agg(F.min("key").alias("cut"))
     cuts = pin(cuts.groupBy("rng").agg(F.collect_list("cut").alias("cuts")), "cuts")  # one row a range, fewer than RANGES cuts each
@@ -48,8 +55,10 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"))
     rows = pin(rows.withColumn("tie", F.monotonically_increasing_id()).withColumn("rng", F.lit(0).cast("long")), "sizes")
-    while (finer := _divide(rows, most, seed)) is not None:
-        rows = finer
+    rows = _divide(rows, 0, seed, True) or rows  # an empty table has no range
+    turn = 1
+    while (finer := _divide(rows, max(most, 1), seed + turn, turn % 2 == 0)) is not None:
+        rows, turn = finer, turn + 1
     sums = rows.groupBy("rng").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     before = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = sums.select("rng", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes0"))
