@@ -26,23 +26,25 @@ def main() -> None:
         spark = build_session("waymeter-bench", f"local[{cpus}]", cpus, shared)
         spark.sparkContext.setLogLevel("ERROR")
         entries = all_entries()
-        # The log that some queries fold is rendered before the clock starts.
+        # The log that some queries fold is made input, not work of theirs: it is rendered once, with its own time.
+        start = time.perf_counter()
         log = pin(eventlog.log_lines(spark, folder), "log")
+        rendered = round(time.perf_counter() - start, 3)
         eventlog.log_lines = lambda *_: log
-        cold, took = {}, {}
+        cold, warm = {}, {}
         for name in HEADLINE:
-            for times in (cold, took):  # the second run is the one reported: code is compiled, files are cached
+            for times in (cold, warm):  # the first run compiles code and counts; the second one is given beside it
                 start = time.perf_counter()
                 entries[name][0](spark, folder).write.format("noop").mode("overwrite").save()
                 times[name] = round(time.perf_counter() - start, 3)
-        report(folder, cold, took)
+        report(folder, cold, warm, rendered)
         spark.stop()
 
 
-def report(folder: str, cold: dict, took: dict) -> None:
+def report(folder: str, cold: dict, warm: dict, rendered: float) -> None:
     print(json.dumps({
-        "metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
-        "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cold": cold,
+        "metric": "headline_total", "value": round(sum(cold.values()), 3), "unit": "sec", "queries": cold,
+        "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "warm": warm, "warm_total": round(sum(warm.values()), 3), "log_rendering": rendered,
     }))
 
 
