@@ -17,3 +17,12 @@ def spark(tmp_path_factory):
     session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def narrow(spark):
+    """Few shuffle partitions, for tests that run very many small jobs."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", usual)

@@ -25,7 +25,7 @@ def kept_rows(table):
     return sorted((tuple(r) for r in table.fold("x").collect()), key=repr)
 
 
-def test_a_second_run_reads_new_files_only(spark, tmp_path):
+def test_a_second_run_reads_new_files_only(spark, narrow, tmp_path):
     folder, table = tmp_path / "logs", EventTable(spark, scratch(spark, "events"))
     folder.mkdir()
     write(folder, "b.log", [chat("r1", "hi"), route("r1", "big"), reply("r1", "old", promptTokens=1), "", "{broken"])
@@ -43,7 +43,7 @@ def test_a_second_run_reads_new_files_only(spark, tmp_path):
     assert "variant" not in plan.lower()  # rows come from states, not from events
 
 
-def test_a_file_that_has_grown_is_read_again(spark, tmp_path):
+def test_a_file_that_has_grown_is_read_again(spark, narrow, tmp_path):
     folder, table = tmp_path / "logs", EventTable(spark, scratch(spark, "events"))
     folder.mkdir()
     write(folder, "a.log", [chat("r1", "hi"), reply("r1", "one")])
@@ -54,7 +54,7 @@ def test_a_file_that_has_grown_is_read_again(spark, tmp_path):
     assert kept_rows(table) == whole(spark, folder) and table.events().count() == 5
 
 
-def test_a_run_that_is_broken_off_is_done_again(spark, tmp_path, monkeypatch):
+def test_a_run_that_is_broken_off_is_done_again(spark, narrow, tmp_path, monkeypatch):
     folder, table = tmp_path / "logs", EventTable(spark, scratch(spark, "events"))
     folder.mkdir()
     write(folder, "a.log", [chat("r1", "hi"), reply("r1", "one")])
@@ -75,7 +75,7 @@ def test_a_run_that_is_broken_off_is_done_again(spark, tmp_path, monkeypatch):
     assert len(table.add(str(folder))) == 1 and kept_rows(table) == whole(spark, folder) and table.events().count() == 3
 
 
-def test_events_are_shredded(spark, tmp_path):
+def test_events_are_shredded(spark, narrow, tmp_path):
     folder, table = tmp_path / "logs", EventTable(spark, scratch(spark, "events"))
     folder.mkdir()
     write(folder, "a.log", [route(f"r{i}", "big", metadata={"judge_prompt_tokens": i}) for i in range(300)])

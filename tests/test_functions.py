@@ -161,7 +161,7 @@ def test_published_seed_spread(spark):
     assert round(out["mean_acc"], 1) == 95.3 and round(out["sd_acc"], 1) == 0.3
 
 
-def test_bootstrap_intervals(spark):
+def test_bootstrap_intervals(spark, narrow):
     rng = np.random.default_rng(3)
     x, y = rng.normal(100, 10, 900), rng.normal(90, 10, 900)
     data = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", i, float(v)) for i, v in enumerate(y)]
@@ -176,7 +176,7 @@ def test_bootstrap_intervals(spark):
     assert (mid["lo"], mid["hi"]) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])), abs=0.4)
 
 
-def test_bootstrap_of_repeated_values(spark):
+def test_bootstrap_of_repeated_values(spark, narrow):
     """Counts on both sides of the exact inversion; the spread is that of resampling the rows themselves."""
     rng = np.random.default_rng(5)
     x, y = rng.integers(0, 40, 3000), np.r_[rng.integers(0, 30, 2500), np.full(500, 7)]
@@ -191,7 +191,7 @@ def test_bootstrap_of_repeated_values(spark):
     assert (mid["lo"], mid["hi"]) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])), abs=1.01)
 
 
-def test_medians_over_many_blocks(spark, monkeypatch):
+def test_medians_over_many_blocks(spark, narrow, monkeypatch):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(g, float(v)) for g in ("a", None) for v in rng.integers(0, 90, 400)], "arm string, v double")
     whole = {(r["arm"], r["rep"]): r["median"] for r in resample.medians(df, "v", 15, 3, ["arm"]).collect()}
@@ -210,7 +210,7 @@ def test_poisson_weights(spark):
         assert got[0] == pytest.approx(c, rel=0.03) and got[1] == pytest.approx(c, rel=0.06) and got[2] >= 0
 
 
-def test_bootstrap_without_an_arm(spark):
+def test_bootstrap_without_an_arm(spark, narrow):
     some = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), (None, 3, 1.0)], "arm string, item long, v double")
     for df in (some, some.limit(0)):
         assert tuple(stats.bootstrap_ci(df, "a", "b", reps=20).first()) == (None, None, None, 0)

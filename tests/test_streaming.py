@@ -56,14 +56,14 @@ def told(df):
 
 
 @pytest.mark.parametrize(("n", "step", "timeout", "size"), [(20, 400, 25, 1000), (7, 97, 10, 290), (50, 10_000, None, 1000), (20, 19, None, 70)])
-def test_lane_windows_over_micro_batches(spark, n, step, timeout, size):
+def test_lane_windows_over_micro_batches(spark, narrow, n, step, timeout, size):
     rows, df = lane_rows(spark, size)
     out = batcher.run_lanes(df, n, step, timeout)
     assert told(out) == windows_brute(rows, n, timeout)
     assert out.where("wait_ms < 0 or wait_ms is null").count() == 0
 
 
-def test_lane_windows_without_rows(spark):
+def test_lane_windows_without_rows(spark, narrow):
     _, df = lane_rows(spark, 10)
     assert told(batcher.run_lanes(df.limit(0), 20, 5)) == []
 
@@ -87,7 +87,7 @@ def test_a_hot_lane_is_worked_on_by_many_tasks(spark, monkeypatch):
     assert sorted(map(tuple, plain.collect())) == sorted(r[:4] for r in told(windows.result(spark)))
 
 
-def test_the_batcher_goes_on_after_a_restart(spark):
+def test_the_batcher_goes_on_after_a_restart(spark, narrow):
     """Broken off in the middle, before and after a micro-batch's output is written, and started again with the same checkpoint."""
     rows, df = lane_rows(spark, 500)
     folder, size = ranges.number(df, ["seq", "id"])
@@ -114,7 +114,7 @@ def test_the_batcher_goes_on_after_a_restart(spark):
     assert len(seen) == 7
 
 
-def test_ranges_come_in_order_with_an_end(spark):
+def test_ranges_come_in_order_with_an_end(spark, narrow):
     rows = spark.range(1000).select((F.lit(999) - F.col("id")).alias("seq"), F.lit("x").alias("_kept"))
     folder, size = ranges.number(rows, ["seq"])
     seen = []
@@ -128,7 +128,7 @@ def test_ranges_come_in_order_with_an_end(spark):
         assert [s[0] for s in seen] == [False] * (len(seen) - 1) + [True] and sum(s[1] for s in seen) == n and len(seen) == max(1, -(-n // step))
 
 
-def test_the_batcher_queries_in_several_micro_batches(spark, monkeypatch):
+def test_the_batcher_queries_in_several_micro_batches(spark, narrow, monkeypatch):
     folder = "/root/testdata/sf0.001"
     monkeypatch.setattr(streams, "STEP", 300)
     run, text = streams.ENTRIES["st_batcher"]
@@ -138,7 +138,7 @@ def test_the_batcher_queries_in_several_micro_batches(spark, monkeypatch):
 KIND = "content string, id string, model string, decision_ms double"
 
 
-def test_decisions_survive_a_restart(spark):
+def test_decisions_survive_a_restart(spark, narrow):
     rng = random.Random(1)
 
     def coins(run):
@@ -155,7 +155,7 @@ def test_decisions_survive_a_restart(spark):
     assert spark.read.parquet(path).count() == 60
 
 
-def test_of_proposals_in_one_micro_batch_the_smallest_id_counts(spark):
+def test_of_proposals_in_one_micro_batch_the_smallest_id_counts(spark, narrow):
     rows = [(f"c{i % 3}" if i % 5 else None, f"{(i * 37) % 100:03}", f"m{i}", float(i)) for i in range(100)]
     folder = scratch(spark, "in")
     spark.createDataFrame(rows, KIND).repartition(7).write.parquet(folder)
@@ -179,7 +179,7 @@ def test_a_dominant_content_reaches_its_key_once_a_task(spark):
     assert out.count() == 3000 and "Join" in out._jdf.queryExecution().optimizedPlan().toString() and "FlatMap" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_decision_table_form(spark):
+def test_decision_table_form(spark, narrow):
     store = scratch(spark, "store")
     reqs = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "a")], "id string, prompt string")
 
@@ -222,7 +222,7 @@ def test_policies_run_on_a_stream(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_batched_decisions_with_a_dominant_prompt(spark):
+def test_batched_decisions_with_a_dominant_prompt(spark, narrow):
     rows = [(str(i), "hi" if i % 3 else f"p{i % 10}") for i in range(90)]
     df = spark.createDataFrame(rows, "id string, prompt string")
     stream = replay.file_stream(spark, replay.as_files(df, ["id"]), "id string, prompt string", 2)
@@ -253,7 +253,7 @@ def test_no_request_is_lost_in_the_decision_store(spark):
     assert empty.count() == 0
 
 
-def test_decision_store_is_cut_as_finely_as_it_is_large(spark, monkeypatch):
+def test_decision_store_is_cut_as_finely_as_it_is_large(spark, narrow, monkeypatch):
     """Batches of different sizes have folders of different depth, and later batches find them all."""
     store = scratch(spark, "store")
     decide = lambda df: df.withColumn("model", F.lit("m")).withColumn("decision_ms", F.lit(1.0))
