@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from waymeter.llm import exact, near, repeats, stars, words
 
@@ -139,6 +140,23 @@ def test_exact(docs, odd_rows, largest, runs, fan_in):
     assert exact.exact_duplicates(docs([])).collect() == []
 
 
+def test_exact_merges_sorted_runs(docs):
+    """A round exchanges by range once, sorts, and reads neighbours; nothing regroups or drops the order."""
+    entries = exact.exact_duplicates(docs([(i, f"t{i % 40}") for i in range(400)], 7)).select("doc_id", F.unhex("text_sha256").alias("digest"))
+    entries = entries.select((F.col("doc_id") % 5).cast("int").alias("run"), "digest", F.octet_length("digest").alias("length"), F.xxhash64("digest").alias("proof"), F.col("doc_id").alias("keep"), F.lit(1).alias("rows"))
+    formed = exact.form_runs(entries)
+    merged = exact.merge_round(formed, 5)
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    physical = merged._jdf.queryExecution().executedPlan().toString()
+    above = physical[: physical.index("HashAggregate")]
+    assert "rangepartitioning(run" in above and "hashpartitioning" not in above and "Sort [run" in above and "Window" in plan
+    rows = merged.select("run", "digest", "keep", "rows", F.spark_partition_id().alias("part")).collect()
+    assert len(rows) == 40 and {r.rows for r in rows} == {10} and sorted(r.keep for r in rows) == list(range(40))
+    for part in {r.part for r in rows}:
+        inside = [bytes(r.digest) for r in rows if r.part == part]
+        assert inside == sorted(inside)
+
+
 def test_exact_has_no_python(docs):
     plan = exact.exact_duplicates(docs([(1, "a")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
