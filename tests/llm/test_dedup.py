@@ -197,16 +197,47 @@ def test_repeats(docs, odd_rows, length):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
-def test_repeats_longest_level(docs):
-    run = " ".join(f"z{i}" for i in range(23))
-    rows = [(1, run), (2, "q " + run), (3, " ".join(f"y{i}" for i in range(30)))]
-    got = {r.doc_id: r.longest for r in repeats.cut_repeats(docs(rows), length=4, longest=True).collect()}
-    assert got == {1: 16, 2: 16, 3: None}
+def longest_brute(rows, length):
+    out = []
+    for doc, text in rows:
+        w, size, best = WORD.findall(text or ""), length, 0
+        others = [WORD.findall(t or "") for d, t in rows if d not in (None, doc)]
+        while doc is not None and size <= len(w):
+            theirs = {tuple(o[s : s + size]) for o in others for s in range(len(o) - size + 1)}
+            if not any(tuple(w[s : s + size]) in theirs for s in range(len(w) - size + 1)):
+                break
+            best, size = size, size * 2
+        out.append((doc is None, doc, best))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("length", [4, 10])
+def test_repeats_longest_level(docs, length, monkeypatch):
+    """Passages of many lengths, some inside others, repeats within one text, copies, rows that repeat or share an id."""
+    monkeypatch.setattr(repeats, "PLACES", 7)
+    rng, run = random.Random(9), [f"z{i}" for i in range(170)]
+    rows = [(i, " ".join([f"u{i}x{j}" for j in range(3)] + run[(low := rng.randrange(100)) : low + rng.randrange(70)])) for i in range(40)]
+    rows += [(50, "a b c d e " * 30), (51, "a b c d e " * 9), (52, "q " + "a b c d e " * 4), (60, " ".join(run)), (61, "  ".join(run)), (62, " ".join(run[:12])), (63, " ".join(run[:12]))]
+    rows += [(70, "lonely " * 90), (71, " ".join(f"k{i}" for i in range(30))), (71, " ".join(f"k{i}" for i in range(30))), (71, " ".join(f"k{i}" for i in range(40)))]
+    rows += [(None, " ".join(run)), (None, None), (80, ""), (81, None)]
+    got = repeats.cut_repeats(docs(rows), length=length).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.longest) for r in got) == longest_brute(rows, length)
+    assert sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_brute(rows, length)
+    assert {r.longest for r in got} > {0, length, 4 * length}
+
+
+def test_repeats_limits(docs):
     with pytest.raises(ValueError):
-        repeats.cut_repeats(docs(rows), length=5)
+        repeats.cut_repeats(docs([]), length=5)
     assert repeats.cut_repeats(docs([])).collect() == []
 
 
+def test_repeats_extends_survivors_only(spark):
+    """A doubled window comes from two survivors of the same row, one length apart; one of them alone gives none."""
+    alive = spark.createDataFrame([(bytes([p]), 1, p, 7) for p in (0, 1, 4, 9)], "h binary, row long, place long, id long")
+    assert [(r.row, r.place, r.id) for r in repeats.extend(alive, 4).collect()] == [(1, 0, 7)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))

@@ -60,7 +60,7 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_doubling_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = repeats.cut_repeats(_table(spark, folder, "documents"), length=50)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
 
 
 def op9_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,13 +7,17 @@ document only cannot be part of a longer repeated window, so the work goes by le
   window of the wanted length are exchanged. Equal wanted windows choose equal inner ones, so a
   repeated passage always has its choice in both documents, while about a twelfth of all
   windows travel. A choice seen in one document alone ends there.
-* Survivors are extended to twice the length: the wanted windows around them are hashed and
-  the smallest id of each is found. ``levels=None`` goes on doubling from there until no
-  window survives and reports the longest length that did; the removal never needs it.
-
-Each level is an aggregate over (hash, id), reduced in the map tasks, joined back on the hash, where
+* Survivors are extended to twice the length: the wanted windows around them are told by a
+  128-bit digest of their words, which decides the removal; the 64-bit hashes of the first level only
+  choose candidates.
+* From there a surviving window is joined with the surviving one that follows it in the same text, and the
+  two digests make the digest of twice the length. Texts are not read again. Levels go on until no
+  window survives, and the last that had one is each row's ``longest``.
+
+Each level is an aggregate over (window, id), reduced in the map tasks, joined back on the window, where
 adaptive execution can split a passage that very many documents share. Documents whose whole
-word sequence is an earlier document's are settled by one digest and need no windows.
+word sequence is an earlier document's are settled by one digest and need no windows. Rows are told apart by a
+written running number, never by their id.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymeter.llm.words import blocks, split, window_hashes, word_hashes
+from waymeter.llm.words import Words, blocks, split, window_hashes, word_hashes
 from waymeter.session import pin
 
+PLACES = 1 << 14  # windows of one text whose words are held at once
+
 
 def _least_of(hashes: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each ``width`` consecutive values, by doubling the span."""
@@ -45,23 +51,25 @@ def chosen(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, text`` to the number of words and a digest of the words joined by one space."""
+    """``row, id, text`` to the number of words and a digest of the words joined by one space."""
     for batch in batches:
-        for at, texts in blocks(batch.column(1)):
+        for at, texts in blocks(batch.column("text")):
             joined = [(t or b"").split() for t in texts.cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in joined], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in joined]),
+                    batch.column("row").slice(at, len(texts)), batch.column("id").slice(at, len(texts)), pa.array([len(x) for x in joined], pa.int64()),
+                    pa.array([hashlib.sha256(b" ".join(x)).digest() for x in joined], pa.binary()),
                 ],
-                ["id", "n", "sha"],
+                ["row", "id", "n", "sha"],
             )
 
 
 def _choices(length: int, base: int):
+    """The chosen inner windows of each text, each once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column("text")):
                 words = split(texts)
                 hashes = word_hashes(words)
                 found, rows = [], []
@@ -71,119 +79,144 @@ def _choices(length: int, base: int):
                         found.append(picks)
                         rows.append(np.full(len(picks), row))
                 if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(found).view(np.int64)), batch.column(0).slice(at, len(texts)).take(pa.array(np.concatenate(rows)))], ["h", "id"]
-                    )
+                    owner = pa.array(np.concatenate(rows))
+                    row, doc = (batch.column(c).slice(at, len(texts)).take(owner) for c in ("row", "id"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), row, doc], ["h", "row", "id"])
 
     return run
 
 
+def _told(words: Words, low: int, places: np.ndarray, length: int) -> list[bytes]:
+    """A 128-bit digest of the words of each window that begins at one of the sorted ``places`` of the text at ``low``."""
+    if not len(places):
+        return []
+    first, end = low + places[0], low + places[-1] + length
+    own = [bytes(words.buf[s:e]) for s, e in zip(words.start[first:end], words.end[first:end])]
+    return [hashlib.blake2b(b" ".join(own[p : p + length]), digest_size=16).digest() for p in (places - places[0]).tolist()]
+
+
 def _windows(length: int, base: int):
-    """Hashes of the windows whose chosen inner window survived (``picks``)."""
+    """Digest and place of each window whose chosen inner window survived (``picks``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in blocks(batch.column("text")):
                 words = split(texts)
                 hashes = word_hashes(words)
-                ids, picks = (batch.column(c).slice(at, len(texts)) for c in ("id", "picks"))
-                found, rows = [], []
+                digests, places, owner = [], [], []
                 for row, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
-                    if high - low >= length:
-                        alive = np.isin(chosen(hashes[low:high], length, base), np.array(picks[row].values).view(np.uint64))
-                        runs = np.unique(window_hashes(hashes[low:high], length)[alive])
-                        found.append(runs)
-                        rows.append(np.full(len(runs), row))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), ids.take(pa.array(np.concatenate(rows)))], ["h", "id"])
+                    if high - low < length:
+                        continue
+                    alive = np.isin(chosen(hashes[low:high], length, base), np.array(batch.column("picks")[at + row].values).view(np.uint64))
+                    own = np.flatnonzero(alive)
+                    for some in np.array_split(own, len(own) // PLACES + 1):
+                        digests += _told(words, low, some, length)
+                    places.append(own)
+                    owner.append(np.full(len(own), row))
+                if digests:
+                    row, doc = (batch.column(c).slice(at, len(texts)).take(pa.array(np.concatenate(owner))) for c in ("row", "id"))
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), row, pa.array(np.concatenate(places)), doc], ["h", "row", "place", "id"])
 
     return run
 
 
 def _cut(length: int):
-    """Takes the words out that windows in ``gone`` cover."""
+    """Takes the words out that the windows at the places in ``gone`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept_texts, removed = [], []
             for at, texts in blocks(batch.column("text")):
                 words = split(texts)
-                hashes = word_hashes(words)
                 gone = batch.column("gone").slice(at, len(texts))
                 for row, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
                     edges = np.zeros(high - low + 1, np.int64)
-                    if high - low >= length:
-                        hit = np.flatnonzero(np.isin(window_hashes(hashes[low:high], length), np.array(gone[row].values).view(np.uint64)))
-                        np.add.at(edges, hit, 1)
-                        np.add.at(edges, hit + length, -1)
+                    places = np.array(gone[row].values, np.int64)
+                    np.add.at(edges, places, 1)
+                    np.add.at(edges, places + length, -1)
                     keep = low + np.flatnonzero(np.cumsum(edges[:-1]) == 0)
                     removed.append(high - low - len(keep))
                     kept_texts.append(b" ".join([bytes(words.buf[s:e]) for s, e in zip(words.start[keep], words.end[keep])]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("sha"), pa.array(removed, pa.int64()),
+                    batch.column("row"), pa.array(removed, pa.int64()),
                     pa.array(kept_texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in kept_texts]),
                 ],
-                ["id", "sha", "n_removed", "kept", "kept_sha"],
+                ["row", "n_removed", "kept", "kept_sha"],
             )
 
     return run
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """The hashes (of ``h, id``) that occur under several ids, with the smallest."""
+    """The windows (of ``h, id``) that occur under several ids, with the smallest."""
     return rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
 
 
-def _longest(windows: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """Doubles on until no window survives: ``id, longest``. One level per pass over the documents still alive."""
-    out = rows.select("id").limit(0).withColumn("longest", F.lit(0).cast("long"))
-    while True:
-        alive = pin(windows.join(_repeated(windows).select("h"), "h").select("id").distinct(), "alive")
-        if alive.isEmpty():
-            return out.groupBy("id").agg(F.max("longest").alias("longest"))
-        out = out.union(alive.withColumn("longest", F.lit(length).cast("long")))
+def extend(alive: DataFrame, length: int) -> DataFrame:
+    """Windows of twice the length from surviving ones: ``h, row, place, id``."""
+    after = alive.select("row", (F.col("place") - length).alias("place"), F.col("h").alias("next"))
+    doubled = alive.join(after, ["row", "place"])
+    return doubled.select(F.unhex(F.md5(F.concat("h", "next"))).alias("h"), "row", "place", "id")
+
+
+def longest_levels(alive: DataFrame, length: int) -> DataFrame:
+    """``row, longest``: the longest doubled length at which a row still shares a window, from the survivors at ``length``."""
+    levels = None
+    while not alive.isEmpty():
+        level = alive.select("row").distinct().withColumn("longest", F.lit(length).cast("long"))
+        levels = level if levels is None else levels.union(level)
+        windows = pin(extend(alive, length), "doubled")
+        alive = pin(windows.join(_repeated(windows).select("h"), "h"), "survivors")
         length *= 2
-        windows = rows.join(alive, "id").select("id", "text").mapInArrow(_choices(length, length), "h long, id long")
+    if levels is None:
+        return alive.select("row", F.lit(0).cast("long").alias("longest"))
+    return levels.groupBy("row").agg(F.max("longest").alias("longest"))
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, longest: bool = False) -> DataFrame:
-    """``id, n_words, n_removed, kept_text, kept_sha256`` for each row.
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """``id, n_words, n_removed, kept_text, kept_sha256, longest`` for each row.
 
     A word is removed if a window of ``length`` words that covers it also starts in a row with a
     smaller id; windows are judged on the input. Texts that lose nothing carry a null ``kept_text``
-    (they stay as they are), so that only texts with a cut are moved. Null and empty texts have no
-    words. Rows with a null id lose nothing and take nothing from others. Rows that share an id
-    take nothing from each other. With ``longest=True`` a column tells the longest doubled length at
-    which the row still shares a window (null for none). ``length`` must be even and at least 2.
+    (they stay as they are), so that only texts with a cut are moved. ``longest`` is the longest of ``length``, twice and
+    four times that and so on at which the row shares a window with a row of another id, 0 for none. Null and empty texts have no
+    words. Rows with a null id lose nothing and take nothing from others; neither do rows that share an id from
+    each other. ``length`` must be even and at least 2.
     """
     if length < 2 or length % 2:
         raise ValueError("length must be even: the first level has half of it")
     base = length // 2
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    facts = pin(rows.mapInArrow(_digests, "id long, n long, sha string"), "words")
-    known = rows.where("id is not null")
-    picks = known.mapInArrow(_choices(length, base), "h long, id long")
-    alive = picks.join(_repeated(picks).select("h"), "h").groupBy("id").agg(F.collect_set("h").alias("picks"))
-
-    earlier = facts.where("n > 0 and id is not null").groupBy("sha").agg(F.min("id").alias("rep"))
-    digest = facts.join(earlier, "sha").select("id", "sha", "n", (F.col("id") != F.col("rep")).alias("copy")).distinct()
-    work = alive.join(digest.where("not copy"), "id").select("id", "sha", "picks")
-    # The digest tells rows of one id apart; each joins its own text.
-    own = known.withColumn("joined", F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "))).withColumn("sha", F.sha2("joined", 256)).drop("joined")
-    held = pin(own.join(work, ["id", "sha"]).dropDuplicates(["id", "sha"]), "held")
-
-    windows = held.select("id", "text", "picks").mapInArrow(_windows(length, base), "h long, id long")
-    least = _repeated(windows)
-    gone = windows.join(least, "h").where("id > least").groupBy("id").agg(F.collect_set("h").alias("gone"))
-    cut = held.join(gone, "id").select("id", "sha", "text", "gone").mapInArrow(_cut(length), "id long, sha string, n_removed long, kept string, kept_sha string")
-    whole = digest.where(F.col("copy") & (F.col("n") >= length)).select("id", "sha", F.col("n").alias("n_removed"), F.lit("").alias("kept"))
-    changed = cut.where("n_removed > 0").union(whole.withColumn("kept_sha", F.sha2("kept", 256)))
-    out = facts.join(changed, ["id", "sha"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.col("kept").alias("kept_text"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = pin(rows, "numbered")
+    facts = pin(rows.mapInArrow(_digests, "row long, id long, n long, sha binary"), "words")
+    # Of rows with the same words the first by id stands for all.
+    same = facts.where("n > 0 and id is not null").groupBy("sha").agg(
+        F.min("id").alias("rep"), F.max("id").alias("last"), F.min_by("row", F.struct("id", "row")).alias("rep_row")
+    )
+    facts = pin(facts.join(same, "sha", "left"), "told")
+    picks = pin(rows.where("id is not null").mapInArrow(_choices(length, base), "h long, row long, id long"), "choices")
+    alive = picks.join(_repeated(picks).select("h"), "h").groupBy("row").agg(F.collect_list("h").alias("picks"))
+    alive = alive.join(facts.where("row = rep_row").select("row"), "row")
+    held = pin(rows.join(alive, "row"), "held")
+
+    windows = pin(held.mapInArrow(_windows(length, base), "h binary, row long, place long, id long"), "windows")
+    shared = pin(windows.join(_repeated(windows), "h"), "shared")
+    gone = shared.where("id > least").groupBy("row").agg(F.collect_list("place").alias("gone"))
+    cut = held.join(gone, "row").select("row", "text", "gone").mapInArrow(_cut(length), "row long, n_removed long, kept string, kept_sha string")
+    levels = longest_levels(shared.drop("least"), length)
+    found = cut.join(levels, "row", "full").withColumnRenamed("row", "at")
+
+    # Equal texts share all their windows: the highest binary digit of n / length is their longest level.
+    whole = F.when(F.col("n") >= length, F.expr(f"{length} * shiftleft(1L, length(bin(n div {length})) - 1)")).otherwise(F.lit(0))
+    copy, first = F.coalesce(F.col("id") > F.col("rep"), F.lit(False)) & (F.col("n") >= length), F.coalesce(F.col("id") == F.col("rep"), F.lit(False))
+    # Rows that nothing was found for meet themselves, so that no key is hot.
+    keyed = facts.withColumn("at", F.when(first, F.col("rep_row")).otherwise(-1 - F.col("row"))).join(found, "at", "left")
+    empty = hashlib.sha256(b"").hexdigest()
+    return keyed.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_words"),
+        F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text"),
+        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.greatest(F.coalesce("longest", F.lit(0)), F.when(F.col("id").isNotNull() & (F.col("last") > F.col("rep")), whole).otherwise(F.lit(0))).cast("long").alias("longest"),
     )
-    if longest:
-        levels = _longest(windows, known, length)
-        out = out.join(levels.withColumnRenamed("id", id_col), id_col, "left")
-    return out

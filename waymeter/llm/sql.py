@@ -86,12 +86,19 @@ from (select x as doc_id, min(y) as component_id from reach group by 1) left joi
 
 def op8(length: int = 50) -> str:
     return f"""
-with w as (select doc_id, {WORDS} as w from documents),
+with recursive w as (select doc_id, {WORDS} as w from documents),
 runs as (select doc_id, i, md5(array_to_string(w[i : i + {length - 1}], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - {length - 2})) as i from w)),
-hit as (select doc_id, i from (select *, min(doc_id) over (partition by h) as least from runs) where least < doc_id),
+seen as (select doc_id, i, h, least from (select *, min(doc_id) over (partition by h) as least, max(doc_id) over (partition by h) as most from runs) where least < most),
+hit as (select doc_id, i from seen where least < doc_id),
+-- Windows that another document has too, at each doubled length.
+levels(size, doc_id, i, h) as (select {length}, doc_id, i, h from seen union all
+  select size * 2, doc_id, i, h from (select *, min(doc_id) over (partition by h) as least, max(doc_id) over (partition by h) as most
+    from (select a.size, a.doc_id, a.i, md5(a.h || b.h) as h from levels a join levels b on a.doc_id = b.doc_id and b.i = a.i + a.size)) where least < most),
+longest as (select doc_id, max(size)::bigint as longest from levels group by 1),
 gone as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(i, i + {length})) as p from hit) group by 1),
 kept as (select doc_id, len(w) as n_words, list_filter(w, lambda x, p: not list_contains(coalesce(gone, []), p)) as kept from w left join gone using (doc_id))
-select doc_id, n_words, n_words - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from kept"""
+select doc_id, n_words, n_words - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256, coalesce(longest, 0) as longest
+from kept left join longest using (doc_id)"""
 
 
 def op9() -> str:
