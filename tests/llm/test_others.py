@@ -241,13 +241,16 @@ def mix_brute(rows, levels, weights, share, epochs, seed):
         upto = 0
         for i in sorted(own, key=key):
             upto += tokens[i]
-            out.append((rows[i][0], *l, tokens[i], have, got, whole + (got > 0 and upto <= got - whole * have)))
+            fits = got > 0 and upto <= got - whole * have
+            border = 0 if fits or got <= 0 else max(0, got - whole * have - upto + tokens[i])
+            out.append((rows[i][0], *l, tokens[i], have, got, whole + fits, border))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("share, epochs", [((1, 1), 4), ((1, 3), 1), ((2, 1), 1), ((7, 2), 3)])
 def test_mix(docs, odd_rows, share, epochs, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(mixing, "BLOCK_BUCKETS", 3)
     rng = random.Random(8)
     rows = [(i, "t " * rng.randrange(40), rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "src2", None])) for i in range(200)]
     rows += [(d, t, "en", "src9") for d, t in odd_rows if t is None or len(t) < 6000]
@@ -255,8 +258,15 @@ def test_mix(docs, odd_rows, share, epochs, monkeypatch):
     levels = [lambda r: "a" if r[3] in ("src0", "src1") else "b", lambda r: r[2], lambda r: r[3]]
     domain = F.when(F.col("source").isin("src0", "src1"), "a").otherwise("b")
     out = mixing.mix(docs(rows), {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, weights, share, epochs)
-    got = sorted(((r.doc_id, r.domain, r.lang, r.source, r.tokens, r.leaf_tokens, r.leaf_budget, r.copies) for r in out.collect()), key=repr)
+    got = sorted(((r.doc_id, r.domain, r.lang, r.source, r.tokens, r.leaf_tokens, r.leaf_budget, r.copies, r.border_tokens) for r in out.collect()), key=repr)
     assert got == mix_brute(rows, levels, weights, share, epochs, 17)
+    given, budget, borders = {}, {}, {}
+    for _, *leaf, tokens, have, wanted, copies, border in got:
+        leaf = tuple(leaf)
+        given[leaf] = given.get(leaf, 0) + tokens * copies + border
+        borders[leaf] = borders.get(leaf, 0) + (border > 0)
+        budget[leaf] = wanted
+    assert given == budget and max(borders.values()) <= 1
     assert mixing.mix(docs([]), {"lang": F.col("lang")}, {}).collect() == []
 
 

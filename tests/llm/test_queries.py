@@ -84,3 +84,17 @@ def test_pipeline_on_odd_rows(spark, docs, odd_rows, tmp_path):
                 assert out.columns == frame.columns
             left = out.count()
             assert left <= table.count() and (left > 0) == (table.count() > 0)
+
+
+def test_pipeline_decides_by_row(spark, docs):
+    """Rows that repeat, and copies without an id, are copies like others; rows that only share an id are not."""
+    text, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, text), (5, text), (None, text), (9, text.upper()), (None, other), (None, other), (5, "tail"), (5, "end"), (7, None), (None, None)]
+    out = corpus_pipeline.drop_exact_copies(spark, docs(rows), FOLDER)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(5, text), (None, other), (5, "tail"), (5, "end"), (7, None)], key=repr)
+    near_rows = [(5, text), (5, text + " x"), (None, text + " y"), (3, text + " z"), (None, other), (None, other + " q"), (5, "tail")]
+    out = corpus_pipeline.drop_near_copies(spark, docs(near_rows), FOLDER)
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(left) == 3 and (3, text + " z") in left and (5, "tail") in left and [d for d, t in left if t[0] == "b"] == [None]
+    many = docs([(None, f"w{i} " * 10, "en", "src1") for i in range(200)])
+    assert corpus_pipeline.mix_sources(spark, many, FOLDER).count() == 180

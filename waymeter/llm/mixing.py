@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from waymeter.session import pin
 
 BUCKET_ROWS = 1024  # documents of a leaf that are ordered together
+BLOCK_BUCKETS = 1024  # buckets of a leaf that are summed together
 WIDE = "decimal(38,0)"
 
 
@@ -70,17 +71,20 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
 
 def mix(
     df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 1), epochs: int = 4, seed: int = 17,
-    id_col: str = "doc_id", tokens: Column | None = None,
+    id_col: str = "doc_id", tokens: Column | None = None, row_col: str | None = None,
 ) -> DataFrame:
-    """``id, *levels, tokens, leaf_tokens, leaf_budget, copies`` for each row.
+    """``id, *levels, tokens, leaf_tokens, leaf_budget, copies, border_tokens`` for each row.
 
     ``levels`` names the tree's levels from the root down, each with its column; null values count as empty text, so they form
     leaves of their own. ``copies`` tells how often a row is taken: once in every whole epoch, and once more if it lies in the
-    prefix of the next one. ``tokens`` counts a row's tokens (words of ``text`` by default); rows without tokens are taken
-    with the prefix they lie in. Rows with a null or repeated id are ordered by their tokens where the seeded order ties.
+    prefix of the next one. ``border_tokens`` tells how many tokens are taken from the start of the one row of a leaf that the prefix ends in,
+    0 elsewhere; with it, each leaf with tokens gives exactly its budget. ``tokens`` counts a row's tokens (words of ``text`` by default); rows without tokens are taken
+    with the prefix they lie in. Rows with a null or repeated id are ordered by their tokens where the seeded order ties,
+    then by ``row_col``, a number of the caller's for each row, which is passed on.
     """
-    names = [*levels]
+    names, own = [*levels], [] if row_col is None else [row_col]
     rows = df.select(
+        *own,
         F.col(id_col).cast("long").alias("id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         (count_words(F.col("text")) if tokens is None else tokens.cast("long")).alias("tokens"),
     )
@@ -95,12 +99,18 @@ def mix(
     # The seeded order is uniform, so its leading bits cut a leaf of any size into buckets of like size.
     placed = placed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(1 << 32)))
     sums = placed.groupBy(*names, "bucket").agg(F.sum("tokens").alias("part"))
-    ahead = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*names, "bucket", F.coalesce(F.sum("part").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy(*names, "bucket").orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("block", F.floor(F.col("bucket") / BLOCK_BUCKETS))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy(*names, "block").agg(F.sum("part").alias("part"))
+    blocks = blocks.select(*names, "block", F.coalesce(F.sum("part").over(earlier(*names).orderBy("block")), F.lit(0)).alias("base"))
+    sums = sums.withColumn("inner", F.coalesce(F.sum("part").over(earlier(*names, "block").orderBy("bucket")), F.lit(0)))
+    sums = sums.join(blocks, [*names, "block"]).select(*names, "bucket", (F.col("base") + F.col("inner")).alias("ahead"))
+    inside = Window.partitionBy(*names, "bucket").orderBy("key", "tokens", *own).rowsBetween(Window.unboundedPreceding, 0)
     run = placed.withColumn("upto", F.sum("tokens").over(inside)).join(sums, [*names, "bucket"])
-    taken = (F.col("got") > 0) & (F.col("ahead") + F.col("upto") <= F.col("over"))
+    upto = F.col("ahead") + F.col("upto")
+    taken = (F.col("got") > 0) & (upto <= F.col("over"))
+    border = F.when(taken | (F.col("got") <= 0), 0).otherwise(F.greatest(F.col("over") - (upto - F.col("tokens")), F.lit(0)))
     return run.select(
-        F.col("id").alias(id_col), *names, "tokens", "leaf_tokens", F.col("got").alias("leaf_budget"),
-        (F.col("whole") + F.when(taken, 1).otherwise(0)).cast("long").alias("copies"),
+        *own, F.col("id").alias(id_col), *names, "tokens", "leaf_tokens", F.col("got").alias("leaf_budget"),
+        (F.col("whole") + F.when(taken, 1).otherwise(0)).cast("long").alias("copies"), border.cast("long").alias("border_tokens"),
     )

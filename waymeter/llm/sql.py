@@ -64,7 +64,8 @@ given as (select domain, lang, source, tokens::bigint as leaf_tokens, budget::bi
   from leaf join g2 using (domain, lang, source)),
 run as (select *, sum(tokens) over (partition by domain, lang, source order by md5('{seed}:' || whole || ':' || doc_id), tokens rows unbounded preceding) as upto
   from t join given using (domain, lang, source))
-select doc_id, domain, lang, source, tokens, leaf_tokens, got as leaf_budget, (whole + case when got > 0 and upto <= got - whole * leaf_tokens then 1 else 0 end)::bigint as copies from run"""
+select doc_id, domain, lang, source, tokens, leaf_tokens, got as leaf_budget, (whole + case when got > 0 and upto <= got - whole * leaf_tokens then 1 else 0 end)::bigint as copies,
+  (case when got > 0 and upto > got - whole * leaf_tokens then greatest(got - whole * leaf_tokens - (upto - tokens), 0) else 0 end)::bigint as border_tokens from run"""
 
 
 def op7() -> str:
