@@ -211,14 +211,16 @@ def longest_brute(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length", [4, 10])
-def test_repeats_longest_level(docs, length, monkeypatch):
+@pytest.mark.parametrize("length, shared_ids", [(4, False), (4, True), (10, True)])
+def test_repeats_longest_level(docs, length, shared_ids, monkeypatch):
     """Passages of many lengths, some inside others, repeats within one text, copies, rows that repeat or share an id."""
     monkeypatch.setattr(repeats, "PLACES", 7)
     rng, run = random.Random(9), [f"z{i}" for i in range(170)]
     rows = [(i, " ".join([f"u{i}x{j}" for j in range(3)] + run[(low := rng.randrange(100)) : low + rng.randrange(70)])) for i in range(40)]
     rows += [(50, "a b c d e " * 30), (51, "a b c d e " * 9), (52, "q " + "a b c d e " * 4), (60, " ".join(run)), (61, "  ".join(run)), (62, " ".join(run[:12])), (63, " ".join(run[:12]))]
     rows += [(70, "lonely " * 90), (71, " ".join(f"k{i}" for i in range(30))), (71, " ".join(f"k{i}" for i in range(30))), (71, " ".join(f"k{i}" for i in range(40)))]
+    if shared_ids:
+        rows += [(5, " ".join(run[3:80])), (72, " ".join(run[:70])), (72, " ".join(run[20:150])), (72, " ".join(run[20:150]) + " end"), (-1, " ".join(run[:90])), (-1, " ".join(run[30:]))]
     rows += [(None, " ".join(run)), (None, None), (80, ""), (81, None)]
     got = repeats.cut_repeats(docs(rows), length=length).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.longest) for r in got) == longest_brute(rows, length)
@@ -232,10 +234,13 @@ def test_repeats_limits(docs):
     assert repeats.cut_repeats(docs([])).collect() == []
 
 
-def test_repeats_extends_survivors_only(spark):
+def test_repeats_extends_survivors_only():
     """A doubled window comes from two survivors of the same row, one length apart; one of them alone gives none."""
-    alive = spark.createDataFrame([(bytes([p]), 1, p, 7) for p in (0, 1, 4, 9)], "h binary, row long, place long, id long")
-    assert [(r.row, r.place, r.id) for r in repeats.extend(alive, 4).collect()] == [(1, 0, 7)]
+    places = np.array([0, 1, 4, 9])
+    digests = np.frombuffer(b"".join(bytes([p]) * 16 for p in places), repeats.DIGEST)
+    doubled, joined = repeats.extend(places, digests, 4)
+    assert doubled.tolist() == [0] and joined == hashlib.blake2b(bytes(16) + bytes([4]) * 16, digest_size=16).digest()
+    assert [len(x) for x in repeats.extend(places[:0], digests[:0], 4)] == [0, 0]
 
 
 def test_signatures_estimate_similarity():

@@ -10,14 +10,17 @@ document only cannot be part of a longer repeated window, so the work goes by le
 * Survivors are extended to twice the length: the wanted windows around them are told by a
   128-bit digest of their words, which decides the removal; the 64-bit hashes of the first level only
   choose candidates.
-* From there a surviving window is joined with the surviving one that follows it in the same text, and the
+* From there a surviving window meets the surviving one that follows it in the same text, and the
   two digests make the digest of twice the length. Texts are not read again. Levels go on until no
   window survives, and the last that had one is each row's ``longest``.
 
-Each level is an aggregate over (window, id), reduced in the map tasks, joined back on the window, where
-adaptive execution can split a passage that very many documents share. Documents whose whole
+The windows of a row stay together, places and digests packed in one record, so that doubling is a map. A level exchanges
+each digest once a row, reduced in the map tasks to its smallest and largest id, so a passage that very many
+documents share is one row there. What comes back is one message for each different window, not for each place:
+to the row that has it first, or alone. All else in a row is a later occurrence. Documents whose whole
 word sequence is an earlier document's are settled by one digest and need no windows. Rows are told apart by a
-written running number, never by their id.
+written running number; messages go by id where the rows with candidates have ids of their own, which is
+looked up, and by number, with one more join on the window, where some share an id.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymeter.llm.words import Words, blocks, split, window_hashes, word_hashes
+from waymeter.llm.words import BLOCK, Words, blocks, split, window_hashes, word_hashes
 from waymeter.session import pin
 
 PLACES = 1 << 14  # windows of one text whose words are held at once
+DIGEST = np.dtype("V16")
+PACKED = [("row", pa.int64()), ("id", pa.int64()), ("places", pa.binary()), ("digests", pa.binary())]
+SETTLED = [*PACKED[:2], ("alive", pa.bool_()), ("gone", pa.list_(pa.int64())), *PACKED[2:]]
 
 
 def _least_of(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -96,26 +102,79 @@ def _told(words: Words, low: int, places: np.ndarray, length: int) -> list[bytes
 
 
 def _windows(length: int, base: int):
-    """Digest and place of each window whose chosen inner window survived (``picks``)."""
+    """The windows of each row whose chosen inner window survived (``picks``), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in blocks(batch.column("text")):
                 words = split(texts)
                 hashes = word_hashes(words)
-                digests, places, owner = [], [], []
+                packed = []
                 for row, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
                     if high - low < length:
                         continue
                     alive = np.isin(chosen(hashes[low:high], length, base), np.array(batch.column("picks")[at + row].values).view(np.uint64))
-                    own = np.flatnonzero(alive)
-                    for some in np.array_split(own, len(own) // PLACES + 1):
-                        digests += _told(words, low, some, length)
-                    places.append(own)
-                    owner.append(np.full(len(own), row))
-                if digests:
-                    row, doc = (batch.column(c).slice(at, len(texts)).take(pa.array(np.concatenate(owner))) for c in ("row", "id"))
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), row, pa.array(np.concatenate(places)), doc], ["h", "row", "place", "id"])
+                    own = np.flatnonzero(alive).astype(np.int64)
+                    parts = (b"".join(_told(words, low, some, length)) for some in np.array_split(own, len(own) // PLACES + 1))
+                    packed.append((batch.column("row")[at + row].as_py(), batch.column("id")[at + row].as_py(), own.tobytes(), b"".join(parts)))
+                yield _records(packed, PACKED)
+
+    return run
+
+
+def _records(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def _unpacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and digests of the windows of one row."""
+    return np.frombuffer(batch.column("places")[at].as_py(), np.int64), np.frombuffer(batch.column("digests")[at].as_py(), DIGEST)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different windows of each row, a digest as two numbers."""
+    for batch in batches:
+        for at in range(len(batch)):
+            halves = np.unique(_unpacked(batch, at)[1]).view(np.int64).reshape(-1, 2)
+            row, doc = (pa.repeat(batch.column(c)[at], len(halves)) for c in ("row", "id"))
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), row, doc], ["high", "low", "row", "id"])
+
+
+def _among(digests: np.ndarray, told: pa.ListScalar) -> np.ndarray:
+    """Which digests are among the ``told`` pairs of numbers."""
+    if told.values is None or not len(told.values):
+        return np.zeros(len(digests), bool)
+    halves = np.column_stack([np.array(told.values.field(c)) for c in ("high", "low")])
+    return np.isin(digests, np.ascontiguousarray(halves).view(DIGEST).ravel())
+
+
+def extend(places: np.ndarray, digests: np.ndarray, length: int) -> tuple[np.ndarray, bytes]:
+    """Windows of twice the length from the surviving ones of a row: their places, and their digests joined."""
+    after = np.searchsorted(places, places + length)
+    pairs = np.flatnonzero(places[np.minimum(after, len(places) - 1)] == places + length) if len(places) else np.zeros(0, np.int64)
+    own = digests.tobytes()
+    halves = ((own[16 * p : 16 * p + 16], own[16 * q : 16 * q + 16]) for p, q in zip(pairs.tolist(), after[pairs].tolist()))
+    return places[pairs], b"".join([hashlib.blake2b(x + y, digest_size=16).digest() for x, y in halves])
+
+
+def _settle(length: int):
+    """Drops the windows that no other id has (``alone``), notes those that another has ``first``, and doubles what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for at in range(len(batch)):
+                places, digests = _unpacked(batch, at)
+                alive = ~_among(digests, batch.column("alone")[at])
+                later = alive & ~_among(digests, batch.column("first")[at])
+                doubled, joined = extend(places[alive], digests[alive], length)
+                rows.append((batch.column("row")[at].as_py(), batch.column("id")[at].as_py(), bool(alive.any()), places[later], doubled.tobytes(), joined))
+                held += len(joined)
+                if held > BLOCK:
+                    yield _records(rows, SETTLED)
+                    rows, held = [], 0
+            yield _records(rows, SETTLED)
 
     return run
 
@@ -153,25 +212,21 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
 
 
-def extend(alive: DataFrame, length: int) -> DataFrame:
-    """Windows of twice the length from surviving ones: ``h, row, place, id``."""
-    after = alive.select("row", (F.col("place") - length).alias("place"), F.col("h").alias("next"))
-    doubled = alive.join(after, ["row", "place"])
-    return doubled.select(F.unhex(F.md5(F.concat("h", "next"))).alias("h"), "row", "place", "id")
-
+def settled(windows: DataFrame, length: int, key: str) -> DataFrame:
+    """One level: ``row, id, alive, gone, places, digests`` for each row of packed ``windows`` of one length.
 
-def longest_levels(alive: DataFrame, length: int) -> DataFrame:
-    """``row, longest``: the longest doubled length at which a row still shares a window, from the survivors at ``length``."""
-    levels = None
-    while not alive.isEmpty():
-        level = alive.select("row").distinct().withColumn("longest", F.lit(length).cast("long"))
-        levels = level if levels is None else levels.union(level)
-        windows = pin(extend(alive, length), "doubled")
-        alive = pin(windows.join(_repeated(windows).select("h"), "h"), "survivors")
-        length *= 2
-    if levels is None:
-        return alive.select("row", F.lit(0).cast("long").alias("longest"))
-    return levels.groupBy("row").agg(F.max("longest").alias("longest"))
+    ``gone`` holds the places whose window a smaller id has too, ``places`` and ``digests`` the windows of twice the length.
+    ``key`` is ``id`` if no two rows have the same, else ``row``.
+    """
+    spread = windows.mapInArrow(_spread, "high long, low long, row long, id long")
+    told = spread.groupBy("high", "low").agg(F.min("id").alias("id"), F.max("id").alias("most"))
+    if key == "row":  # every row with the smallest id has to know
+        told = spread.join(told.withColumnRenamed("id", "least"), ["high", "low"]).where("id = least")
+    window, alone = F.struct("high", "low"), F.col("id") == F.col("most")
+    told = told.groupBy(key).agg(F.collect_list(F.when(alone, window)).alias("alone"), F.collect_list(F.when(~alone, window)).alias("first"))
+    return windows.join(told, key, "left").select("row", "id", "places", "digests", "alone", "first").mapInArrow(
+        _settle(length), "row long, id long, alive boolean, gone array<long>, places binary, digests binary"
+    )
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -200,11 +255,17 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     alive = alive.join(facts.where("row = rep_row").select("row"), "row")
     held = pin(rows.join(alive, "row"), "held")
 
-    windows = pin(held.mapInArrow(_windows(length, base), "h binary, row long, place long, id long"), "windows")
-    shared = pin(windows.join(_repeated(windows), "h"), "shared")
-    gone = shared.where("id > least").groupBy("row").agg(F.collect_list("place").alias("gone"))
+    key = "id" if held.groupBy("id").count().where("count > 1").isEmpty() else "row"
+    windows = pin(held.mapInArrow(_windows(length, base), "row long, id long, places binary, digests binary"), "windows")
+    level = pin(settled(windows, length, key), "survivors")
+    gone = level.where("size(gone) > 0").select("row", "gone")
     cut = held.join(gone, "row").select("row", "text", "gone").mapInArrow(_cut(length), "row long, n_removed long, kept string, kept_sha string")
-    levels = longest_levels(shared.drop("least"), length)
+    levels, size = level.where("alive").select("row", F.lit(length).cast("long").alias("longest")), length
+    while not (windows := level.where("length(places) > 0").select("row", "id", "places", "digests")).isEmpty():
+        size *= 2
+        level = pin(settled(windows, size, key), "survivors")
+        levels = levels.union(level.where("alive").select("row", F.lit(size).cast("long").alias("longest")))
+    levels = levels.groupBy("row").agg(F.max("longest").alias("longest"))
     found = cut.join(levels, "row", "full").withColumnRenamed("row", "at")
 
     # Equal texts share all their windows: the highest binary digit of n / length is their longest level.
