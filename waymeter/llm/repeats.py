@@ -19,7 +19,7 @@ each digest once a row, reduced in the map tasks to its smallest and largest id,
 documents share is one row there. What comes back is one message for each different window, not for each place:
 to the row that has it first, or alone. All else in a row is a later occurrence. Documents whose whole
 word sequence is an earlier document's are settled by one digest and need no windows. Rows are told apart by a
-written running number; messages go by id where the rows with candidates have ids of their own, which is
+running number written with their digests, not with their texts, which are found again by id and digest; messages go by id where the rows with candidates have ids of their own, which is
 looked up, and by number, with one more join on the window, where some share an id.
 """
 
@@ -39,7 +39,7 @@ from waymeter.session import pin
 PLACES = 1 << 14  # windows of one text whose words are held at once
 DIGEST = np.dtype("V16")
 PACKED = [("row", pa.int64()), ("id", pa.int64()), ("places", pa.binary()), ("digests", pa.binary())]
-SETTLED = [*PACKED[:2], ("alive", pa.bool_()), ("gone", pa.list_(pa.int64())), *PACKED[2:]]
+SETTLED = [*PACKED[:2], ("alive", pa.bool_()), ("gone", pa.list_(pa.int64())), ("upto", pa.list_(pa.int64())), *PACKED[2:]]
 
 
 def _least_of(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -56,42 +56,43 @@ def chosen(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
     return _least_of(window_hashes(hashes, base), length - base + 1)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``row, id, text`` to the number of words and a digest of the words joined by one space."""
-    for batch in batches:
-        for at, texts in blocks(batch.column("text")):
-            joined = [(t or b"").split() for t in texts.cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row").slice(at, len(texts)), batch.column("id").slice(at, len(texts)), pa.array([len(x) for x in joined], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(x)).digest() for x in joined], pa.binary()),
-                ],
-                ["row", "id", "n", "sha"],
-            )
+def _own_digest(text: bytes | None) -> tuple[int, bytes]:
+    """The number of words, and a digest of the words joined by one space."""
+    own = (text or b"").split()
+    return len(own), hashlib.sha256(b" ".join(own)).digest()
 
 
-def _choices(length: int, base: int):
-    """The chosen inner windows of each text, each once."""
+def _facts(length: int, base: int):
+    """Each row's number of words, their digest, and the chosen inner windows, each once (none without an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in blocks(batch.column("text")):
+                ids = batch.column("id").slice(at, len(texts))
                 words = split(texts)
                 hashes = word_hashes(words)
-                found, rows = [], []
-                for row, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
-                    if high - low >= length:
-                        picks = np.unique(chosen(hashes[low:high], length, base))
-                        found.append(picks)
-                        rows.append(np.full(len(picks), row))
-                if found:
-                    owner = pa.array(np.concatenate(rows))
-                    row, doc = (batch.column(c).slice(at, len(texts)).take(owner) for c in ("row", "id"))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), row, doc], ["h", "row", "id"])
+                picks = []
+                for doc, low, high in zip(ids, words.first[:-1], words.first[1:]):
+                    fits = doc.is_valid and high - low >= length
+                    picks.append(np.unique(chosen(hashes[low:high], length, base)).view(np.int64) if fits else np.zeros(0, np.int64))
+                counts, digests = zip(*map(_own_digest, texts.cast(pa.large_binary()).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(picks, pa.list_(pa.int64()))], ["id", "n", "sha", "picks"]
+                )
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the digest of their words; of rows with the same id and words only the first of a batch."""
+    for batch in batches:
+        seen = {}
+        for at, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()))):
+            seen.setdefault((doc, _own_digest(text.as_py())[1]), at)
+        taken = batch.take(pa.array(seen.values(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([taken.column("id"), pa.array([sha for _, sha in seen], pa.binary()), taken.column("text")], ["id", "sha", "text"])
+
+
 def _told(words: Words, low: int, places: np.ndarray, length: int) -> list[bytes]:
     """A 128-bit digest of the words of each window that begins at one of the sorted ``places`` of the text at ``low``."""
     if not len(places):
@@ -116,7 +117,7 @@ def _windows(length: int, base: int):
                     alive = np.isin(chosen(hashes[low:high], length, base), np.array(batch.column("picks")[at + row].values).view(np.uint64))
                     own = np.flatnonzero(alive).astype(np.int64)
                     parts = (b"".join(_told(words, low, some, length)) for some in np.array_split(own, len(own) // PLACES + 1))
-                    packed.append((batch.column("row")[at + row].as_py(), batch.column("id")[at + row].as_py(), own.tobytes(), b"".join(parts)))
+                    packed.append((batch.column("row")[at + row].as_py(), batch.column("id")[at + row].as_py(), _steps(own), b"".join(parts)))
                 yield _records(packed, PACKED)
 
     return run
@@ -127,9 +128,14 @@ def _records(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Places as steps from one to the next, which are ones in a passage and take little room."""
+    return np.diff(places, prepend=0).astype(np.int64).tobytes()
+
+
 def _unpacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and digests of the windows of one row."""
-    return np.frombuffer(batch.column("places")[at].as_py(), np.int64), np.frombuffer(batch.column("digests")[at].as_py(), DIGEST)
+    return np.cumsum(np.frombuffer(batch.column("places")[at].as_py(), np.int64)), np.frombuffer(batch.column("digests")[at].as_py(), DIGEST)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +164,12 @@ def extend(places: np.ndarray, digests: np.ndarray, length: int) -> tuple[np.nda
     return places[pairs], b"".join([hashlib.blake2b(x + y, digest_size=16).digest() for x, y in halves])
 
 
+def _covered(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of words begin and end that windows at the sorted ``places`` cover."""
+    edge = np.diff(places) > length
+    return places[np.r_[np.ones(len(places[:1]), bool), edge]], places[np.r_[edge, np.ones(len(places[:1]), bool)]] + length
+
+
 def _settle(length: int):
     """Drops the windows that no other id has (``alone``), notes those that another has ``first``, and doubles what is left."""
 
@@ -169,7 +181,7 @@ def _settle(length: int):
                 alive = ~_among(digests, batch.column("alone")[at])
                 later = alive & ~_among(digests, batch.column("first")[at])
                 doubled, joined = extend(places[alive], digests[alive], length)
-                rows.append((batch.column("row")[at].as_py(), batch.column("id")[at].as_py(), bool(alive.any()), places[later], doubled.tobytes(), joined))
+                rows.append((batch.column("row")[at].as_py(), batch.column("id")[at].as_py(), bool(alive.any()), *_covered(places[later], length), _steps(doubled), joined))
                 held += len(joined)
                 if held > BLOCK:
                     yield _records(rows, SETTLED)
@@ -179,32 +191,26 @@ def _settle(length: int):
     return run
 
 
-def _cut(length: int):
-    """Takes the words out that the windows at the places in ``gone`` cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept_texts, removed = [], []
-            for at, texts in blocks(batch.column("text")):
-                words = split(texts)
-                gone = batch.column("gone").slice(at, len(texts))
-                for row, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
-                    edges = np.zeros(high - low + 1, np.int64)
-                    places = np.array(gone[row].values, np.int64)
-                    np.add.at(edges, places, 1)
-                    np.add.at(edges, places + length, -1)
-                    keep = low + np.flatnonzero(np.cumsum(edges[:-1]) == 0)
-                    removed.append(high - low - len(keep))
-                    kept_texts.append(b" ".join([bytes(words.buf[s:e]) for s, e in zip(words.start[keep], words.end[keep])]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), pa.array(removed, pa.int64()),
-                    pa.array(kept_texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in kept_texts]),
-                ],
-                ["row", "n_removed", "kept", "kept_sha"],
-            )
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes out the runs of words that begin at ``gone`` and end before ``upto``."""
+    for batch in batches:
+        kept_texts, removed = [], []
+        for at, texts in blocks(batch.column("text")):
+            words = split(texts)
+            for row, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
+                edges = np.zeros(high - low + 1, np.int64)
+                edges[np.array(batch.column("gone")[at + row].values, np.int64)] += 1
+                edges[np.array(batch.column("upto")[at + row].values, np.int64)] -= 1
+                keep = low + np.flatnonzero(np.cumsum(edges[:-1]) == 0)
+                removed.append(high - low - len(keep))
+                kept_texts.append(b" ".join([bytes(words.buf[s:e]) for s, e in zip(words.start[keep], words.end[keep])]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"), pa.array(removed, pa.int64()),
+                pa.array(kept_texts, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in kept_texts]),
+            ],
+            ["row", "n_removed", "kept", "kept_sha"],
+        )
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -213,9 +219,9 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def settled(windows: DataFrame, length: int, key: str) -> DataFrame:
-    """One level: ``row, id, alive, gone, places, digests`` for each row of packed ``windows`` of one length.
+    """One level: ``row, id, alive, gone, upto, places, digests`` for each row of packed ``windows`` of one length.
 
-    ``gone`` holds the places whose window a smaller id has too, ``places`` and ``digests`` the windows of twice the length.
+    From ``gone`` to before ``upto`` go the words whose window a smaller id has too; ``places`` and ``digests`` are the windows of twice the length.
     ``key`` is ``id`` if no two rows have the same, else ``row``.
     """
     spread = windows.mapInArrow(_spread, "high long, low long, row long, id long")
@@ -225,7 +231,7 @@ def settled(windows: DataFrame, length: int, key: str) -> DataFrame:
     window, alone = F.struct("high", "low"), F.col("id") == F.col("most")
     told = told.groupBy(key).agg(F.collect_list(F.when(alone, window)).alias("alone"), F.collect_list(F.when(~alone, window)).alias("first"))
     return windows.join(told, key, "left").select("row", "id", "places", "digests", "alone", "first").mapInArrow(
-        _settle(length), "row long, id long, alive boolean, gone array<long>, places binary, digests binary"
+        _settle(length), "row long, id long, alive boolean, gone array<long>, upto array<long>, places binary, digests binary"
     )
 
 
@@ -238,28 +244,30 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     four times that and so on at which the row shares a window with a row of another id, 0 for none. Null and empty texts have no
     words. Rows with a null id lose nothing and take nothing from others; neither do rows that share an id from
     each other. ``length`` must be even and at least 2.
+    The rows are read twice, so they must be the same each time; pin them first if they may not be.
     """
     if length < 2 or length % 2:
         raise ValueError("length must be even: the first level has half of it")
     base = length // 2
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = pin(rows, "numbered")
-    facts = pin(rows.mapInArrow(_digests, "row long, id long, n long, sha binary"), "words")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    facts = rows.mapInArrow(_facts(length, base), "id long, n long, sha binary, picks array<long>")
+    facts = pin(facts.withColumn("row", F.monotonically_increasing_id()), "words")
     # Of rows with the same words the first by id stands for all.
     same = facts.where("n > 0 and id is not null").groupBy("sha").agg(
         F.min("id").alias("rep"), F.max("id").alias("last"), F.min_by("row", F.struct("id", "row")).alias("rep_row")
     )
-    facts = pin(facts.join(same, "sha", "left"), "told")
-    picks = pin(rows.where("id is not null").mapInArrow(_choices(length, base), "h long, row long, id long"), "choices")
+    picks = facts.select(F.explode("picks").alias("h"), "row", "id")
     alive = picks.join(_repeated(picks).select("h"), "h").groupBy("row").agg(F.collect_list("h").alias("picks"))
-    alive = alive.join(facts.where("row = rep_row").select("row"), "row")
-    held = pin(rows.join(alive, "row"), "held")
+    facts = pin(facts.drop("picks").join(same, "sha", "left"), "told")
+    alive = alive.join(facts.where("row = rep_row").select("row", "id", "sha"), "row")
+    held = rows.where("id is not null").mapInArrow(_keyed, "id long, sha binary, text string").join(alive, ["id", "sha"])
+    held = pin(held.dropDuplicates(["id", "sha"]).drop("sha"), "held")
 
     key = "id" if held.groupBy("id").count().where("count > 1").isEmpty() else "row"
     windows = pin(held.mapInArrow(_windows(length, base), "row long, id long, places binary, digests binary"), "windows")
     level = pin(settled(windows, length, key), "survivors")
-    gone = level.where("size(gone) > 0").select("row", "gone")
-    cut = held.join(gone, "row").select("row", "text", "gone").mapInArrow(_cut(length), "row long, n_removed long, kept string, kept_sha string")
+    gone = level.where("size(gone) > 0").select("row", "gone", "upto")
+    cut = held.join(gone, "row").select("row", "text", "gone", "upto").mapInArrow(_cut, "row long, n_removed long, kept string, kept_sha string")
     levels, size = level.where("alive").select("row", F.lit(length).cast("long").alias("longest")), length
     while not (windows := level.where("length(places) > 0").select("row", "id", "places", "digests")).isEmpty():
         size *= 2
