@@ -105,6 +105,38 @@ def test_micro_batch_table(spark, n, timeout, chunk):
     assert all(r["wait"] >= 0 and r["batch"] <= n for r in facts)
 
 
+def watched_chunks(monkeypatch, folder):
+    """Notes the rows of every call of the last step in a file."""
+    real = windows._assign
+
+    def noted(*args):
+        run = real(*args)
+
+        def noting(table):
+            with open(f"{folder}/calls", "a") as f:
+                f.write(f"{len(table)}\n")
+            return run(table)
+
+        return noting
+
+    monkeypatch.setattr(windows, "_assign", noted)
+
+
+def test_many_lanes_share_a_chunk(spark, monkeypatch, tmp_path):
+    """Python runs once for so many rows, not for each lane; lanes are large numbers or null."""
+    watched_chunks(monkeypatch, tmp_path)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, (1 << 60) + rng.randrange(900)]) if i % 20 == 0 else (1 << 60) + rng.randrange(900), rng.randrange(400), i) for i in range(6000)]
+    got = windows.micro_batch_table(spark.createDataFrame(rows, "lane long, ts long, id long"), "lane", "ts", "id", 4, 60, chunk_rows=500).collect()
+    want = {}
+    for lane in {r[0] for r in rows}:
+        want |= walk([(t, i) for name, t, i in rows if name == lane], 4, 60)
+    assert {r["id"]: (r["wid"], r["at"]) for r in got} == want
+    assert {r["id"]: r["lane"] for r in got} == {i: lane for lane, _, i in rows}
+    calls = [int(x) for x in (tmp_path / "calls").read_text().split()]
+    assert len(calls) <= 6000 // 500 + 8 and max(calls) <= 500
+
+
 def test_balanced_and_stratified_are_exact(frame):
     labelled = frame.where("k is not null")
     assert {r["k"]: r["count"] for r in sampling.balanced(labelled, "k", 1000, 1, "id").groupBy("k").count().collect()} == {"a": 1, "b": 1, "c": 1}

@@ -135,6 +135,17 @@ def test_the_batcher_queries_in_several_micro_batches(spark, narrow, monkeypatch
     assert not mismatch(run(spark, folder), folder, text)
 
 
+def test_micro_batches_bring_each_lane_several_rows(spark, narrow, monkeypatch, tmp_path):
+    """Else what lanes carry on, which grows with the table, would be written again with each of ever more micro-batches."""
+    events = spark.range(3200).select(F.col("id").alias("event_id"), (F.col("id") % 97).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    steps = []
+    monkeypatch.setattr(streams, "STEP", 10)
+    monkeypatch.setattr(streams.B, "run_lanes", lambda rows, n, step, **more: steps.append(step))
+    streams._batched(spark, str(tmp_path))
+    assert steps == [20 * streams.ROUND]
+
+
 KIND = "content string, id string, model string, decision_ms double"
 
 
