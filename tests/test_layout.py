@@ -137,6 +137,21 @@ def test_many_lanes_share_a_chunk(spark, monkeypatch, tmp_path):
     assert len(calls) <= 6000 // 500 + 8 and max(calls) <= 500
 
 
+def test_a_chunk_of_usual_size_is_small(spark, monkeypatch, tmp_path):
+    """All rows in one slab and lane: a task's Python never holds many of them."""
+    watched_chunks(monkeypatch, tmp_path)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = spark.range(200_000).select(F.lit(1).alias("lane"), F.col("id").alias("ts"), "id")
+        out = windows.micro_batch_table(df, "lane", "ts", "id", 20, 10**9)
+        assert out.where("wid <> ts div 20 + 1 or at <> ts % 20").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    calls = [int(x) for x in (tmp_path / "calls").read_text().split()]
+    assert sum(calls) >= 200_000 and max(calls) <= 1 << 16
+
+
 def test_balanced_and_stratified_are_exact(frame):
     labelled = frame.where("k is not null")
     assert {r["k"]: r["count"] for r in sampling.balanced(labelled, "k", 1000, 1, "id").groupBy("k").count().collect()} == {"a": 1, "b": 1, "c": 1}
